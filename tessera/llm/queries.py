@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, chat, exact_dedup, html, line_crf, packing, quality_gam, sharding
 from .common import table
 
 
@@ -15,6 +15,38 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = f"""
+WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, coalesce(CAST(floor(turn / {chat.PART_TURNS}) AS BIGINT), -1) AS part FROM t),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (SELECT p.*, speaker, role = speaker AS learnt,
+        CASE WHEN role = speaker THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || role END || chr(10) AS head
+      FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS seg FROM r),
+e AS (SELECT *, CAST(sum(length(seg)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM o)
+SELECT conv_id, speaker, part, 0 AS sub, count(*) AS n_turns, string_agg(seg, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(list(upto - length(seg) + length(head) ORDER BY upto) FILTER (WHERE learnt), []) AS mask_starts,
+       coalesce(list(upto - 1 ORDER BY upto) FILTER (WHERE learnt), []) AS mask_ends
+FROM e GROUP BY conv_id, speaker, part
+"""
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.line_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,8 +85,8 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 4, '0') AS
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_exact_dedup, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_density, op2_chat_rotation, op4_quality_gam, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
+    return {"op2_chat_rotation": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
