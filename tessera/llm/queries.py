@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, line_crf, packing, quality_gam, sharding
+from . import bpe, chat, exact_dedup, html, line_crf, packing, quality_gam, sharding, substring_dedup
 from .common import table
 
 
@@ -39,6 +39,27 @@ FROM e GROUP BY conv_id, speaker, part
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), joined=True)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w WHERE len(ws) >= 20),
+h AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS span FROM s),
+f AS (SELECT span, min(struct_pack(d := doc_id, a := p)) AS first FROM h GROUP BY span HAVING count(*) > 1),
+r AS (SELECT h.doc_id, p FROM h JOIN f USING (span) WHERE struct_pack(d := doc_id, a := p) > first),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS k FROM r),
+l AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN l USING (doc_id)),
+z AS (SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed, ws, gone FROM k)
+SELECT doc_id, n_words, n_removed,
+       sha256(array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF NOT list_contains(gone, i)], ' ')) AS kept_sha256
+FROM z
+"""
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,8 +106,8 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 4, '0') AS
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_density, op2_chat_rotation, op4_quality_gam, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_rotation": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
+    return {"op2_chat_rotation": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
