@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Code points that are encoded together, so that arrays stay in cache-sized pieces.
 BATCH_CHARS = 1 << 18
 #: Pre-tokens whose ids a worker remembers; beyond, it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 SCAN_BLOCK = 256
 
 LETTER, NUMBER, BLANK, SPACE, OTHER, QUOTE = range(6)
@@ -273,24 +273,34 @@ def loaded(name: str) -> ByteBpe:
     return _loaded(name)
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every row, by the rank or tokenizers file at ``vocabulary``; a map, without any shuffle.
 
+    With ``decoded``, the bytes that the ids decode to as well, made from the ids while they are at hand.
     Null and empty texts have no ids; special-token strings are ordinary text; repeated rows and null ids of
     documents come out as they went in; other columns are not read.
     """
     name = ship(docs.sparkSession, vocabulary)
+    names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
 
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in batched(batch.column("text").to_pylist()):
+            for texts in batched(texts_in(batch.column("text"))):
                 ids, offsets = loaded(name).encode_batch(texts)
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), column], ["doc_id", "ids"])
+                columns = [batch.column("doc_id").slice(done, len(texts)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(loaded(name).decode_batch(ids, offsets), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 done += len(texts)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+
+
+def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The strings of a column, a few at a time."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
