@@ -8,6 +8,7 @@ steps, by length and salt, so that one frequent length never meets in a single t
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import batched, loaded, ship
+from .bpe import ByteBpe, loaded, ship, texts_in
 from .common import checkpointed
 
 CAPACITY = 1024
@@ -67,6 +68,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
+@functools.cache
+def _library(name: str):
+    """The vocabulary, also one of a tokenizers file, in the fastest library for it; ids are the same."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=loaded(name).ranks, special_tokens={})
+
+
+def ids_of(name: str, text: str) -> np.ndarray:
+    try:
+        return _library(name).encode_to_numpy(text, disallowed_special=()).astype("<u4")
+    except BaseException as e:  # the library's regular expressions give up on endless runs of white space
+        if isinstance(e, (KeyboardInterrupt, SystemExit)):
+            raise
+        own: ByteBpe = loaded(name)
+        return own.encode_batch([text])[0].astype("<u4")
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end``, cut where longer than ``capacity``.
 
@@ -76,29 +96,24 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
 
     def run(batches):
         for batch in batches:
-            owners, texts_of = batch.column("doc_id"), batch.column("text").to_pylist()
-            done = 0
-            for texts in batched(texts_of):
-                ids, offsets = loaded(name).encode_batch(texts)
-                index, piece, start, length, crc, lists = [], [], [], [], [], []
-                for i in range(len(texts)):
-                    own = np.append(ids[offsets[i] : offsets[i + 1]], np.int32(end)).astype("<u4")
-                    cuts = [0, *range(len(own) % capacity or min(capacity, len(own)), len(own), capacity), len(own)]
-                    for k in range(len(cuts) - 1):
-                        part = own[cuts[k] : cuts[k + 1]]
-                        index.append(done + i)
-                        piece.append(k)
-                        start.append(cuts[k])
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        if keep_ids:
-                            lists.append(part.astype(np.int32))
-                done += len(texts)
-                columns = [owners.take(pa.array(index, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            index, piece, start, length, crc, lists = [], [], [], [], [], []
+            for i, text in enumerate(texts_in(batch.column("text"))):
+                own = np.append(ids_of(name, text or ""), np.uint32(end)).astype("<u4")
+                cuts = [0, *range(len(own) % capacity or min(capacity, len(own)), len(own), capacity), len(own)]
+                for k in range(len(cuts) - 1):
+                    part = own[cuts[k] : cuts[k + 1]]
+                    index.append(i)
+                    piece.append(k)
+                    start.append(cuts[k])
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
+                    if keep_ids:
+                        lists.append(part.astype(np.int32))
+            columns = [batch.column("doc_id").take(pa.array(index, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
