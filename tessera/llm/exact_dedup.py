@@ -130,3 +130,16 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     joined = digested.join(found.hint("merge"), "key")
     sha = F.lower(F.hex(F.substring("key", 1, 32)))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), sha.alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps."""
+    decided = checkpointed(exact_dedup(docs, fan_in).filter("kept or group_size > 1").select("doc_id", "text_sha256", "kept"))
+    gone = decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("one"), F.count("*").alias("rows")).filter("not one or rows > 1")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"), "one")
+    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
+    marked = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left")
+    own = [f"`{c}`" for c in docs.columns]
+    # Of rows that repeat both id and text, one of those that stay.
+    once = marked.filter("one").dropDuplicates(["__id", "__sha"]).select(*own)
+    return marked.filter("one is null").select(*own).union(once)

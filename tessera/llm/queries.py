@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, line_crf, packing, quality_gam, sharding, substring_dedup
+from . import bpe, chat, exact_dedup, html, line_crf, ngram_join, packing, quality_gam, sharding, substring_dedup
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.line_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -105,7 +109,7 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 4, '0') AS
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

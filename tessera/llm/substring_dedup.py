@@ -84,10 +84,10 @@ def cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(anchors ^ ROW_SALTS[row]) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
 
 
-def packed_counts(places: np.ndarray, twice: np.ndarray) -> bytes:
+def packed_counts(places: np.ndarray, twice: np.ndarray, bits: int = BLOCK_BITS) -> bytes:
     """Sorted distinct cells of a block and whether each has two or more: gaps in byte planes, or two bit planes."""
-    if len(places) * 16 >= 1 << BLOCK_BITS:
-        planes = np.zeros((2, 1 << BLOCK_BITS), bool)
+    if len(places) * 16 >= 1 << bits:
+        planes = np.zeros((2, 1 << bits), bool)
         planes[0, places] = True
         planes[1, places[twice]] = True
         return b"d" + np.packbits(planes).tobytes()
@@ -95,9 +95,9 @@ def packed_counts(places: np.ndarray, twice: np.ndarray) -> bytes:
     return b"s" + gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unpacked_counts(data: bytes) -> np.ndarray:
+def unpacked_counts(data: bytes, bits: int = BLOCK_BITS) -> np.ndarray:
     """The block's counts, up to two."""
-    out = np.zeros(1 << BLOCK_BITS, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
     body = np.frombuffer(data, np.uint8, offset=1)
     if data[:1] == b"d":
         planes = np.unpackbits(body).reshape(2, -1)
@@ -142,10 +142,10 @@ def partial_sketches(docs: DataFrame, window: int, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, SKETCH)
 
 
-def merged(table: pa.Table) -> np.ndarray:
-    total = np.zeros(1 << BLOCK_BITS, np.uint8)
+def merged(table: pa.Table, bits: int = BLOCK_BITS) -> np.ndarray:
+    total = np.zeros(1 << bits, np.uint8)
     for data in table.column("data").to_pylist():
-        total = np.minimum(total + unpacked_counts(data), 2)
+        total = np.minimum(total + unpacked_counts(data, bits), 2)
     return total
 
 
