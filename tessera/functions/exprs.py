@@ -17,7 +17,7 @@ LANGUAGES = {
 
 def glob_regex(pattern: Column) -> Column:
     """A regular expression equal to a shell pattern: *, ?, [seq], [!seq]; an unclosed bracket is a plain character."""
-    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), F.lit(0))
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?+\]?+[^\]]*+\]|.)"), F.lit(0))
 
     def one(token: Column) -> Column:
         body = token.substr(F.lit(2), F.length(token) - 2)

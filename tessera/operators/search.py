@@ -105,7 +105,7 @@ def hyperplane_index(vectors: DataFrame, bits: int = 4, seed: int = 7) -> DataFr
     return vectors.withColumn("cell", sum(signs[1:], signs[0]))
 
 
-def approximate_top_k(indexed: DataFrame, query: list[float], k: int = 10, bits: int = 4, seed: int = 7, probes: int = 11) -> DataFrame:
+def approximate_top_k(indexed: DataFrame, query: list[float], k: int = 10, bits: int = 4, seed: int = 7, probes: int = 13) -> DataFrame:
     """Nearest rows among the ``probes`` cells of the least total distance to the query's own side; ``cell`` is a plain filter, so a partition column prunes."""
     at = np.random.default_rng(seed).standard_normal((bits, len(query))) @ np.array(query, float)
     own = sum(1 << i for i, x in enumerate(at) if x >= 0)
