@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .lines import LINE_COUNTS, Counts
 from .quality_gam import labelled
-from .words import batches_of
+from .words import batches_of, binaries
 
 #: Labelled documents that the field is trained on at most, those of least hash; each with all of its lines.
 SAMPLE_ROWS = 2_000
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 c = Counts(texts)
                 rows, part = line_features(c), batch.slice(done, len(texts))
                 lines = [rows[a:b].astype("<f8").tobytes() for a, b in zip(c.first, c.first[1:], strict=False)]
@@ -179,7 +179,7 @@ def judge(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFr
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 c = Counts(texts)
                 t = dict(zip(LINE_COUNTS, c.text.T, strict=True))
                 content = field.viterbi(line_features(c), np.diff(c.first)) == 0

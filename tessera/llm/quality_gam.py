@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lines import LINE_COUNTS, Counts
-from .words import batches_of
+from .words import batches_of, binaries
 
 FEATURES = ("log_words", "word_chars", "symbols", "upper", "digits", "loud", "marks", "repeats", "stops", "short", "runs", "copies", "fresh", "line_words")
 #: Labelled rows that the model is fitted on at most: those of least hash, so the choice doesn't depend on partitions.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 rows = features(texts)
                 part = batch.slice(done, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "label", "features"])
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(model.score(features(texts)))], ["doc_id", "score"])
                 done += len(texts)
 
@@ -182,7 +182,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def run(batches):
         for batch in batches:
-            scores = [model.score(features(texts)) for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist())]
+            scores = [model.score(features(texts)) for texts in batches_of(binaries(batch.column("text")))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import power_of_two, total_bytes
-from .words import WORD_BASES, Words, batches_of, mix, prefix, spans
+from .words import WORD_BASES, Words, batches_of, binaries, mix, prefix, spans
 
 WINDOW = 20
 ANCHOR = 10
@@ -32,7 +32,7 @@ FAN_IN = 64
 #: Bytes of text for each range of window hashes, and for each group of documents.
 RANGE_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
 #: Anchors or windows that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 600_000
 ROW_SALTS = (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
 
 
@@ -130,7 +130,7 @@ def partial_sketches(docs: DataFrame, window: int, width: int) -> DataFrame:
 
         part, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 held.append(Windows(texts, window).distinct_anchors())
                 n += len(held[-1])
                 if n >= HELD:
@@ -233,7 +233,7 @@ def candidates(docs: DataFrame, window: int, width: int, bits, ranges: int) -> D
         for batch in batches:
             docs_of, groups = batch.column("doc_id").to_numpy(), batch.column("group").to_numpy()
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 w = Windows(texts, window)
                 picked = np.flatnonzero(estimated_repeated(w.anchor, bits.value, width))
                 if len(picked):

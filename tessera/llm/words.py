@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from .common import IS_SPACE
 
@@ -103,6 +104,12 @@ def batches_of(texts: Iterable[bytes | None], limit: int = BATCH_BYTES) -> Itera
         yield some
 
 
+def binaries(column: pa.Array, rows: int = 128) -> Iterator[bytes | None]:
+    """The bytes of a column's texts, a few at a time."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).cast(pa.binary()).to_pylist()
+
+
 def sums_between(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between neighbouring cuts."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
