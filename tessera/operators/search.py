@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,10 +54,8 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     candidates, whose exact scores are then computed as ``scored`` does. Each task hands on at most ``k`` rows a query.
     """
     k = clamp(k)
-    ids = queries.orderBy("query_id").collect()
-    out = None
-    for a in range(0, len(ids), QUERIES_AT_ONCE):
-        block = ids[a : a + QUERIES_AT_ONCE]
+    left, out = queries.orderBy("query_id").toLocalIterator(), None
+    while block := list(islice(left, QUERIES_AT_ONCE)):
         names, q = [r["query_id"] for r in block], np.array([r["embedding"] for r in block], np.float64)
 
         def run(batches, names=names, q=q):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -53,3 +53,14 @@ def agents_view(sessions: DataFrame, locks: DataFrame, containing: str = "", hid
 def index_result(files: DataFrame) -> DataFrame:
     """One row: inserted, succeeded, failed and the errors by path, from (path, chunks, error)."""
     return files.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("inserted"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("path", "error"))))).alias("errors"))
+
+
+def recent_history(samples: DataFrame, key: str = "metric", order: str = "taken_at", n: int = 60) -> DataFrame:
+    """The last ``n`` samples of each metric."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return samples.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= n)
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Rows as the JSON objects that a monitor reads."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))

@@ -86,3 +86,17 @@ def reconcile(store: Store, root: str, project: str) -> dict:
     if rows is not None:
         store.delete(collection, rows.join(there, "file_path", "left_anti").select("id"))
     return {"project": project, "status": "reconciled", "orphans_removed": before - store.count(collection)}
+
+
+def index_repositories(store: Store, base: str, provider: Provider, depth: int = 2) -> dict[str, dict]:
+    """Indexes every repository (a folder with .git) down to ``depth`` below ``base`` that isn't indexed yet."""
+    import os
+
+    out, left = {}, [(base, 0)]
+    while left:
+        folder, level = left.pop()
+        if os.path.exists(os.path.join(folder, ".git")):
+            out[os.path.basename(folder)] = index_codebase(store, folder, os.path.basename(folder), provider)
+        elif level < depth:
+            left += [(e.path, level + 1) for e in os.scandir(folder) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")]
+    return out

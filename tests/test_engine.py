@@ -182,3 +182,22 @@ def test_embedding_cache_and_halving(spark):
     assert first.filter("hit").count() == 0 and fresh.count() == 2
     again, more = embedding.embed_cached(rows, fresh, embedding.HashProvider())
     assert again.filter("hit").count() == 3 and more.count() == 0
+
+
+def test_settings_history_and_coordination(spark, tree, tmp_path_factory):
+    import os
+
+    from tessera.config import Config
+
+    assert Config.from_env({"TESSERA_CHUNK_SIZE": "10"}).chunk_size == 10 and Config.from_env({}).lock_ttl_minutes == 60
+    samples = spark.range(100).select(F.lit("m").alias("metric"), F.col("id").alias("taken_at"))
+    assert stats.recent_history(samples).agg(F.min("taken_at")).first()[0] == 40
+    assert stats.as_json(samples.limit(1)).first().value == '{"metric":"m","taken_at":0}'
+    log = locks(spark, [("other", "p", "src/*", at(1), "main")])
+    subs = spark.createDataFrame([("me", "p", "b.py")], "agent_id string, project string, file_pattern string")
+    modified = spark.createDataFrame([("src/a.py",), ("b.py",)], "path string")
+    held, new = coordination.auto_coordinate(log, subs, modified, "me", "p", now_())
+    assert [r.pattern for r in held.collect()] == ["b.py"] and [r.file_pattern for r in new.collect()] == ["src/a.py"]
+    os.makedirs(f"{tree}/.git")
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    assert list(indexer.index_repositories(store, os.path.dirname(tree), embedding.HashProvider())) == [os.path.basename(tree)]
