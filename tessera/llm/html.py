@@ -55,7 +55,8 @@ HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 class Tree:
     """Nodes in page order: node i's subtree is i to last[i]. ``pieces`` has texts, and None at block edges."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_class: bool = True):
+        self.by_class = by_class
         self.tag, self.parent, self.noise, self.main = ["html"], [-1], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._read(html)
@@ -149,6 +150,8 @@ class Tree:
             return True, False
         role = found.get("role", "")
         main = main or role in ("main", "article") or found.get("itemprop") == "articlebody"
+        if not self.by_class:
+            return role in NOISE_ROLES, main
         words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
         if name == "article" and words & {"comment", "comments", "reply", "teaser", "related", "ad", "advert"}:
             return True, False
@@ -167,10 +170,16 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float
 
 
 def extract(html: str | None) -> str:
-    """The article's text: white space within a block as one space, blocks joined by one space."""
+    """The article's text: white space within a block as one space, blocks joined by one space.
+
+    Where class names leave nothing, as when one of them stands on the whole page, they are not heeded.
+    """
     if not html:
         return ""
-    tree = Tree(html)
+    return main_text(Tree(html)) or main_text(Tree(html, by_class=False))
+
+
+def main_text(tree: Tree) -> str:
     n, tag, parent = len(tree.tag), tree.tag, tree.parent
     link = [False] * n
     for i in range(1, n):

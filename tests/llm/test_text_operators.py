@@ -44,6 +44,7 @@ def docs(spark, rows, extra=True):
         ("<article><p>Text</p><!-- <p>hidden</p> --></article>", "Text"),
         ("<div id=m><a href=1>Home</a><a href=2>News</a></div><div><h1>Title here</h1><p>First long paragraph of the story, with words.</p><p>Second long paragraph of the story, with words.</p></div><div>Small print</div>", "Title here First long paragraph of the story, with words. Second long paragraph of the story, with words."),
         ("<html><body></body></html>", ""),
+        ("<body><div class='page comments-open sidebar'><p>All of it.</p></div></body>", "All of it."),
         ("<" * 50, "<" * 50),
     ],
 )
