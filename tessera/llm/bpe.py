@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Code points that are encoded together, so that arrays stay in cache-sized pieces.
 BATCH_CHARS = 1 << 18
-#: Pre-tokens whose ids a worker remembers; beyond, it starts anew.
+#: Pre-tokens in each of two caches: a full one becomes the older one, which those in use come back from.
 CACHE_ENTRIES = 250_000
 SCAN_BLOCK = 256
 
@@ -135,55 +135,71 @@ def boundaries(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return begins & ~inside
 
 
-def merges_of(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: of neighbouring parts, the pair of least rank merges first, leftmost first."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 500:
-        return _long_merges(parts, ranks)
-    scores = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:], strict=False)]
+NO_MERGE = 1 << 40
+#: A pair of ids as one key.
+SHIFT = 20
+
+
+def merged_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The id that each pair of ids merges to: every token at every cut into two tokens."""
+    get, out = ranks.get, {}
+    for token, i in ranks.items():
+        for k in range(1, len(token)):
+            if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None:
+                out[a << SHIFT | b] = i
+    return out
+
+
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Ids of one pre-token from those of its bytes: the pair of the least merged id merges first, leftmost first."""
+    if len(ids) > 500:
+        return _long_merge(ids, pairs)
+    get = pairs.get
+    scores = [get(a << SHIFT | b, NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
     while scores:
         best = min(scores)
-        if best == 1 << 40:
+        if best == NO_MERGE:
             break
         i = scores.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
+        ids[i] = best
+        del ids[i + 1], scores[i]
         if i < len(scores):
-            scores[i] = ranks.get(parts[i] + parts[i + 1], 1 << 40)
+            scores[i] = get(best << SHIFT | ids[i + 1], NO_MERGE)
         if i:
-            scores[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 40)
-    return [ranks[p] for p in parts]
+            scores[i - 1] = get(ids[i - 1] << SHIFT | best, NO_MERGE)
+    return ids
 
 
-def _long_merges(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+def _long_merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
     """The same with a heap over linked parts: a very long pre-token takes n log n steps."""
     import heapq
 
-    n = len(parts)
+    n = len(ids)
     after, before, live = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << SHIFT | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, left, right = heapq.heappop(heap)
+        to, i, left, right = heapq.heappop(heap)
         j = after[i]
-        if not live[i] or j < 0 or parts[i] != left or parts[j] != right:
+        if not live[i] or j < 0 or ids[i] != left or ids[j] != right:
             continue
-        parts[i], live[j], after[i] = left + right, False, after[j]
+        ids[i], live[j], after[i] = to, False, after[j]
         if after[i] >= 0:
             before[after[i]] = i
         for a in (before[i], i):
-            if a >= 0 and after[a] >= 0 and (r := ranks.get(parts[a] + parts[after[a]])) is not None:
-                heapq.heappush(heap, (r, a, parts[a], parts[after[a]]))
-    return [ranks[parts[i]] for i in range(n) if live[i]]
+            if a >= 0 and after[a] >= 0 and (r := pairs.get(ids[a] << SHIFT | ids[after[a]])) is not None:
+                heapq.heappush(heap, (r, a, ids[a], ids[after[a]]))
+    return [ids[i] for i in range(n) if live[i]]
 
 
 class ByteBpe:
     """Encoder and decoder over a rank table (token bytes to id, lower ids merge first)."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache = ranks, {}
+        self.ranks = ranks
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.cache: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
@@ -199,13 +215,21 @@ class ByteBpe:
         shown = {c: ord(c) for c in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in own)}
         return cls({bytes(shown[c] for c in token): i for token, i in saved["model"]["vocab"].items() if token not in special})
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        return merged_pairs(self.ranks)
+
     def ids_of(self, piece: bytes) -> list[int]:
-        if (ids := self.cache.get(piece)) is None:
+        """Ids of a pre-token that the cache doesn't have: from the cache before it, else merged; remembered."""
+        ids = self.older.get(piece)
+        if ids is None:
+            whole = self.ranks.get(piece)
+            ids = [whole] if whole is not None else merge([self.bytes[b] for b in piece], self.pairs)
+        if len(piece) <= 64:
             if len(self.cache) >= CACHE_ENTRIES:
+                self.older = dict(self.cache)
                 self.cache.clear()
-            ids = merges_of(piece, self.ranks)
-            if len(piece) <= 64:
-                self.cache[piece] = ids
+            self.cache[piece] = ids
         return ids
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
