@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read from there, and its path.
+
+    Unlike a checkpoint's, the table's estimated size is its files' own, so estimates don't multiply in a loop.
+    """
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of all texts of a column, nulls as none."""
     from pyspark.sql import functions as F
@@ -42,6 +59,26 @@ def total_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+#: Cells of the bitmap that maybe_listed() broadcasts: 1 MB, whatever the number of ids.
+CELLS = 1 << 23
+
+
+def maybe_listed(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``__maybe``: false only where ``key`` is surely not among ``ids`` (one column), nulls included.
+
+    The ids go into a bitmap by hash, 32768 bits a row, that is broadcast; so rows that need no join are told
+    apart without a shuffle. With far more ids than cells, most rows are maybes.
+    """
+    from pyspark.sql import functions as F
+
+    cell = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(CELLS))
+    bits = ids.select(cell(ids.columns[0]).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("__bits"))
+    marked = df.withColumn("__cell", cell(key)).withColumn("__bucket", F.bitmap_bucket_number("__cell")).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.bitmap_bit_position("__cell") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.getbit(byte, (F.bitmap_bit_position("__cell") % 8).cast("int")) == 1
+    return marked.withColumn("__maybe", F.coalesce(set_, F.lit(False))).select(*[f"`{c}`" for c in df.columns], "__maybe")
+
+
 def power_of_two(n: float, low: int, high: int) -> int:
     """The least power of two not under ``n``, held between ``low`` and ``high``."""
     return min(high, max(low, 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))))

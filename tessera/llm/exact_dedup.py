@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, maybe_listed
 
 FAN_IN = 8
 #: Distinct digests that one range may hold on average at the last level.
@@ -133,13 +133,14 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps."""
-    decided = checkpointed(exact_dedup(docs, fan_in).filter("kept or group_size > 1").select("doc_id", "text_sha256", "kept"))
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps. Only rows that may go are shuffled."""
+    decided = checkpointed(exact_dedup(docs, fan_in).filter("group_size > 1").select("doc_id", "text_sha256", "kept"))
     gone = decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("one"), F.count("*").alias("rows")).filter("not one or rows > 1")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"), "one")
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    marked = marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left")
+    gone = checkpointed(gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"), "one"))
+    marked = maybe_listed(docs, "doc_id", gone.select("__id"))
     own = [f"`{c}`" for c in docs.columns]
+    doubtful = marked.filter("__maybe").withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
+    doubtful = doubtful.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left")
     # Of rows that repeat both id and text, one of those that stay.
-    once = marked.filter("one").dropDuplicates(["__id", "__sha"]).select(*own)
-    return marked.filter("one is null").select(*own).union(once)
+    once = doubtful.filter("one").dropDuplicates(["__id", "__sha"]).select(*own)
+    return marked.filter("not __maybe").select(*own).union(doubtful.filter("one is null").select(*own)).union(once)

@@ -3,7 +3,7 @@
 A document's shingles are put in one global order, rare ones first, and two documents that link share a shingle
 within their prefixes. The order comes from a bounded summary of all documents: one bit a cell for shingles met
 twice or more, and the counts of the most frequent ones. Any order gives the same links, a good one few
-candidates: shingles met once fill most prefixes and can't match anything.
+candidates: shingles met once fill most prefixes and can't match anything, even if half of them pass for repeated.
 
 Documents with equal shingle sets become one node, nodes with equal prefix and size one group. Each group meets
 the first group of every posting list; members are verified exactly and linked nodes joined into components.
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, power_of_two, total_bytes
+from .common import checkpointed, maybe_listed, power_of_two, total_bytes
 from .components import components
 from .substring_dedup import merged, packed_counts
-from .words import WORD_BASES, Words, batches_of, mix, prefix, spans
+from .words import WORD_BASES, Words, batches_of, binaries, mix, prefix, spans
 
 SHINGLE, PERCENT = 5, 80
 #: Cells of the summary, a bit each: 64 MB at most are broadcast. Beyond, rare shingles pass for repeated ones and
@@ -31,7 +31,7 @@ BLOCK_BITS = 18
 FAN_IN = 64
 #: Occurrences in one task from which a shingle is counted by itself, and the shingles kept so, those of most.
 HEAVY_FROM, HEAVY_KEPT = 3, 500_000
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 class Sets:
@@ -99,7 +99,7 @@ def partial_summaries(docs: DataFrame, size: int, width: int) -> DataFrame:
 
         part, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 held += [s for s in Sets(texts, size).sets if len(s)]
                 n += sum(map(len, held[-len(texts) :]))
                 if n >= HELD:
@@ -165,7 +165,7 @@ def describe(docs: DataFrame, size: int, percent: int, width: int, shared) -> Da
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 bits, heavy = shared.value
                 n, high, low, head, tokens, places = [], [], [], [], [], []
                 for s in Sets(texts, size).sets:
@@ -221,7 +221,7 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
     are one document, which has the links of all its texts. Columns other than doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    width = power_of_two(4 * total_bytes(docs, "text") / 6, MIN_WIDTH, max_width)
+    width = power_of_two(total_bytes(docs, "text") / 4, MIN_WIDTH, max_width)  # some 1.5 cells a shingle
     shared = docs.sparkSession.sparkContext.broadcast(summary(rows, size, width))
     described = checkpointed(describe(rows, size, percent, width, shared))
     same = described.filter("n > 0 and doc_id is not null").groupBy("n", "high", "low")
@@ -241,12 +241,14 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
     def set_rows(batches):
         for batch in batches:
             done = 0
-            for texts in batches_of(batch.column("text").cast(pa.binary()).to_pylist()):
+            for texts in batches_of(binaries(batch.column("text"))):
                 found = [s.astype("<u8").tobytes() for s in Sets(texts, size).sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(found, pa.binary())], ["node", "shingles"])
                 done += len(texts)
 
-    sets = checkpointed(rows.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "node long, shingles binary"))
+    wanted = checkpointed(wanted)
+    found = maybe_listed(rows, "doc_id", wanted).filter("__maybe and doc_id is not null").select("doc_id", "text").mapInArrow(set_rows, "node long, shingles binary")
+    sets = checkpointed(found.join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi"))
     edges = checkpointed(verified(tried, sets, percent))
     linked = components(edges)
     # What is left: pairs of different components that share a shingle in their prefixes, each once.
