@@ -205,12 +205,11 @@ def lock_query_file(spark, sf_dir):
     return coordination.locks_on(_locks(spark, sf_dir).select("agent_id", "project", "pattern"), paths).select("file_path", "agent_id", "project", "pattern")
 
 
-_CHANGED = "f AS (SELECT DISTINCT file_path, 'BUILDING' AS project, concat('agent-', CAST(memory_id % 40 AS VARCHAR)) AS author FROM v_anchors WHERE memory_id % 5 = 0)"
+_CHANGED = "f AS (SELECT DISTINCT file_path, 'BUILDING' AS project, concat('agent-', CAST(memory_id % 40 AS VARCHAR)) AS author FROM v_anchors)"
 
 
 def _changed(spark, sf_dir) -> DataFrame:
-    rows = view(spark, sf_dir, "v_anchors").filter("memory_id % 5 = 0")
-    return rows.select("file_path", F.lit("BUILDING").alias("project"), F.concat(F.lit("agent-"), F.col("memory_id") % 40).alias("author")).distinct()
+    return view(spark, sf_dir, "v_anchors").select("file_path", F.lit("BUILDING").alias("project"), F.concat(F.lit("agent-"), F.col("memory_id") % 40).alias("author")).distinct()
 
 
 @query(with_views("v_subs", "v_anchors") + ", " + _CHANGED + "\nSELECT agent_id, f.project, file_pattern, file_path, author FROM f JOIN v_subs s ON s.project = f.project WHERE file_path GLOB file_pattern AND agent_id <> author")
@@ -334,11 +333,11 @@ def upsert_last_wins(spark, sf_dir):
     return last_wins(rows, "ord").select("id", "kind", "ord")
 
 
-@query("""WITH c AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 2 = 0), d AS (SELECT md5(text) AS h FROM documents)
+@query("""WITH c AS (SELECT DISTINCT md5(text) AS h FROM documents JOIN labels USING (doc_id)), d AS (SELECT md5(text) AS h FROM documents)
 SELECT count(*) AS texts, count(c.h) AS hits, count(*) - count(c.h) AS misses, count(DISTINCT CASE WHEN c.h IS NULL THEN d.h END) AS to_embed FROM d LEFT JOIN c ON c.h = d.h""")
 def cache_hits(spark, sf_dir):
     texts = _read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content_hash"))
-    return embedding.cache_use(texts, texts.filter("doc_id % 2 = 0"))
+    return embedding.cache_use(texts, texts.join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"))
 
 
 # -- chunks
