@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import release
+
 #: Code points that are encoded together, so that arrays stay in cache-sized pieces.
 BATCH_CHARS = 1 << 18
 #: Pre-tokens in each of two caches: a full one becomes the older one, which those in use come back from.
@@ -325,6 +327,7 @@ def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The strings of a column, a few at a time."""
     for a in range(0, len(column), rows):
         yield from column.slice(a, rows).to_pylist()
+    release()
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that end a word: space and 0x09-0x0D. ``bytes.split()`` splits at exactly these.
@@ -52,6 +55,18 @@ def delete(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release() -> None:
+    """Gives a worker's freed memory back, so that what one task needed doesn't stay with those after it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets Arrow batches for tables of long texts: the default of 10 000 rows is some 30 MB in each of JVM and worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     """Bytes of all texts of a column, nulls as none."""
     from pyspark.sql import functions as F

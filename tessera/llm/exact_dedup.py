@@ -101,20 +101,16 @@ def survivors(digested: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE
     rows, last = digested.agg(F.count("*"), F.max(F.shiftright("uid", 33))).first()  # the high bits of uid are the partition
     spans = max(1, math.ceil(rows / range_rows))
     runs, left = digested.mapInArrow(first_runs(spans), RUN_SCHEMA), (last or 0) + 1
-    while True:
+    while left > fan_in:
         grouped = runs.groupBy("span", F.floor(F.col("run") / fan_in).alias("to"))
         runs, left = grouped.applyInArrow(merge_runs(spans, fan_in), RUN_SCHEMA), math.ceil(left / fan_in)
-        if left == 1:
-            break
 
-    def rows_of(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, ids, uids, counts = unpack(batch.slice(i, 1))
-                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY_BYTES), len(keys), [None, pa.py_buffer(keys.tobytes())])
-                yield pa.RecordBatch.from_arrays([blob.cast(pa.binary()), pa.array(ids), pa.array(uids), pa.array(counts)], ["key", "keep_id", "keep_uid", "group_size"])
+    def last(table: pa.Table) -> pa.Table:
+        keys, ids, uids, counts = combine(*unpack(table))
+        blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY_BYTES), len(keys), [None, pa.py_buffer(keys.tobytes())])
+        return pa.Table.from_arrays([blob.cast(pa.binary()), pa.array(ids), pa.array(uids), pa.array(counts)], ["key", "keep_id", "keep_uid", "group_size"])
 
-    return runs.mapInArrow(rows_of, "key binary, keep_id long, keep_uid long, group_size long")
+    return runs.groupBy("span").applyInArrow(last, "key binary, keep_id long, keep_uid long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:

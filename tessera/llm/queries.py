@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, html, line_crf, ngram_join, packing, quality_gam, sharding, substring_dedup
-from .common import table
+from .common import small_batches, table
 
 
 def vocabulary(name: str) -> str:
@@ -108,8 +110,17 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 4, '0') AS
 """
 
 
+def _with_small_batches(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
+    return {f.__name__: _with_small_batches(f) for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

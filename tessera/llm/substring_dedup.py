@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import power_of_two, total_bytes
+from .common import maybe_listed, power_of_two, saved, shared_folder, total_bytes
 from .words import WORD_BASES, Words, batches_of, binaries, mix, prefix, spans
 
 WINDOW = 20
@@ -307,27 +307,41 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     rows = named.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text"), group.alias("group"), *keep)
     part = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(part, window, width))
-    removed = candidates(part, window, width, bits, ranges).groupBy("bucket").applyInArrow(resolve, FOUND).select(F.col("bucket").alias("group"), "data")
+    found = candidates(part, window, width, bits, ranges).groupBy("bucket").applyInArrow(resolve, FOUND)
+    folder = f"{shared_folder(docs.sparkSession)}/substrings"
+    removed = saved(found.select(F.col("bucket").alias("group"), "data"), folder)[0]
 
-    def apply(_, owned: pa.Table, gone: pa.Table) -> pa.Table:
+    def touched(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(columns_of(batch.column("data").to_pylist(), ("<i8", "<i4"))[0]))], ["id"])
+
+    # Documents that lose nothing need not meet the lists of what goes.
+    marked = maybe_listed(rows, "doc_id", removed.mapInArrow(touched, "id long"))
+    names = ["doc_id", *keep, "text", "n_words", "n_removed"]
+
+    def output(owned, results: list[tuple[bytes, int, int]], given: list[bytes | None]) -> list:
+        texts = [None if t is None and not joined else left for t, (left, _, _) in zip(given, results, strict=True)]
+        counts = [pa.array([r[k] for r in results], pa.int64()) for k in (1, 2)]
+        return [owned.column("doc_id"), *[owned.column(k) for k in keep], pa.array(texts, pa.binary()).cast(pa.string()), *counts]
+
+    def whole(batches):
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                given = part.column("text").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(output(part, [kept_words(t or b"", none, window, joined) for t in given], given), names)
+
+    def cut(_, owned: pa.Table, gone: pa.Table) -> pa.Table:
         doc, start = columns_of(gone.column("data").to_pylist(), ("<i8", "<i4"))
         order = np.argsort(doc, kind="stable")
         doc, start = doc[order], start[order]
-        ids = owned.column("doc_id").to_pylist()
-        texts, n_words, n_removed = [], [], []
-        none = np.zeros(0, np.int64)
-        for i, text in zip(ids, owned.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            own = none
-            if i is not None and len(doc):
-                a, b = np.searchsorted(doc, [i, i + 1]) if i < (1 << 63) - 1 else (np.searchsorted(doc, i), len(doc))
-                own = start[a:b].astype(np.int64)
-            left, n, r = kept_words(text or b"", own, window, joined)
-            texts.append(None if text is None and not joined else left)
-            n_words.append(n)
-            n_removed.append(r)
-        columns = [owned.column("doc_id"), *[owned.column(k) for k in keep], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-        return pa.Table.from_arrays(columns, ["doc_id", *keep, "text", "n_words", "n_removed"])
+        given = owned.column("text").cast(pa.binary()).to_pylist()
+        # A null id owns no place.
+        spans_of = [(np.searchsorted(doc, i), np.searchsorted(doc, i, "right")) if i is not None else (0, 0) for i in owned.column("doc_id").to_pylist()]
+        return pa.Table.from_arrays(output(owned, [kept_words(t or b"", start[a:b].astype(np.int64), window, joined) for t, (a, b) in zip(given, spans_of, strict=True)], given), names)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep, "text")) + ", n_words long, n_removed long"
-    return rows.groupBy("group").cogroup(removed.groupBy("group")).applyInArrow(apply, schema)
+    untouched = marked.filter("not __maybe").select("doc_id", *keep, "text").mapInArrow(whole, schema)
+    return untouched.unionByName(marked.filter("__maybe").drop("__maybe").groupBy("group").cogroup(removed.groupBy("group")).applyInArrow(cut, schema))

@@ -11,10 +11,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import IS_SPACE
+from .common import IS_SPACE, release
 
 #: Bytes of text that are worked on together.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(20240517))
 _CODES = _RANDOM.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -108,6 +108,7 @@ def binaries(column: pa.Array, rows: int = 128) -> Iterator[bytes | None]:
     """The bytes of a column's texts, a few at a time."""
     for a in range(0, len(column), rows):
         yield from column.slice(a, rows).cast(pa.binary()).to_pylist()
+    release()
 
 
 def sums_between(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
