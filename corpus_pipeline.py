@@ -12,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, packing, quality_gam, substring_dedup
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import shared_folder, small_batches, table
 from tessera.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality model, trained here on labelled documents, scores 0.7 or more."""
+    small_batches(spark)
     return quality_gam.keep_good(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the one of the smallest doc_id."""
+    small_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group linked by five-word shingles with a similarity of 0.8 or more the smallest doc_id."""
+    small_batches(spark)
     found = ngram_join.ngram_join(docs.select("doc_id", "text"), size=5, percent=80)
     gone = found.filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -35,6 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 20 words or more that also stand earlier in the corpus; every document stays, with what is left."""
+    small_batches(spark)
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     left = substring_dedup.substring_dedup(docs, keep=keep)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -42,6 +46,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents that are left into sequences of at most 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
