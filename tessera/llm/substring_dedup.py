@@ -311,12 +311,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     folder = f"{shared_folder(docs.sparkSession)}/substrings"
     removed = saved(found.select(F.col("bucket").alias("group"), "data"), folder)[0]
 
-    def touched(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(columns_of(batch.column("data").to_pylist(), ("<i8", "<i4"))[0]))], ["id"])
+    def touched(gone: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(np.unique(columns_of(gone.column("data").to_pylist(), ("<i8", "<i4"))[0]))], ["id"])
 
     # Documents that lose nothing need not meet the lists of what goes.
-    marked = maybe_listed(rows, "doc_id", removed.mapInArrow(touched, "id long"))
+    marked = maybe_listed(rows, "doc_id", removed.groupBy("group").applyInArrow(touched, "id long"))
     names = ["doc_id", *keep, "text", "n_words", "n_removed"]
 
     def output(owned, results: list[tuple[bytes, int, int]], given: list[bytes | None]) -> list:
