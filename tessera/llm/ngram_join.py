@@ -1,12 +1,13 @@
 """N-gram Jaccard join: prefix filtering with documents of identical prefix and size joined as one group.
 
 A document's shingles are put in one global order, rare ones first, and two documents that link share a shingle
-within their prefixes. The order comes from a bounded summary of all documents: one bit a cell for shingles met
-twice or more, and the counts of the most frequent ones. Any order gives the same links, a good one few
+within their prefixes. The order comes from a bounded summary of all documents: two bits a cell for how often
+its shingles were met, and the counts of the most frequent ones. Any order gives the same links, a good one few
 candidates: shingles met once fill most prefixes and can't match anything, even if half of them pass for repeated.
 
-Documents with equal shingle sets become one node, nodes with equal prefix and size one group. Each group meets
-the first group of every posting list; members are verified exactly and linked nodes joined into components.
+Documents with equal shingle sets become one node, nodes with equal prefix and size one group. Each group is
+tried with the group, among the first of its posting lists, that it shares most with; members are verified exactly
+and linked nodes joined into components.
 Then only pairs of different components are left to try: these are formed in full and verified too. So a list
 with very many alike is never expanded into all pairs, and no link between components is lost.
 """
@@ -20,18 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, maybe_listed, power_of_two, total_bytes
 from .components import components
-from .substring_dedup import merged, packed_counts
 from .words import WORD_BASES, Words, batches_of, binaries, mix, prefix, spans
 
 SHINGLE, PERCENT = 5, 80
-#: Cells of the summary, a bit each: 64 MB at most are broadcast. Beyond, rare shingles pass for repeated ones and
+#: Cells of the summary, two bits each: 64 MB at most are broadcast. Beyond, rare shingles pass for repeated ones and
 #: there are more candidates; links stay exact.
-MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 29
+MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 28
+#: Counts of a cell from which its shingles come later in the order.
+STEPS = (2, 16, 128)
 BLOCK_BITS = 18
 FAN_IN = 64
 #: Occurrences in one task from which a shingle is counted by itself, and the shingles kept so, those of most.
 HEAVY_FROM, HEAVY_KEPT = 3, 500_000
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 class Sets:
@@ -54,6 +56,32 @@ class Sets:
                 self.sets.append(np.zeros(0, np.uint64))
 
 
+def packed_cells(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted distinct cells of a block and their counts, up to 255: gaps in byte planes, or all counts in a row."""
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    if len(places) * 8 >= 1 << BLOCK_BITS:
+        out = np.zeros(1 << BLOCK_BITS, np.uint8)
+        out[places] = counts
+        return b"d" + out.tobytes()
+    gaps = np.diff(places, prepend=0).astype("<u4")
+    return b"s" + gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.tobytes()
+
+
+def merged(table: pa.Table) -> np.ndarray:
+    """The sums of a block's counts, up to 255."""
+    total = np.zeros(1 << BLOCK_BITS, np.uint16)
+    for data in table.column("data").to_pylist():
+        body = np.frombuffer(data, np.uint8, offset=1)
+        if data[:1] == b"d":
+            total += body
+        else:
+            n = len(body) // 5
+            gaps = np.ascontiguousarray(body[: 4 * n].reshape(4, n).T).view("<u4").ravel()
+            total[np.cumsum(gaps)] += body[4 * n :]
+        np.minimum(total, 255, out=total)
+    return total
+
+
 SUMMARY = "block int, part int, data binary, heavy binary"
 HEAVY = np.dtype([("hash", "<u8"), ("count", "<i8")])
 
@@ -73,7 +101,7 @@ def _row(block, part, data, heavy) -> pa.Table:
 
 
 def partial_summaries(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """For each task and block of cells: counts up to two, and the shingles that the task met often."""
+    """For each task and block of cells: counts, and the shingles that the task met often."""
     shift = np.uint64(64 - width.bit_length() + 1)
 
     def hand_on(held: list[np.ndarray], part: int) -> pa.RecordBatch:
@@ -89,7 +117,7 @@ def partial_summaries(docs: DataFrame, size: int, width: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
         heavy_block = ((heavy["hash"] >> shift) >> np.uint64(BLOCK_BITS)).astype(np.int64)
         heads = np.searchsorted(heavy_block, block[cuts[:-1]]), np.searchsorted(heavy_block, block[cuts[:-1]], "right")
-        data = [packed_counts(cell[a:b] & ((1 << BLOCK_BITS) - 1), total[a:b] > 1, BLOCK_BITS) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        data = [packed_cells(cell[a:b] & ((1 << BLOCK_BITS) - 1), total[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         lists = [heavy[a:b].tobytes() for a, b in zip(*map(np.ndarray.tolist, heads), strict=True)]
         blocks = block[cuts[:-1]]
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary()), pa.array(lists, pa.binary())], ["block", "part", "data", "heavy"])
@@ -112,18 +140,19 @@ def partial_summaries(docs: DataFrame, size: int, width: int) -> DataFrame:
 
 
 def summary(docs: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of cells with two or more, and (hash, count) of the most frequent shingles, by hash."""
+    """Two bits of each cell, how many STEPS its count reached, and (hash, count) of the most frequent shingles, by hash."""
     parts, left = partial_summaries(docs, size, width), docs.rdd.getNumPartitions()
     most = max(64, HEAVY_KEPT // max(1, width >> BLOCK_BITS))
 
     def merge(last: bool):
         def run(table: pa.Table) -> pa.Table:
-            total = merged(table, BLOCK_BITS)
+            total = merged(table)
             heavy = _summed(np.frombuffer(b"".join(table.column("heavy").to_pylist()), HEAVY))
             if len(heavy) > most:
                 heavy = heavy[np.sort(np.lexsort((heavy["hash"], -heavy["count"]))[:most])]
             places = np.flatnonzero(total)
-            data = np.packbits(total > 1).tobytes() if last else packed_counts(places, total[places] > 1, BLOCK_BITS)
+            step = np.searchsorted(STEPS, total, "right")
+            data = np.packbits([step & 1, step >> 1], axis=1).tobytes() if last else packed_cells(places, total[places])
             return _row(table.column("block")[0].as_py(), table.column("part")[0].as_py() // FAN_IN, data, heavy.tobytes())
 
         return run
@@ -131,23 +160,25 @@ def summary(docs: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.ndar
     while left > FAN_IN:
         parts = parts.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(merge(False), SUMMARY)
         left = -(-left // FAN_IN)
-    bits, heavy, step = np.zeros(max(width // 8, 1 << (BLOCK_BITS - 3)), np.uint8), [], 1 << (BLOCK_BITS - 3)
-    # A bit a cell and HEAVY_KEPT shingles: bounded, whatever the documents.
+    step = 1 << (BLOCK_BITS - 3)
+    bits, heavy = np.zeros((2, max(width // 8, step)), np.uint8), []
+    # Two bits a cell and HEAVY_KEPT shingles: bounded, whatever the documents.
     for r in parts.groupBy("block").applyInArrow(merge(True), SUMMARY).collect():
-        bits[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["data"], np.uint8)
+        bits[:, r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["data"], np.uint8).reshape(2, -1)
         heavy.append(np.frombuffer(r["heavy"], HEAVY))
     return bits, _summed(np.concatenate(heavy) if heavy else np.zeros(0, HEAVY))
 
 
 def levels(hashes: np.ndarray, bits: np.ndarray, heavy: np.ndarray, width: int) -> np.ndarray:
-    """0 for shingles met once, 1 for repeated ones, more for those counted by themselves."""
+    """0 for shingles met once, up to 3 by their cells' counts, more for those counted by themselves."""
     cell = (hashes >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
-    out = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(np.int64)
+    low, high = (plane[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 for plane in bits)
+    out = (low + 2 * high).astype(np.int64)
     if len(heavy):
         at = np.flatnonzero(out)
         place = np.minimum(np.searchsorted(heavy["hash"], hashes[at]), len(heavy) - 1)
         known = heavy["hash"][place] == hashes[at]
-        out[at[known]] = 2 + np.log2(heavy["count"][place[known]] * 1.0).astype(np.int64)
+        out[at[known]] = 4 + np.log2(heavy["count"][place[known]] * 1.0).astype(np.int64)
     return out
 
 
@@ -221,7 +252,7 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
     are one document, which has the links of all its texts. Columns other than doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    width = power_of_two(total_bytes(docs, "text") / 4, MIN_WIDTH, max_width)  # some 1.5 cells a shingle
+    width = power_of_two(total_bytes(docs, "text") / 8, MIN_WIDTH, max_width)  # about a cell a shingle
     shared = docs.sparkSession.sparkContext.broadcast(summary(rows, size, width))
     described = checkpointed(describe(rows, size, percent, width, shared))
     same = described.filter("n > 0 and doc_id is not null").groupBy("n", "high", "low")
@@ -233,10 +264,10 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
     members = nodes.join(groups.select("n", "prefix", "group"), ["n", "prefix"]).select("node", "n", "group")
     within = members.filter("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
     met = postings.alias("b").join(lists.select("token", "first.*").alias("a"), F.col("a.token") == F.col("b.token"))
-    across = met.filter((F.col("a.group") < F.col("b.group")) & near_enough(percent)).select(F.col("a.group").alias("a"), F.col("b.group").alias("b"))
-    tried = checkpointed(within.union(across).distinct())
-    shared_groups = postings.join(lists.select("token"), "token", "left_semi").select("group").union(within.select("a")).distinct()
-    wanted = members.join(shared_groups, "group", "left_semi").select(F.col("node").alias("doc_id"))
+    across = met.filter((F.col("a.group") < F.col("b.group")) & near_enough(percent)).groupBy(F.col("a.group").alias("a"), F.col("b.group").alias("b")).count()
+    # Of the first groups that a group meets, the one it shares most with; the others get their turn below.
+    likeliest = across.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+    tried = checkpointed(within.union(likeliest).distinct())
 
     def set_rows(batches):
         for batch in batches:
@@ -246,20 +277,25 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(found, pa.binary())], ["node", "shingles"])
                 done += len(texts)
 
-    wanted = checkpointed(wanted)
-    found = maybe_listed(rows, "doc_id", wanted).filter("__maybe and doc_id is not null").select("doc_id", "text").mapInArrow(set_rows, "node long, shingles binary")
-    sets = checkpointed(found.join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi"))
-    edges = checkpointed(verified(tried, sets, percent))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes that pairs name, from a scan in which other documents are told apart by a bitmap."""
+        wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        found = maybe_listed(rows, "doc_id", wanted).filter("__maybe and doc_id is not null").select("doc_id", "text").mapInArrow(set_rows, "node long, shingles binary")
+        return checkpointed(found.join(wanted, "node", "left_semi"))
+
+    edges = checkpointed(verified(tried, sets_of(tried), percent))
     linked = components(edges)
     # What is left: pairs of different components that share a shingle in their prefixes, each once.
     placed = members.join(linked, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component"))
-    entries = postings.join(lists.select("token"), "token", "left_semi").join(placed, "group").select("token", "node", "n", "place", "component")
+    # Shingles of several groups, and those of a group of several nodes.
+    met_again = lists.select("token").union(postings.join(within.select(F.col("a").alias("group")), "group", "left_semi").select("token")).distinct()
+    entries = postings.join(met_again, "token", "left_semi").join(placed, "group").select("token", "node", "n", "place", "component")
     spread = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     entries = checkpointed(entries.join(spread, "token", "left_semi"))
     pairs = entries.alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & near_enough(percent))
     rest = checkpointed(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = checkpointed(verified(rest, sets, percent))
+        more = checkpointed(verified(rest, sets_of(rest), percent))
         if not more.isEmpty():
             linked = components(edges.union(more))
     ids = nodes.join(linked, "node", "left").select("n", "high", "low", F.coalesce("component", "node").alias("component"))
