@@ -129,6 +129,15 @@ def test_chains_join_where_hubs_do_not_link(spark):
     assert got == brute_links(rows, 4, 90) and {c for _, c in got.values()} == {0}
 
 
+def test_members_of_a_group_link_past_its_first(spark):
+    """Nodes of one size and prefix, where the second and third link with each other but not with the first."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *[f"t{t}" for t in tail]])) for i, tail in enumerate([range(100, 140), range(0, 40), [*range(0, 36), *range(200, 204)]])]
+    rows += [(10 + i, r[1]) for i, r in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, rows), 1, 90).collect()}
+    assert got == brute_links(rows, 1, 90) and got[2][1] == 1
+
+
 def test_ngram_join_edges(spark):
     table = docs(spark, [(1, None), (2, ""), (3, "a b"), (4, "A B"), (5, "a b c"), (None, "a b"), (6, "z " * 60_000), (7, "same"), (7, "same")])
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id or -1) for r in ngram_join.ngram_join(table, 4, 85).collect())
