@@ -278,10 +278,10 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
                 done += len(texts)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the nodes that pairs name, from a scan in which other documents are told apart by a bitmap."""
+        """The sets of the nodes that pairs name, and of few others, from a scan in which a bitmap tells them apart."""
         wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         found = maybe_listed(rows, "doc_id", wanted).filter("__maybe and doc_id is not null").select("doc_id", "text").mapInArrow(set_rows, "node long, shingles binary")
-        return checkpointed(found.join(wanted, "node", "left_semi"))
+        return checkpointed(found)
 
     edges = checkpointed(verified(tried, sets_of(tried), percent))
     linked = components(edges)
