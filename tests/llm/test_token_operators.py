@@ -79,8 +79,15 @@ def test_plan_fills_bins(counts):
             assert at == end
             end += length
         assert end <= 64
-    need = sum(n * c for n, c in counts.items())
-    assert len(bins) <= 11 / 9 * -(-need // 64) + sum(c for n, c in counts.items() if n > 32) + 1
+    # As many bins as best-fit decreasing opens, one piece after another.
+    rooms = []
+    for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= length]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= length
+        else:
+            rooms.append(64 - length)
+    assert len(bins) == len(rooms)
 
 
 def check_packed(rows, texts, capacity=1024):
