@@ -3,17 +3,21 @@
 For each participant of a conversation the whole dialogue is rendered with that participant's turns as
 assistant turns and everybody else's as named user turns; masks mark the characters that a model should learn.
 Conversations are rendered in parts of ``PART_TURNS`` turn numbers, so one endless conversation is many rows in
-many tasks, and a part that repeats turn numbers over and over is divided by a hash once more.
+many tasks, and a part that repeats turn numbers over and over is divided by rank once more, in dialogue order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 PART_TURNS = 64
 #: Turns of one part that are rendered as one row.
 MAX_ROWS = 4096
+#: Characters of a text that ranges of a crowded part are cut by; a sample of such keys reaches the driver.
+KEY_CHARS = 1000
 #: Roles that speak from outside: rendered under their own role for all, never the assistant.
 NARRATORS = ("system",)
 NO_NAME = "unknown"
@@ -27,6 +31,25 @@ def _segment(turn: Column, speaker: Column, narrators: tuple[str, ...]) -> Colum
     return F.struct(F.concat(head, body).alias("text"), learnt.alias("learnt"), F.length(head).cast("long").alias("head"), F.length(F.concat(head, body)).cast("long").alias("size"))
 
 
+def _divided(turns: DataFrame, max_rows: int) -> DataFrame:
+    """``turns`` with ``sub``: in each (conv_id, part), every ``max_rows`` rows in order of turn, role and text.
+
+    Rows of crowded parts are cut into ranges of that order and ranked within a range, after the counts of the
+    ranges before it; so no part meets in a single task, and subs don't depend on where ranges were cut.
+    """
+    crowded = checkpointed(turns.groupBy("conv_id", "part").count().filter(F.col("count") > max_rows).select(F.col("conv_id").alias("c"), F.col("part").alias("p")))
+    if crowded.isEmpty():
+        return turns.withColumn("sub", F.lit(0))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    ranged = turns.join(crowded, same, "left_semi").repartitionByRange("conv_id", "part", "turn", "role", F.substring("text", 1, KEY_CHARS))
+    ranged = checkpointed(ranged.withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("conv_id", "part", "range").count().select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    ranked = ranged.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "part", "range").orderBy("turn", "role", "text")) - 1)
+    ranked = ranked.join(counts, same & (F.col("range") == F.col("r"))).withColumn("sub", F.floor((F.col("before") + F.col("n")) / max_rows).cast("int"))
+    return turns.join(crowded, same, "left_anti").withColumn("sub", F.lit(0)).unionByName(ranked.select(*turns.columns, "sub"))
+
+
 def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_turns: int = PART_TURNS, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per (conv_id, speaker, part): n_turns, text, mask_starts, mask_ends; parts follow in order of (part, sub).
 
@@ -39,11 +62,8 @@ def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS, par
     role = F.when(F.trim(F.coalesce("role", F.lit(""))) == "", F.lit(NO_NAME)).otherwise(F.col("role"))
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"))
-    crowded = turns.groupBy("conv_id", "part").count().filter(F.col("count") > max_rows)
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.ceil(F.col("count") / max_rows).alias("subs"))
-    turns = turns.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
-    turns = turns.withColumn("sub", F.when(F.col("subs").isNull(), 0).otherwise(F.pmod(F.xxhash64("turn", "role", "text"), F.col("subs"))).cast("int"))
     speakers = turns.filter(~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
+    turns = _divided(turns, max_rows)
     parts = turns.groupBy("conv_id", "part", "sub").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     seen = seen.withColumn("seg", F.transform("turns", lambda t: _segment(t, F.col("speaker"), narrators)))

@@ -101,6 +101,31 @@ def test_rotation_divides_endless_conversations(spark):
         assert all(whole.count(f"\nt{i}<") == 1 for i in range(60))
 
 
+def test_rotation_divides_in_dialogue_order(spark, tmp_path):
+    """Crowded parts, also of a null conversation and of null turns: subs are runs of the dialogue that SQL has in one row."""
+    import duckdb
+
+    rows = [(c, None if i % 5 == 4 else i % 3, "abc"[i % 7 % 3], f"t{i * 37 % 101:03}") for c in (1, None) for i in range(101)]
+    rows += [(2, i, "ab"[i % 2], f"u{i}") for i in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+        want = {(c, s, p): (n, t, a, b) for c, s, p, _, n, t, a, b in db.execute(queries.OP2_SQL).fetchall()}
+    parts = collections.defaultdict(list)
+    for r in chat.rotate(spark.read.parquet(f"{tmp_path}/conversations.parquet"), max_rows=8).collect():
+        parts[r.conv_id, r.speaker, r.part].append(r)
+    assert parts.keys() == want.keys() and max(map(len, parts.values())) > 5
+    for key, subs in parts.items():
+        subs.sort(key=lambda r: r.sub)
+        assert [r.sub for r in subs] == list(range(len(subs))) and all(r.n_turns == 8 for r in subs[:-1]) and subs[-1].n_turns <= 8
+        text, starts, ends = "", [], []
+        for r in subs:
+            starts += [len(text) + x for x in r.mask_starts]
+            ends += [len(text) + x for x in r.mask_ends]
+            text += r.text
+        assert (sum(r.n_turns for r in subs), text, starts, ends) == want[key]
+
+
 # -- counts, scores and rules
 
 TEXTS = ["", " \n", "one", "a b  c\n\n a b  c\n a b  c", "é à é à é à", "# $ | <x>\nx\ny\nx", "w " * 300, "A!! B!!\n" * 40]
