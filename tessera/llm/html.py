@@ -3,7 +3,8 @@
 A page becomes a tree in flat arrays, in page order. Every node gets its characters per tag, adjusted by the
 share of link characters and link tags; a node's density sum adds up the densities of its children. The subtree
 with the largest sum is the main content. The least density on its path to the body is the threshold that
-decides what else on that path belongs to it. Elements that are never part of an article (scripts, menus,
+decides what else beside that path belongs to it. Marked elements (article, main and the like) only add: the
+nearest one around the main content is taken whole. Elements that are never part of an article (scripts, menus,
 forms, notices and the like) are left out before densities are computed.
 """
 
@@ -215,16 +216,12 @@ def main_text(tree: Tree) -> str:
     while path[-1] != body:
         path.append(parent[path[-1]])
     threshold = min(dense[i] for i in path)
-    marked = [i for i in path if tree.main[i]]
-    if marked:
-        chosen = [marked[0]]
-    elif len(below := [i for i in inside if tree.main[i] and best < i <= tree.last[best] and chars[i] * 2 >= chars[best]]) and all(i <= tree.last[below[0]] for i in below):
-        chosen = [below[0]]
-    else:
-        # Beside the path: headings and blocks that are as dense as the least dense node on it.
-        chosen = [best] + [
-            i for i in inside if i not in path and parent[i] in path[1:] and dense[i] >= threshold and (tag[i] in HEADINGS or tag[i] == "p" or sums[i] > dense[i])
-        ]
+    whole = next((i for i in path if tree.main[i]), best)
+    # Beside the path: what is as dense as the least dense node on it; a block of bare text other than a heading,
+    # a paragraph or a marked element must be as dense as the main content.
+    on, above = set(path), set(path[1:])
+    beside = [i for i in inside if i not in on and parent[i] in above and dense[i] >= threshold]
+    chosen = [whole] + [i for i in beside if tag[i] in HEADINGS or tag[i] == "p" or tree.main[i] or sums[i] > dense[i] or tag[i] in BLOCK and dense[i] >= dense[best]]
     spans = [(i, tree.last[i]) for i in chosen]
     text = "".join(" " if t is None else t for i, t in pieces if any(a <= i <= b for a, b in spans))
     return " ".join(text.split())

@@ -52,6 +52,45 @@ def test_extract(page, want):
     assert html.extract(page) == want
 
 
+def five(letter, n=5):
+    return [f"{letter}{k} " + "word " * 39 + "end." for k in range(n)]
+
+
+LINKS = "<div>" + "".join(f"<span><a href={k}>Link {k}</a></span> " for k in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    ("shape", "parts"),
+    [
+        ("<body>{links}<div>{0}</div><div>{1}</div></body>", 2),
+        ("<body>{links}<main><article>{0}</article><article>{1}</article></main></body>", 2),
+        ("<body>{links}<article>{0}</article><article>{1}</article><article>{2}</article></body>", 3),
+        ("<body>{links}<article>{0}</article><section>{1}</section></body>", 2),
+        ("<body>{links}<div role=main>{0}</div><div>{1}</div></body>", 2),
+        ("<body>{links}<div itemprop=articleBody><div>{0}</div><div>{1}</div></div><div>{2}</div></body>", 3),
+        ("<body>{links}<div><div>{0}</div></div></body>", 1),
+    ],
+)
+def test_density_chooses_the_extent(shape, parts):
+    """Parts above the threshold belong to the article with no, one or several marked elements; links never do."""
+    texts = [five(x) for x in "abc"[:parts]]
+    page = shape.format(*("".join(f"<p>{t}</p>" for t in part) for part in texts), links=LINKS)
+    assert html.extract(page) == " ".join(t for part in texts for t in part)
+
+
+def test_marked_element_does_not_narrow_the_densest():
+    inner, outer = five("a", 4), five("b", 3)
+    page = "<body><div><article>" + "".join(f"<p>{t}</p>" for t in inner) + "</article>" + "".join(f"<p>{t}</p>" for t in outer) + "</div></body>"
+    assert html.extract(page) == " ".join(inner + outer)
+
+
+def test_bare_marked_elements_and_blocks_beside_the_path():
+    texts = five("a", 3)
+    assert html.extract("<body><main>" + "".join(f"<article>{t}</article>" for t in texts) + "</main></body>") == " ".join(texts)
+    page = f"<body><div><article><p>{texts[0]}</p><p>{texts[1]}</p></article><blockquote>{texts[2]}</blockquote></div>{LINKS}</body>"
+    assert html.extract(page) == " ".join(texts)
+
+
 def test_extract_deep_and_broken():
     assert html.extract("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
     assert html.extract("<a href='x" * 2000) is not None
