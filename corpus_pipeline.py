@@ -47,7 +47,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents that are left into sequences of at most 1024 tokens."""
     small_batches(spark)
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("substrings", substrings), ("pack", pack)]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -199,6 +200,8 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        #: Added tokens of a tokenizers file by their ids; encode_batch() takes them for ordinary text.
+        self.added: dict[str, int] = {}
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.cache: dict[bytes, list[int]] = {}
         self.older: dict[bytes, list[int]] = {}
@@ -215,7 +218,16 @@ class ByteBpe:
         special = {x["content"] for x in saved["added_tokens"]}
         own = {chr(x) for x in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}
         shown = {c: ord(c) for c in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in own)}
-        return cls({bytes(shown[c] for c in token): i for token, i in saved["model"]["vocab"].items() if token not in special})
+        out = cls({bytes(shown[c] for c in token): i for token, i in saved["model"]["vocab"].items() if token not in special})
+        if any(x.get(k) for x in saved["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take white space or stand as single words only are not supported")
+        out.added = {x["content"]: x["id"] for x in saved["added_tokens"]}
+        return out
+
+    @functools.cached_property
+    def added_pattern(self) -> re.Pattern | None:
+        """Finds added tokens as the tokenizers library does: the leftmost, and of those the longest."""
+        return re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     @functools.cached_property
     def pairs(self) -> dict[int, int]:

@@ -77,7 +77,11 @@ def _library(name: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=loaded(name).ranks, special_tokens={})
 
 
-def ids_of(name: str, text: str) -> np.ndarray:
+def ids_of(name: str, text: str, added: bool = False) -> np.ndarray:
+    """Ids of a text; with ``added``, the file's added tokens have ids of their own, as with the tokenizers library's defaults."""
+    if added and (pattern := loaded(name).added_pattern) and len(parts := pattern.split(text)) > 1:
+        own = loaded(name).added
+        return np.concatenate([np.array([own[x]], "<u4") if k % 2 else ids_of(name, x) for k, x in enumerate(parts)])
     try:
         return _library(name).encode_to_numpy(text, disallowed_special=()).astype("<u4")
     except BaseException as e:  # the library's regular expressions give up on endless runs of white space
@@ -87,10 +91,11 @@ def ids_of(name: str, text: str) -> np.ndarray:
         return own.encode_batch([text])[0].astype("<u4")
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end``, cut where longer than ``capacity``.
 
     Pieces have ``capacity`` ids but the first, which takes the rest. A null text is empty: its one piece is ``end``.
+    With ``added``, added tokens in a text get their ids; otherwise they are ordinary text.
     """
     name = ship(docs.sparkSession, vocabulary)
 
@@ -98,7 +103,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
         for batch in batches:
             index, piece, start, length, crc, lists = [], [], [], [], [], []
             for i, text in enumerate(texts_in(batch.column("text"))):
-                own = np.append(ids_of(name, text or ""), np.uint32(end)).astype("<u4")
+                own = np.append(ids_of(name, text or "", added), np.uint32(end)).astype("<u4")
                 cuts = [0, *range(len(own) % capacity or min(capacity, len(own)), len(own), capacity), len(own)]
                 for k in range(len(cuts) - 1):
                     part = own[cuts[k] : cuts[k + 1]]
@@ -146,11 +151,11 @@ def place(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     return placed.select(*items.columns, "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, salts: int = SALTS, added: bool = False) -> DataFrame:
     """One row per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and repeated rows are packed each; a null doc_id stays null; an empty table gives no
-    rows; columns other than doc_id and text are not read.
+    rows; columns other than doc_id and text are not read. ``added`` is as in pieces().
     """
-    cut = checkpointed(pieces(docs, vocabulary, capacity, end).withColumn("uid", F.monotonically_increasing_id()))
+    cut = checkpointed(pieces(docs, vocabulary, capacity, end, added=added).withColumn("uid", F.monotonically_increasing_id()))
     return place(cut, capacity, salts).drop("uid")

@@ -139,6 +139,40 @@ def test_long_white_space_falls_back(monkeypatch):
     assert packing.ids_of("v", "it's  x").tolist() == LIBRARY.encode_ordinary("it's  x")
 
 
+JSON = bpe.ByteBpe.from_bytes(open(path("byte_bpe_50k.json"), "rb").read(), "json")
+MARKED = ["<|endoftext|> x", "a <|endoftext|>  x", "<|endoftext|><|endoftext|>", "foo  <|endoftext|>'s", "<|endoftext|", "plain", "", "<|endoftext|>" * 1500, " " * 5000 + "<|endoftext|>"]
+
+
+def test_packing_gives_added_tokens_as_the_librarys_defaults_do(spark, tmp_path):
+    """Both queries that pack, over texts with the literal of an added token."""
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = {}
+    for i, text in enumerate(MARKED):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or min(1024, len(ids))
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k] = (a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b])))
+    table = docs(spark, list(enumerate(MARKED)), extra=False)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (queries.op8_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, table, "")):
+        assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows.collect()} == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(ODD, max_size=8) | st.just("<|endoftext|>"), max_size=6).map("".join))
+def test_added_tokens_also_where_the_fast_library_gives_up(text):
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+
+    def fails(*a, **k):
+        raise ValueError
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "_library", lambda name: type("L", (), {"encode_to_numpy": fails}))
+        m.setattr(packing, "loaded", lambda name: JSON)
+        assert packing.ids_of("v", text, added=True).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_shards_are_even_and_steady():
     names = sharding.SHARDS
     table = sharding.fill_table(names)
