@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import xxh3_hex
 from ..operators.chunking import documents, source_chunks
 from ..operators.sync import changed_only
-from .embedding import Provider, embed
+from .embedding import Provider, embed_cached
 from .files import read_paths, scan_files
 from .store import Store
 
 
-def _chunks(files: DataFrame, collection: str, provider: Provider) -> DataFrame:
+def _split(files: DataFrame, collection: str) -> DataFrame:
     docs = documents(source_chunks(files.filter(F.col("text").isNotNull())))
-    return embed(docs.withColumn("collection", F.lit(collection)).withColumn("project_name", F.col("project")), provider).withColumn("ord", F.col("piece"))
+    return docs.withColumn("collection", F.lit(collection)).withColumn("project_name", F.col("project"))
+
+
+def _chunks(store: Store, files: DataFrame, collection: str, provider: Provider) -> DataFrame:
+    """Chunks with vectors from the store's cache, which first gets those it doesn't have."""
+    docs = _split(files, collection)
+    store.cache(embed_cached(docs, store.cached(), provider)[1])
+    # Only looked up: a filter on vectors would be pushed down to the provider's calls and make them again.
+    known = store.cached().filter(F.col("provider") == provider.name).select("content_hash", "embedding")
+    return docs.withColumn("content_hash", xxh3_hex(F.col("content"))).join(known, "content_hash", "left").select(*docs.columns, "embedding").withColumn("ord", F.col("piece"))
 
 
 def index_codebase(store: Store, root: str, project: str, provider: Provider, force: bool = False, patterns: list[str] | None = None, extensions: set[str] | None = None) -> dict:
@@ -24,7 +34,7 @@ def index_codebase(store: Store, root: str, project: str, provider: Provider, fo
         return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
     store.drop(collection)
     store.create(collection, provider.dimension)
-    store.upsert(collection, _chunks(scan_files(store.spark, root, project, patterns, extensions), collection, provider), "ord", provider.name)
+    store.upsert(collection, _chunks(store, scan_files(store.spark, root, project, patterns, extensions), collection, provider), "ord", provider.name)
     return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
 
 
@@ -33,14 +43,14 @@ def index_files(store: Store, root: str, project: str, paths: list[str], provide
     collection = f"code_{project}"
     store.create(collection, provider.dimension)
     files = read_paths(store.spark, root, project, paths)
-    chunks = _chunks(files, collection, provider)
+    chunks = _chunks(store, files, collection, provider)
     good = files.filter(F.col("error").isNull()).select("file_path")
     old = store.read(collection)
     if old is not None:
         gone = old.join(good, "file_path", "left_semi").select("id")
         store.delete(collection, gone)
     store.upsert(collection, chunks, "ord", provider.name)
-    counts = chunks.groupBy("file_path").agg(F.count("*").alias("chunks"))
+    counts = _split(files, collection).groupBy("file_path").agg(F.count("*").alias("chunks"))
     return files.join(counts, "file_path", "left").select(F.col("file_path").alias("path"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
 
 
@@ -50,7 +60,7 @@ def index_branch(store: Store, root: str, project: str, branch_collection: str,
         return 0
     files = scan_files(store.spark, root, project)
     only = changed_only(files, store.spark.createDataFrame([(p,) for p in changed], "file_path string"))
-    rows = _chunks(only, branch_collection, provider)
+    rows = _chunks(store, only, branch_collection, provider)
     if rows.isEmpty():
         return 0
     store.create(branch_collection, provider.dimension)
@@ -71,6 +81,11 @@ def clear_index(store: Store, project: str) -> dict:
     return {"project": project, "status": "cleared"}
 
 
+def clear_embedding_cache(store: Store) -> dict:
+    store.clear_cache()
+    return {"status": "cleared"}
+
+
 def reconcile(store: Store, root: str, project: str) -> dict:
     """Drops chunks of files that are not there any more."""
     import os

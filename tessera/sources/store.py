@@ -24,6 +24,8 @@ class Store:
 
     POINTER = "collection string, version string, dimension int, seq long"
 
+    CACHE = "content_hash string, provider string, embedding array<float>"
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
@@ -101,6 +103,23 @@ class Store:
         rows = self.read(collection)
         return 0 if rows is None else rows.count()
 
+    def cached(self) -> DataFrame:
+        """The embedding cache: a row for each content_hash and provider."""
+        try:
+            rows = self.spark.read.schema(self.CACHE).parquet(f"{self.folder}/embedding_cache")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.CACHE)
+        return rows.filter(F.col("embedding").isNotNull()).dropDuplicates(["content_hash", "provider"])
+
+    def cache(self, rows: DataFrame) -> None:
+        """Appends rows; cached() leaves out those without a vector, as a filter here would embed them twice."""
+        rows.write.mode("append").parquet(f"{self.folder}/embedding_cache")
+
+    def clear_cache(self) -> None:
+        self.spark.createDataFrame([], self.CACHE).write.mode("overwrite").parquet(f"{self.folder}/embedding_cache")
+
     def validate(self, dimension: int) -> None:
         """Raises for the first collection of another dimension."""
         for r in self._pointers().filter(F.col("dimension").isNotNull() & (F.col("dimension") != dimension)).orderBy("collection").limit(1).collect():

@@ -96,6 +96,9 @@ class Workspace:
     def clear_index(self, project: str) -> dict:
         return indexer.clear_index(self.store, project)
 
+    def clear_embedding_cache(self) -> dict:
+        return indexer.clear_embedding_cache(self.store)
+
     def branches(self, project: str) -> DataFrame:
         rows = self._chunks(f"code_{project}__")
         return self._frame("branch string, chunk_count long") if rows is None else stats.branch_counts(rows, project)

@@ -81,3 +81,38 @@ def test_coordination(space):
     counts = {r.metric: r.value for r in space.stats(T0).collect()}
     assert counts["active_locks"] == 1 and counts["memory_nodes"] == 0
     assert space.prune(later(61 + 10)) == 1 and space.agents(later(72)).count() == 0
+
+
+class CountingProvider(HashProvider):
+    """Notes every text that it embeds in a file."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def embed_batch(self, texts):
+        with open(self.path, "a") as f:
+            f.write("x\n" * len(texts))
+        return super().embed_batch(texts)
+
+
+def test_indexing_embeds_behind_the_cache(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "src" / f"{name}.py").write_text("def same():\n    return 1\n")
+    (tmp_path / "src" / "c.py").write_text("def other():\n    return 2\n")
+    calls = tmp_path / "calls"
+    calls.touch()
+    count = lambda: len(calls.read_text().split())
+    work = Workspace(spark, str(tmp_path / "store"), CountingProvider(str(calls)))
+    done = work.index_codebase(str(tmp_path / "src"), "p")
+    texts = work.store.read("code_p").select("id", "content", "embedding").collect()
+    distinct = len({r.content for r in texts})
+    assert count() == distinct <= done["chunk_count"]
+    for r in texts:
+        assert list(r.embedding) == pytest.approx(HashProvider().embed_batch([r.content])[0])
+    assert work.index_codebase(str(tmp_path / "src"), "p", force=True) == done and count() == distinct
+    (tmp_path / "src" / "c.py").write_text("def third():\n    return 3\n")
+    assert [(r.chunks, r.error) for r in work.index_files(str(tmp_path / "src"), "p", ["c.py"]).collect()] == [(1, None)]
+    assert count() == distinct + 1
+    assert work.clear_embedding_cache() == {"status": "cleared"} and work.store.cached().count() == 0
+    assert work.index_codebase(str(tmp_path / "src"), "p", force=True)["chunk_count"] == done["chunk_count"] and count() == 2 * distinct + 1
