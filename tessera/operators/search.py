@@ -47,21 +47,25 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, where: Column | N
     return scored(vectors, query, where).orderBy(F.desc("score"), "id").limit(clamp(k))
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, probed=None) -> DataFrame:
     """(query_id, id, score, rank) of the nearest ``k`` rows for each of ``queries`` (query_id, embedding).
 
     Queries go out in blocks of QUERIES_AT_ONCE; against each, a batch of rows is one matrix product that picks
     candidates, whose exact scores are then computed as ``scored`` does. Each task hands on at most ``k`` rows a query.
+    With ``probed``, a query looks only at rows whose ``cell`` is in probed(its embedding).
     """
     k = clamp(k)
     left, out = queries.orderBy("query_id").toLocalIterator(), None
     while block := list(islice(left, QUERIES_AT_ONCE)):
         names, q = [r["query_id"] for r in block], np.array([r["embedding"] for r in block], np.float64)
 
-        def run(batches, names=names, q=q):
+        cells = None if probed is None else [probed(x) for x in q]
+
+        def run(batches, names=names, q=q, cells=cells):
             best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
             for batch in batches:
                 own = batch.column("id").to_numpy(zero_copy_only=False)
+                at = None if cells is None else batch.column("cell").to_numpy(zero_copy_only=False)
                 v = np.array(batch.column("embedding").to_pylist(), np.float64)
                 for start in range(0, len(v), 256):
                     part = v[start : start + 256]
@@ -69,6 +73,8 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                     for d in range(q.shape[1]):  # in the order of elements, so that sums are the JVM's
                         total += (part[None, :, d] - q[:, None, d]) ** 2
                     s = np.round(1.0 / (1.0 + total), DIGITS)
+                    if cells is not None:
+                        s[~np.array([np.isin(at[start : start + 256], c) for c in cells])] = -1.0
                     best_s = np.concatenate([best_s, s], axis=1)
                     best_i = np.concatenate([best_i, np.broadcast_to(own[start : start + 256], s.shape)], axis=1)
                     order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
@@ -76,7 +82,8 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             n = best_s.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
 
-        part = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "query_id long, id long, score double")
+        part = vectors.select(F.col("id").cast("long").alias("id"), "embedding", *["cell"] * (cells is not None)).mapInArrow(run, "query_id long, id long, score double")
+        part = part if cells is None else part.filter("score >= 0")
         out = part if out is None else out.union(part)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
@@ -105,12 +112,22 @@ def hyperplane_index(vectors: DataFrame, bits: int = 4, seed: int = 7) -> DataFr
     return vectors.withColumn("cell", sum(signs[1:], signs[0]))
 
 
-def approximate_top_k(indexed: DataFrame, query: list[float], k: int = 10, bits: int = 4, seed: int = 7, probes: int = 13) -> DataFrame:
-    """Nearest rows among the ``probes`` cells of the least total distance to the query's own side; ``cell`` is a plain filter, so a partition column prunes."""
+def probed_cells(query, bits: int = 4, seed: int = 7, probes: int = 13) -> list[int]:
+    """The ``probes`` cells of the least total distance to the query's own side."""
     at = np.random.default_rng(seed).standard_normal((bits, len(query))) @ np.array(query, float)
     own = sum(1 << i for i, x in enumerate(at) if x >= 0)
     cost = sorted((sum(abs(at[i]) for i in range(bits) if c >> i & 1), c) for c in range(1 << bits))
-    return top_k(indexed, query, k, F.col("cell").isin([own ^ c for _, c in cost[:probes]]))
+    return [own ^ c for _, c in cost[:probes]]
+
+
+def approximate_top_k(indexed: DataFrame, query: list[float], k: int = 10, bits: int = 4, seed: int = 7, probes: int = 13) -> DataFrame:
+    """Nearest rows among the probed cells; ``cell`` is a plain filter, so a partition column prunes."""
+    return top_k(indexed, query, k, F.col("cell").isin(probed_cells(query, bits, seed, probes)))
+
+
+def approximate_top_k_each(indexed: DataFrame, queries: DataFrame, k: int = 10, bits: int = 4, seed: int = 7, probes: int = 13) -> DataFrame:
+    """The same for each of ``queries`` (query_id, embedding), in the form of top_k_each()."""
+    return top_k_each(indexed, queries, k, lambda q: probed_cells(q, bits, seed, probes))
 
 
 def find_symbol(chunks: DataFrame, name: str, file_path: str | None = None, kind: str | None = None) -> DataFrame:

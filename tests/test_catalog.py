@@ -30,6 +30,25 @@ def test_approximate_search_finds_most(spark):
     assert hit >= 0.9 * total
 
 
+def test_approximate_search_of_many_rows_on_the_largest_table(spark):
+    from tessera.operators import search
+    from tessera.plans.views import view
+
+    sf = "/root/testdata/sf0.1"
+    rows = view(spark, sf, "v_vec").cache()
+    queries = rows.filter("id % 20 = 0").selectExpr("id query_id", "embedding")
+    exact = {(r.query_id, r.id) for r in search.top_k_each(rows, queries, 10).collect()}
+    got = catalog.QUERIES["ann_topk_lsh"](spark, sf).collect()
+    assert {r.query_id for r in got} == {r.query_id for r in queries.collect()}
+    recall = len(exact & {(r.query_id, r.id) for r in got}) / len(exact)
+    print(f"recall {recall:.4f} of {len(exact)}")
+    assert recall >= 0.9
+    indexed = search.hyperplane_index(rows)
+    for r in queries.orderBy("query_id").limit(3).collect():
+        one = [(x.id, x.score) for x in search.approximate_top_k(indexed, r.embedding, 10).collect()]
+        assert one == [(x.id, x.score) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == r.query_id]
+
+
 def test_entry_without_the_llm_subpackage():
     import subprocess
     import sys
