@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .words import BYTE_BASES, Words, mix, spans, sums_between
+from .words import Words, mix, runs, slice_hashes, sums_between
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -44,7 +44,7 @@ class Counts:
         if len(h) >= 3:
             inside = owner[2:] == owner[:-2]
             at = np.flatnonzero(inside)
-            again = at[marked(owner[at], w.shingles(3, hashes=h)[at]) > 1] if len(at) else at
+            again = at[marked(owner[at], runs(h, 3)[at]) > 1] if len(at) else at
             for k in range(3):
                 repeated[again + k] = True
         by_line = np.searchsorted(w.starts, cuts)
@@ -62,8 +62,7 @@ class Counts:
         self.first = np.searchsorted(cuts[:-1], w.text_starts)
         line_owner = np.repeat(np.arange(n_texts), np.diff(self.first))
         full = np.flatnonzero(self.line[:, 0] > 0)
-        sums_of = w.prefix()
-        line_hash = spans(sums_of, cuts[full], cuts[full + 1] - 1, BYTE_BASES[0])
+        line_hash = slice_hashes(w.padded, cuts[full], cuts[full + 1] - 1)
         # Of equal lines of a text, all but the first are copies.
         key = mix(line_hash ^ mix(line_owner[full].astype(np.uint64) + np.uint64(0x2545F491)))
         first_of = np.unique(key, return_index=True)[1]

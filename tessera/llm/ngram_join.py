@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, maybe_listed, power_of_two, total_bytes
 from .components import components
-from .words import WORD_BASES, Words, batches_of, binaries, mix, prefix, spans
+from .words import Words, batches_of, binaries, mix, runs
 
 SHINGLE, PERCENT = 5, 80
 #: Cells of the summary, two bits each: 64 MB at most are broadcast. Beyond, rare shingles pass for repeated ones and
@@ -41,17 +41,14 @@ class Sets:
 
     def __init__(self, texts: list[bytes], size: int):
         w = Words(texts, lower=True)
-        sums = prefix(w.hashes(), WORD_BASES[0])
-        n = len(w.starts)
-        at = np.arange(max(0, n - size + 1))
-        full = mix(spans(sums, at, at + size, WORD_BASES[0]))
+        hashes = w.hashes()
+        full = runs(hashes, size)
         self.sets = []
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
             if b - a >= size:
                 self.sets.append(np.unique(full[a : b - size + 1]))
             elif b > a:
-                whole = spans(sums, np.array([a]), np.array([b]), WORD_BASES[0])
-                self.sets.append(mix(whole + np.uint64(b - a)))
+                self.sets.append(mix(runs(hashes[a:b], b - a) + np.uint64(b - a)))
             else:
                 self.sets.append(np.zeros(0, np.uint64))
 

@@ -1,13 +1,15 @@
 """Substring deduplication behind a count-min prefilter.
 
-First pass: every partition counts into a count-min sketch, the sketches merge block by block, and what remains
-is one bit a cell: counted twice or more. A window is counted by its anchor, the 10-word run of least hash
-within it. Equal windows have equal anchors at different places, so an anchor's count is never below its
-windows' counts, and the sketch's estimate is never below that: no repeated window is missed, and a window costs
-the sketch a sixth of a count. Second pass: only windows estimated repeated are grouped exactly, by 128 bits of
-their words, and every occurrence but the first in order of (doc_id, start) is removed.
-
-A window that occurs often in one partition leaves it once: the others are known there to be repeats.
+Documents meet in groups of some megabytes. First pass: every group counts into a count-min sketch, the groups'
+sketches are merged by block, and each group is told the estimates of its own cells. A window is counted by its
+anchor, the 10-word run of least hash within it. Equal windows have equal anchors at different places, so an
+anchor's count is never below its windows' counts, and the sketch's estimate is never below that: no repeated
+window is missed, and a window costs the sketch a sixth of a count. Second pass: only windows estimated repeated
+are sent on, neighbours that share a range of anchors as one passage with its words, and every occurrence but the
+first in order of (doc_id, start) is removed. Windows meet by hash and are grouped by their words, byte for byte.
+
+Each level keeps of equal windows the first, so a passage that very many documents share is never all in one task.
+All passes read one shuffle of the texts; nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -16,24 +18,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import maybe_listed, power_of_two, saved, shared_folder, total_bytes
-from .words import WORD_BASES, Words, batches_of, binaries, mix, prefix, spans
+from .common import power_of_two, release, total_bytes
+from .sketch import PARTS, Sketch
+from .words import Words, batches_of, mix, runs
 
 WINDOW = 20
 ANCHOR = 10
 ROWS = 2
-#: Cells of a sketch row. The merged sketch has one bit a cell, so at most 64 MB are broadcast. In a corpus that
-#: would need more cells, estimates are looser: more windows reach the second pass, and none is lost.
-MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 28
-BLOCK_BITS = 16
-#: Partial sketches that merge at once.
-FAN_IN = 64
-#: Bytes of text for each range of window hashes, and for each group of documents.
-RANGE_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
-#: Anchors or windows that a task holds before it hands them on.
-HELD = 600_000
-ROW_SALTS = (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
+#: Cells of a sketch row for each byte of text: some eight for each anchor.
+CELLS = 8 / 36
+#: Bytes of text for each group of documents, and for each range of anchors.
+GROUP_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
+#: Groups whose windows meet at once; with more, they meet in several levels.
+FAN_IN = 4096
+#: A longer text is looked at in pieces of so many words.
+PIECE_BYTES, PIECE_WORDS = 1 << 20, 1 << 17
+#: Low bits of an anchor's order that say its place, so that of equal runs the first counts.
+_PLACE = np.uint64((1 << 31) - 1)
 
 
 def sliding_min(keys: np.ndarray, size: int) -> np.ndarray:
@@ -56,15 +59,15 @@ class Windows:
         ends = np.repeat(w.first[1:], np.diff(w.first))
         self.at = np.flatnonzero(np.arange(n) + window <= ends)
         if not len(self.at):
-            self.anchor_at, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            self.anchor_at, self.anchor, self.hash = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             return
-        self.sums = prefix(w.hashes(), WORD_BASES[0])
-        place = np.arange(n - run + 1)
-        runs = mix(spans(self.sums, place, place + run, WORD_BASES[0]))
-        mask = np.uint64((1 << max(1, int(n).bit_length())) - 1)
-        least = sliding_min((runs & ~mask) | place.astype(np.uint64), window - run + 1)
-        self.anchor_at = (least[self.at] & mask).astype(np.int64)
-        self.anchor = runs[self.anchor_at]
+        hashes = w.hashes()
+        found = runs(hashes, run)
+        place = np.arange(len(found), dtype=np.uint64)
+        least = sliding_min((found & ~_PLACE) | place, window - run + 1)
+        self.anchor_at = (least[self.at] & _PLACE).astype(np.int64)
+        self.anchor = found[self.anchor_at]
+        self.hash = runs(hashes, window)[self.at]
 
     def distinct_anchors(self) -> np.ndarray:
         """The hash of each place that is an anchor, once a place."""
@@ -72,208 +75,147 @@ class Windows:
         new[1:] = self.anchor_at[1:] != self.anchor_at[:-1]
         return self.anchor[new]
 
-    def hashes(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the words of the picked windows."""
-        at = self.at[picked]
-        high = mix(spans(self.sums, at, at + self.size, WORD_BASES[0]))
-        other = prefix(self.words.hashes(1), WORD_BASES[1])
-        return high, mix(spans(other, at, at + self.size, WORD_BASES[1]))
-
-
-def cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(anchors ^ ROW_SALTS[row]) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
-
-
-def packed_counts(places: np.ndarray, twice: np.ndarray, bits: int = BLOCK_BITS) -> bytes:
-    """Sorted distinct cells of a block and whether each has two or more: gaps in byte planes, or two bit planes."""
-    if len(places) * 16 >= 1 << bits:
-        planes = np.zeros((2, 1 << bits), bool)
-        planes[0, places] = True
-        planes[1, places[twice]] = True
-        return b"d" + np.packbits(planes).tobytes()
-    gaps = (np.diff(places, prepend=0) * 2 + twice).astype("<u4")
-    return b"s" + gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
+def distinct_texts(table: pa.Table) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """The distinct (doc_id, text) of a group in order, and which of them each row is; -1 without either."""
+    keys = [(i, t) if i is not None and t is not None else None for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True)]
+    order = sorted({k for k in keys if k is not None})
+    place = {k: n for n, k in enumerate(order)}
+    return order, np.array([-1 if k is None else place[k] for k in keys], np.int64)
 
-def unpacked_counts(data: bytes, bits: int = BLOCK_BITS) -> np.ndarray:
-    """The block's counts, up to two."""
-    out = np.zeros(1 << bits, np.uint8)
-    body = np.frombuffer(data, np.uint8, offset=1)
-    if data[:1] == b"d":
-        planes = np.unpackbits(body).reshape(2, -1)
-        return planes[0] + planes[1]
-    gaps = np.ascontiguousarray(body.reshape(4, -1).T).view("<u4").ravel()
-    out[np.cumsum(gaps >> 1)] = 1 + (gaps & 1)
-    return out
 
-
-def sketch_rows(anchors: np.ndarray, part: int, width: int) -> pa.RecordBatch:
-    rows, blocks, data = [], [], []
-    for row in range(ROWS):
-        found, counts = np.unique(cells(anchors, row, width), return_counts=True)
-        block = found >> BLOCK_BITS
-        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(found) else np.zeros(1, int)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            rows.append(row)
-            blocks.append(int(block[a]))
-            data.append(packed_counts(found[a:b] & ((1 << BLOCK_BITS) - 1), counts[a:b] > 1))
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(data, pa.binary())], ["row", "block", "part", "data"])
-
-
-SKETCH = "row int, block int, part int, data binary"
-
-
-def partial_sketches(docs: DataFrame, window: int, width: int) -> DataFrame:
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, held, n = TaskContext.get().partitionId(), [], 0
-        for batch in batches:
-            for texts in batches_of(binaries(batch.column("text"))):
-                held.append(Windows(texts, window).distinct_anchors())
-                n += len(held[-1])
-                if n >= HELD:
-                    yield sketch_rows(np.concatenate(held), part, width)
-                    held, n = [], 0
-        if n:
-            yield sketch_rows(np.concatenate(held), part, width)
-
-    return docs.select("text").mapInArrow(run, SKETCH)
-
-
-def merged(table: pa.Table, bits: int = BLOCK_BITS) -> np.ndarray:
-    total = np.zeros(1 << bits, np.uint8)
-    for data in table.column("data").to_pylist():
-        total = np.minimum(total + unpacked_counts(data, bits), 2)
-    return total
-
-
-def merge_level(table: pa.Table) -> pa.Table:
-    total = merged(table)
-    places = np.flatnonzero(total)
-    first = table.slice(0, 1)
-    part = pa.array([first.column("part")[0].as_py() // FAN_IN], pa.int32())
-    return pa.Table.from_arrays([first.column("row"), first.column("block"), part, pa.array([packed_counts(places, total[places] > 1)], pa.binary())], ["row", "block", "part", "data"])
-
-
-def merge_last(table: pa.Table) -> pa.Table:
-    first = table.slice(0, 1)
-    return pa.Table.from_arrays([first.column("row"), first.column("block"), pa.array([np.packbits(merged(table) > 1).tobytes()], pa.binary())], ["row", "block", "bits"])
-
-
-def repeated_cells(docs: DataFrame, window: int, width: int) -> np.ndarray:
-    """Bits of the merged sketch, a row of bytes for each sketch row: set where a cell counts two or more."""
-    sketches, left = partial_sketches(docs, window, width), docs.rdd.getNumPartitions()
-    while left > FAN_IN:
-        sketches = sketches.groupBy("row", "block", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(merge_level, SKETCH)
-        left = -(-left // FAN_IN)
-    bits = np.zeros((ROWS, width // 8), np.uint8)
-    size = (1 << BLOCK_BITS) // 8
-    # One bit a cell, and MAX_WIDTH cells at most.
-    for r in sketches.groupBy("row", "block").applyInArrow(merge_last, "row int, block int, bits binary").collect():
-        bits[r["row"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
-def estimated_repeated(anchors: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
-    out = np.ones(len(anchors), bool)
-    for row in range(ROWS):
-        c = cells(anchors, row, width)
-        out &= (bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-FOUND = "bucket int, data binary"
-
-
-def _rows(buckets: np.ndarray, order_and_columns: list[np.ndarray], sign: int = 1) -> pa.RecordBatch:
-    """One row for each bucket, of columns end to end; ``buckets`` is sorted."""
-    cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]])) if len(buckets) else np.zeros(1, int)
-    data = [b"".join(c[a:b].tobytes() for c in order_and_columns) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    keys = [int(buckets[a]) if sign > 0 else -1 - int(buckets[a]) for a in cuts[:-1]]
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
-
-
-def columns_of(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for column, kind in zip(out, kinds, strict=True):
-            column.append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
+def pieces(texts: list[bytes], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words joined by one space, long texts in pieces that share no window; each one's text and first word."""
+    out, of, first = [], [], []
+    for k, text in enumerate(texts):
+        words = text.split()
+        step = PIECE_WORDS if len(text) > PIECE_BYTES else max(1, len(words))
+        for a in range(0, max(1, len(words) - window + 1), step):
+            out.append(b" ".join(words[a : a + step + window - 1]))
+            of.append(k)
+            first.append(a)
+    return out, np.array(of, np.int64), np.array(first, np.int64)
 
 
-def firsts(high: np.ndarray, low: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of windows by hash, then place; which of them begin a group; which come after its first place."""
-    order = np.lexsort((start, doc, low, high))
-    h, lo, d, s = high[order], low[order], doc[order], start[order]
+def equals(buffer: bytes, lo: np.ndarray, hi: np.ndarray, text: np.ndarray, keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each window the first, by (doc, start), of those with the same words.
+
+    Windows are buffer[lo:hi], their words joined by one space. They meet by ``keys``; the words of neighbours that
+    have neighbours as their firsts are compared at once. Should windows of one key differ, these are grouped
+    by their words alone.
+    """
+    order = np.lexsort((start, doc, keys))
+    k = keys[order]
     new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
+    new[1:] = k[1:] != k[:-1]
     head = np.flatnonzero(new)
-    of = np.repeat(head, np.diff(np.append(head, len(order))))
-    return order, new, (d != d[of]) | (s != s[of])
-
-
-def candidates(docs: DataFrame, window: int, width: int, bits, ranges: int) -> DataFrame:
-    """Windows estimated repeated: the first in each partition by range of hash, the others as already removed."""
-
-    def hand_on(held: list[tuple[np.ndarray, ...]]):
-        high, low, doc, start, group = (np.concatenate(c) for c in zip(*held, strict=True))
-        order, new, later = firsts(high, low, doc, start)
-        keep, gone = order[new], order[later]
-        yield _rows((high[keep] >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int32) if ranges > 1 else np.zeros(len(keep), np.int32), [c[keep] for c in (high, low, doc, start, group)])
-        gone = gone[np.lexsort((start[gone], doc[gone], group[gone]))]
-        yield _rows(group[gone], [doc[gone], start[gone]], -1)
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            docs_of, groups = batch.column("doc_id").to_numpy(), batch.column("group").to_numpy()
-            done = 0
-            for texts in batches_of(binaries(batch.column("text"))):
-                w = Windows(texts, window)
-                picked = np.flatnonzero(estimated_repeated(w.anchor, bits.value, width))
-                if len(picked):
-                    at = w.at[picked]
-                    owner = np.searchsorted(w.words.first, at, "right") - 1
-                    held.append((*w.hashes(picked), docs_of[done + owner].astype("<i8"), (at - w.words.first[owner]).astype("<i4"), groups[done + owner].astype("<i4")))
-                    n += len(picked)
-                done += len(texts)
-                if n >= HELD:
-                    yield from hand_on(held)
-                    held, n = [], 0
-        if n:
-            yield from hand_on(held)
-
-    return docs.select("doc_id", "text", "group").mapInArrow(run, FOUND)
-
-
-def resolve(table: pa.Table) -> pa.Table:
-    """Removed windows by group of documents: a range's that are not the first of their words, or those known before."""
-    bucket, blobs = table.column("bucket")[0].as_py(), table.column("data").to_pylist()
-    if bucket < 0:
-        doc, start = columns_of(blobs, ("<i8", "<i4"))
-        out = _rows(np.full(len(doc), -1 - bucket), [doc, start])
-    else:
-        high, low, doc, start, group = columns_of(blobs, ("<u8", "<u8", "<i8", "<i4", "<i4"))
-        order, _, later = firsts(high, low, doc, start)
-        gone = order[later]
-        gone = gone[np.lexsort((start[gone], doc[gone], group[gone]))]
-        out = _rows(group[gone], [doc[gone], start[gone]])
-    return pa.Table.from_batches([out])
-
-
-def kept_words(text: bytes, starts: np.ndarray, window: int, joined: bool) -> tuple[bytes, int, int]:
-    """The text without the words of the windows at ``starts``, the number of its words and of those removed."""
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    copies = np.flatnonzero(of != np.arange(len(of)))
+    if not len(copies):
+        return of
+    firsts = of[copies]
+    cut = np.ones(len(copies), bool)
+    cut[1:] = (np.diff(copies) != 1) | (np.diff(firsts) != 1) | (np.diff(text[copies]) != 0) | (np.diff(text[firsts]) != 0)
+    a = np.flatnonzero(cut)
+    b = np.append(a[1:], len(copies)) - 1
+    ends = (lo[copies[a]], hi[copies[b]], lo[firsts[a]], hi[firsts[b]])
+    unlike = [n for n, (p, q, r, s) in enumerate(zip(*(x.tolist() for x in ends), strict=True)) if buffer[p:q] != buffer[r:s]]
+    if unlike:
+        bad = np.unique(np.concatenate([keys[copies[a[n] : b[n] + 1]] for n in unlike]))
+        seen: dict[bytes, int] = {}
+        for i in order[np.isin(k, bad)].tolist():
+            of[i] = seen.setdefault(buffer[lo[i] : hi[i]], i)
+    return of
+
+
+#: ``span``: a range of anchors, or -1 - group for what is removed. ``to``: which groups meet.
+FOUND = "span int, to int, data binary"
+_HEAD = (("doc", "<i8"), ("start", "<i4"), ("at", "<i4"), ("group", "<i4"))
+
+
+def _row_of(columns: list[np.ndarray], tail: bytes = b"") -> bytes:
+    return b"".join([np.uint32(len(columns[0])).tobytes(), *[c.tobytes() for c in columns], tail])
+
+
+def _columns_of(data: bytes, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], bytes]:
+    n, at, out = int(np.frombuffer(data, "<u4", 1)[0]), 4, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out, data[at:]
+
+
+def _frame(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["span", "to", "data"])
+
+
+def hand_on(buffer: bytes, w: dict[str, np.ndarray], to: int | None) -> list[tuple[int, int, bytes]]:
+    """Rows of windows that come after the first of their words, by group, and of the others as passages (none if ``to`` is).
+
+    ``w`` has lo, hi, text, key, doc, start, at, group and span of each window; neighbours follow each other.
+    """
+    if not len(w["key"]):
+        return []
+    of = equals(buffer, w["lo"], w["hi"], w["text"], w["key"], w["doc"], w["start"])
+    later = (w["doc"] != w["doc"][of]) | (w["start"] != w["start"][of])
+
+    def stretches(which: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last of neighbouring windows among ``which``, sorted by ``by``, and where that changes."""
+        if not len(which):
+            return which, which, np.zeros(1, np.int64)
+        cut = np.ones(len(which), bool)
+        cut[1:] = (np.diff(which) != 1) | (np.diff(w["text"][which]) != 0) | (np.diff(w["start"][which]) != 1) | (np.diff(w["span"][which]) != 0)
+        a = np.flatnonzero(cut)
+        first, last = which[a], which[np.append(a[1:], len(which)) - 1]
+        order = np.argsort(by[first], kind="stable")
+        first, last = first[order], last[order]
+        return first, last, np.flatnonzero(np.concatenate([[True], np.diff(by[first]) != 0, [True]]))
+
+    rows = []
+    first, last, cuts = stretches(np.flatnonzero(later), w["group"])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        f = first[a:b]
+        rows.append((-1 - int(w["group"][f[0]]), 0, _row_of([w["at"][f], w["start"][f], (last[a:b] - f + 1).astype("<i4")])))
+    if to is None:
+        return rows
+    first, last, cuts = stretches(np.flatnonzero(~later), w["span"])
+    lo, hi = w["lo"][first].tolist(), w["hi"][last].tolist()
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        f = first[a:b]
+        rows.append((int(w["span"][f[0]]), to, _row_of([w[c][f] for c, _ in _HEAD], b"\n".join([buffer[lo[i] : hi[i]] for i in range(a, b)]))))
+    return rows
+
+
+def resolve(table: pa.Table, window: int, fan: int, last: bool) -> pa.Table:
+    """One level of a range: what isn't the first of its words goes back to its group, the others meet at the next level."""
+    span, to = table.column("span")[0].as_py(), table.column("to")[0].as_py()
+    if span < 0:
+        return table
+    heads, texts = [], []
+    for data in table.column("data"):
+        columns, text = _columns_of(data.as_py(), tuple(k for _, k in _HEAD))
+        heads.append(columns)
+        texts.append(text)
+    doc, start, at, group = (np.concatenate(c) for c in zip(*heads, strict=True))
+    buffer = b"\n".join(texts)
+    words = Words(buffer.split(b"\n"))
+    place = np.flatnonzero(np.arange(len(words.starts)) + window <= np.repeat(words.first[1:], np.diff(words.first)))
+    text = np.searchsorted(words.first, place, "right") - 1
+    found = {"lo": words.starts[place], "hi": words.ends[place + window - 1], "text": text, "key": runs(words.hashes(), window)[place], "doc": doc[text]}
+    found |= {"start": (start[text] + place - words.first[text]).astype("<i4"), "at": at[text], "group": group[text], "span": np.full(len(place), span, np.int32)}
+    return _frame(hand_on(buffer, found, None if last else to // fan))
+
+
+def kept_words(text: bytes, removed: np.ndarray | None, window: int, joined: bool) -> tuple[bytes, int, int]:
+    """The text without the words of the removed windows, (first, number) each, the number of its words and of those gone."""
     words = text.split()
-    if not len(starts):
+    if removed is None:
         return (b" ".join(words) if joined else text), len(words), 0
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, len(words)), -1)
+    np.add.at(edge, removed[:, 0], 1)
+    np.add.at(edge, removed[:, 0] + removed[:, 1] + window - 1, -1)
     gone = np.cumsum(edge[:-1]) > 0
     n = int(gone.sum())
     if joined:
@@ -286,61 +228,107 @@ def kept_words(text: bytes, starts: np.ndarray, window: int, joined: bool) -> tu
     return np.frombuffer(text, np.uint8)[keep].tobytes(), len(words), n
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False, keep: tuple[str, ...] = (), max_width: int = MAX_WIDTH) -> DataFrame:
+def grouped_rows(docs: DataFrame, size: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Rows (group, doc_id, text, kept) and the number of groups, each of some GROUP_BYTES; ``kept`` is a struct of columns.
+
+    Names of the caller's columns stand in the struct alone, so they can't clash.
+    """
+    groups = max(1, -(-size // GROUP_BYTES))
+    own_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    group = F.pmod(F.xxhash64(own_id, text), F.lit(groups)).cast("int")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
+    return docs.select(group.alias("group"), own_id.alias("doc_id"), text.alias("text"), kept.alias("kept")), groups
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, the columns in ``keep``, text, n_words, n_removed.
 
     Removed is each word covered by a ``window`` of words whose sequence also starts earlier: in a smaller doc_id,
     or earlier in the same document. ``text`` is what is left: with ``joined`` the kept words joined by one space,
     else the text without each removed word and the white space after it.
 
-    A null text has no words (and stays null unless ``joined``). Rows without doc_id take no part: nothing is removed from or for them. Rows that
-    repeat a doc_id and its text are one place, so neither removes from the other, and get the same result; where
-    one doc_id has several texts, what is removed applies to all of them. Columns other than doc_id, text and
-    ``keep`` are not read.
+    A null text has no words (and stays null unless ``joined``). Rows without doc_id take no part: nothing is
+    removed from or for them. Rows that repeat a doc_id and its text are one place, so neither removes from the
+    other, and get the same result; of one doc_id's different texts each loses what also starts earlier, in
+    another document or in any of these texts. Columns of any names may be kept, but not as doc_id, text, n_words
+    or n_removed: a kept column of one of the last two names replaces the count. Others are not read.
     """
     size = total_bytes(docs, "text")
-    width = power_of_two(4 * size / 36, MIN_WIDTH, max_width)
-    ranges, groups = power_of_two(size / RANGE_BYTES, 1, 1 << 20), max(1, -(-size // GROUP_BYTES))
-    named = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    # Rows without id are dealt out by their texts.
-    group = F.pmod(F.when(F.col("__id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("__id")), F.lit(groups)).cast("int")
-    rows = named.select(F.col("__id").alias("doc_id"), F.col("text").cast("string").alias("text"), group.alias("group"), *keep)
-    part = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(part, window, width))
-    found = candidates(part, window, width, bits, ranges).groupBy("bucket").applyInArrow(resolve, FOUND)
-    folder = f"{shared_folder(docs.sparkSession)}/substrings"
-    removed = saved(found.select(F.col("bucket").alias("group"), "data"), folder)[0]
-
-    def touched(gone: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(np.unique(columns_of(gone.column("data").to_pylist(), ("<i8", "<i4"))[0]))], ["id"])
-
-    # Documents that lose nothing need not meet the lists of what goes.
-    marked = maybe_listed(rows, "doc_id", removed.groupBy("group").applyInArrow(touched, "id long"))
-    names = ["doc_id", *keep, "text", "n_words", "n_removed"]
-
-    def output(owned, results: list[tuple[bytes, int, int]], given: list[bytes | None]) -> list:
-        texts = [None if t is None and not joined else left for t, (left, _, _) in zip(given, results, strict=True)]
-        counts = [pa.array([r[k] for r in results], pa.int64()) for k in (1, 2)]
-        return [owned.column("doc_id"), *[owned.column(k) for k in keep], pa.array(texts, pa.binary()).cast(pa.string()), *counts]
-
-    def whole(batches):
-        none = np.zeros(0, np.int64)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                given = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays(output(part, [kept_words(t or b"", none, window, joined) for t in given], given), names)
-
-    def cut(_, owned: pa.Table, gone: pa.Table) -> pa.Table:
-        doc, start = columns_of(gone.column("data").to_pylist(), ("<i8", "<i4"))
-        order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order]
+    sketch = Sketch.of(CELLS * size, ROWS, 1)
+    spans, per_level = power_of_two(size / RANGE_BYTES, 1, 1 << 30), FAN_IN
+    rows, groups = grouped_rows(docs, size, keep)
+    by_group = rows.groupBy("group")
+
+    def counted(table: pa.Table) -> pa.Table:
+        texts = pieces([t for _, t in distinct_texts(table)[0]], window)[0]
+        anchors = [Windows(some, window).distinct_anchors() for some in batches_of(texts)]
+        return sketch.parts(np.concatenate([np.zeros(0, np.uint64), *anchors]), table.column("group")[0].as_py())
+
+    def found(owned: pa.Table, told: pa.Table) -> pa.Table:
+        if not owned.num_rows:
+            return _frame([])
+        group, known = owned.column("group")[0].as_py(), distinct_texts(owned)[0]
+        del owned
+        texts, of, first = pieces([t for _, t in known], window)
+        ids = np.array([i for i, _ in known], np.int64)
+        del known
+        parts, anchors, done, base = [], [], 0, 0
+        for some in batches_of(texts):
+            w = Windows(some, window)
+            text = np.searchsorted(w.words.first, w.at, "right") - 1
+            lo, hi = w.words.starts[w.at] + base, w.words.ends[w.at + window - 1] + base
+            start = (first[done + text] + w.at - w.words.first[text]).astype("<i4")
+            parts.append((w.anchor, w.hash, lo, hi, text + done, start))
+            anchors.append(w.distinct_anchors())
+            done += len(some)
+            base += sum(map(len, some)) + len(some)
+        anchors = np.concatenate([np.zeros(0, np.uint64), *anchors])
+        repeated = np.unique(anchors[sketch.estimates(told, anchors) > 0])
+        picked = []
+        for part in parts:
+            near = np.minimum(np.searchsorted(repeated, part[0]), max(0, len(repeated) - 1))
+            mask = repeated[near] == part[0] if len(repeated) else np.zeros(len(part[0]), bool)
+            picked.append([c[mask] for c in part])
+        del parts, anchors
+        if not picked:
+            return _frame([])
+        anchor, key, lo, hi, text, start = (np.concatenate(c) for c in zip(*picked, strict=True))
+        del picked
+        span = (mix(anchor) >> np.uint64(64 - spans.bit_length() + 1)).astype(np.int32) if spans > 1 else np.zeros(len(anchor), np.int32)
+        w = {"lo": lo, "hi": hi, "text": text, "key": key, "doc": ids[of[text]], "start": start, "at": of[text].astype("<i4"), "group": np.full(len(text), group, np.int32), "span": span}
+        out = _frame(hand_on(b"\n".join(texts), w, 0 if groups <= per_level else group // per_level))
+        release()
+        return out
+
+    def cut(owned: pa.Table, gone: pa.Table) -> pa.Table:
+        known, place = distinct_texts(owned)
+        removed: dict[int, np.ndarray] = {}
+        if gone.num_rows:
+            lists = [_columns_of(x.as_py(), ("<i4", "<i4", "<i4"))[0] for x in gone.column("data")]
+            at, start, many = (np.concatenate(c).astype(np.int64) for c in zip(*lists, strict=True))
+            order = np.argsort(at, kind="stable")
+            heads, begin = np.unique(at[order], return_index=True)
+            both = np.stack([start, many], axis=1)[order]
+            removed = dict(zip(heads.tolist(), np.split(both, begin[1:]), strict=True))
         given = owned.column("text").cast(pa.binary()).to_pylist()
-        # A null id owns no place.
-        spans_of = [(np.searchsorted(doc, i), np.searchsorted(doc, i, "right")) if i is not None else (0, 0) for i in owned.column("doc_id").to_pylist()]
-        return pa.Table.from_arrays(output(owned, [kept_words(t or b"", start[a:b].astype(np.int64), window, joined) for t, (a, b) in zip(given, spans_of, strict=True)], given), names)
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep, "text")) + ", n_words long, n_removed long"
-    untouched = marked.filter("not __maybe").select("doc_id", *keep, "text").mapInArrow(whole, schema)
-    return untouched.unionByName(marked.filter("__maybe").drop("__maybe").groupBy("group").cogroup(removed.groupBy("group")).applyInArrow(cut, schema))
+        results = [kept_words(t or b"", removed.get(p) if p >= 0 else None, window, joined) for t, p in zip(given, place.tolist(), strict=True)]
+        texts = pa.array([None if t is None and not joined else r[0] for t, r in zip(given, results, strict=True)], pa.binary()).cast(pa.string())
+        counts = [pa.array([r[k] for r in results], pa.int64()) for k in (1, 2)]
+        out = pa.Table.from_arrays([owned.column("doc_id"), owned.column("kept"), texts, *counts], ["doc_id", "kept", "text", "n_words", "n_removed"])
+        release()
+        return out
+
+    def level(last: bool):
+        return lambda table: resolve(table, window, per_level, last)
+
+    parts = by_group.applyInArrow(counted, PARTS)
+    windows = by_group.cogroup(sketch.answers(parts).groupBy("group")).applyInArrow(found, FOUND)
+    left = groups
+    while left:
+        left = -(-left // per_level) if left > per_level else 0
+        windows = windows.groupBy("span", "to").applyInArrow(level(not left), FOUND)
+    removed = windows.filter("span < 0").select((-1 - F.col("span")).alias("group"), "data")
+    schema = StructType([rows.schema["doc_id"], rows.schema["kept"], rows.schema["text"], StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    result = by_group.cogroup(removed.groupBy("group")).applyInArrow(cut, schema)
+    counts = [c for c in ("n_words", "n_removed") if c not in {k.lower() for k in keep}]
+    return result.select("doc_id", *[F.col("kept").getField(k).alias(k) for k in keep], "text", *counts)

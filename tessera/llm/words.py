@@ -1,7 +1,7 @@
-"""Vectorised words of a batch of texts: where they lie in the bytes, and 64-bit hashes of words and spans.
+"""Vectorised words of a batch of texts: where they lie in the bytes, and 64-bit hashes of words and runs of words.
 
-Hashes are polynomials modulo 2**64 with random odd bases over random byte codes, computed by prefix sums, so
-any span's hash costs a subtraction and a product. Two independent ones make 128 bits.
+A word is mixed in eight bytes at a time (long ones by a library hash), so no family of words collides, as it would
+with polynomials modulo a power of two; a run's hash is built from those of its halves.
 """
 
 from __future__ import annotations
@@ -10,28 +10,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import IS_SPACE, release
 
 #: Bytes of text that are worked on together.
 BATCH_BYTES = 1 << 18
-_RANDOM = np.random.Generator(np.random.PCG64(20240517))
-_CODES = _RANDOM.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-WORD_BASES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, for i from 0 to n, modulo 2**64."""
-    known = _POWERS.get(base)
-    if known is None or len(known[0]) <= n:
-        size = max(n + 1, BATCH_BYTES + 1)
-        inverse = pow(base, -1, 1 << 64)
-        known = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, inverse))
-        if size <= 4 * BATCH_BYTES:
-            _POWERS[base] = known
-    return known
+#: Bytes from which a slice is hashed by the library.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEED, _LENGTH, _LEFT, _RIGHT = (np.uint64(x) for x in (0x51ED270B9F3A7C15, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,15 +29,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Sums of value * base**i up to each place, with 0 first."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each slice; ``data`` has eight bytes more than any slice reaches."""
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * _LENGTH ^ _SEED)
+    long = np.flatnonzero(left > LONG)
+    for i in long.tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]]))
+    todo, at = np.flatnonzero((left > 0) & (left <= LONG)), 0
+    while len(todo):
+        lane = lanes[starts[todo] + at] & _MASKS[np.minimum(left[todo] - at, 8)]
+        out[todo] = mix(out[todo] ^ (lane * _RIGHT))
+        at += 8
+        todo = todo[left[todo] > at]
+    out[long] = mix(out[long])
     return out
 
 
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    return (sums[ends] - sums[starts]) * powers(base, len(sums))[1][starts]
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) * _LEFT + b * _RIGHT)
+
+
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbouring hashes, by the first of them."""
+    out, length, power, reach = None, 0, hashes, 1
+    pieces = []
+    while reach <= size:
+        if size & reach:
+            pieces.append((power, reach))
+        power = _joined(power[:-reach], power[reach:]) if len(power) > reach else power[:0]
+        reach *= 2
+    n = max(0, len(hashes) - size + 1)
+    for power, reach in reversed(pieces):
+        part = power[length : length + n]
+        out = part if out is None else _joined(out, part)
+        length += reach
+    return out[:n]
 
 
 class Words:
@@ -57,9 +73,10 @@ class Words:
 
     def __init__(self, texts: list[bytes], lower: bool = False):
         joined = b"\n".join([*texts, b""])
-        self.bytes = np.frombuffer(joined, np.uint8)
+        padded = np.frombuffer(joined + b"\n" * 8, np.uint8)
         if lower:
-            self.bytes = np.where((self.bytes >= 65) & (self.bytes <= 90), self.bytes + np.uint8(32), self.bytes)
+            padded = np.where((padded >= 65) & (padded <= 90), padded + np.uint8(32), padded)
+        self.padded, self.bytes = padded, padded[: len(joined)]
         self.text_starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
         space = IS_SPACE[self.bytes]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1 if len(space) else np.zeros(0, int)
@@ -69,20 +86,9 @@ class Words:
         self.first = np.searchsorted(self.starts, self.text_starts)
         self.space = space
 
-    def hashes(self, which: int = 0) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         """One hash per word."""
-        return mix(spans(self.prefix(which), self.starts, self.ends, BYTE_BASES[which]))
-
-    def prefix(self, which: int = 0) -> np.ndarray:
-        return prefix(_CODES[which][self.bytes], BYTE_BASES[which])
-
-    def shingles(self, size: int, which: int = 0, hashes: np.ndarray | None = None) -> np.ndarray:
-        """A hash for each run of ``size`` words, by its first word; runs that cross texts too, so mask them."""
-        h = self.hashes(which) if hashes is None else hashes
-        if len(h) < size:
-            return np.zeros(0, np.uint64)
-        at = np.arange(len(h) - size + 1)
-        return mix(spans(prefix(h, WORD_BASES[which]), at, at + size, WORD_BASES[which]))
+        return slice_hashes(self.padded, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         """The index of each word's text."""

@@ -6,11 +6,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, substring_dedup
 from tessera.llm.components import components
+from tessera.llm.sketch import Sketch
+from tessera.llm.words import Words, runs
 from tests.llm.test_text_operators import docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,35 +182,102 @@ def test_substrings_against_brute_force(spark, window, seed):
 
 
 def test_no_sketch_loses_a_repeat(spark, monkeypatch):
-    """Even a sketch far too small, held in many flushes and merged in many levels."""
-    monkeypatch.setattr(substring_dedup, "MIN_WIDTH", 1 << 16)
-    monkeypatch.setattr(substring_dedup, "FAN_IN", 2)
-    monkeypatch.setattr(substring_dedup, "HELD", 50)
+    """Even a sketch far too small, in many groups, pieces, ranges and levels."""
+    monkeypatch.setattr(substring_dedup, "CELLS", 0)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 300)
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "FAN_IN", 3)
     rng = random.Random(9)
     rows = [(i, " ".join(f"v{rng.randint(0, 3)}" for _ in range(40))) for i in range(60)]
-    got = substring_dedup.substring_dedup(docs(spark, rows).repartition(5), 6, joined=True, max_width=1 << 16).collect()
+    got = substring_dedup.substring_dedup(docs(spark, rows).repartition(5), 6, joined=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute_removed(rows, 6)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    words = [f"w{i % 977}".encode() for i in range(5000)]
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 100)
+    monkeypatch.setattr(substring_dedup, "PIECE_WORDS", 64)
+    texts, of, first = substring_dedup.pieces([b" ".join(words), b"", b"a  b"], 20)
+    seen = [(k, a + i) for t, k, a in zip(texts, of, first) for i in range(len(t.split()) - 19)]
+    assert seen == [(0, i) for i in range(4981)] and texts[-2:] == [b"", b"a b"]
+    whole, cut = substring_dedup.Windows([b" ".join(words)], 20), [substring_dedup.Windows([t], 20) for t in texts]
+    assert (np.concatenate([c.anchor for c in cut]) == whole.anchor).all() and (np.concatenate([c.hash for c in cut]) == whole.hash).all()
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    """A long word and its complement collide in every polynomial hash modulo 2**64 with an odd base."""
+    rest = " ".join(f"w{i}" for i in range(19))
+    for n in (1024, 200, 4096):
+        rows = [(1, f"{thue_morse(n)} {rest}"), (2, f"{thue_morse(n, True)} {rest}"), (3, f"{thue_morse(n)} {rest} more")]
+        got = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 20, 0), (2, 20, 0), (3, 21, 20)]
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_windows_are_grouped_by_words_not_by_hash(bits):
+    """Even where hashes hardly tell windows apart."""
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abc") for _ in range(60)).encode() for _ in range(12)]
+    w = substring_dedup.Windows(texts, 4)
+    text = np.searchsorted(w.words.first, w.at, "right") - 1
+    lo, hi, start = w.words.starts[w.at], w.words.ends[w.at + 3], w.at - w.words.first[text]
+    buffer = b"\n".join(texts)
+    of = substring_dedup.equals(buffer, lo, hi, text, w.hash & np.uint64((1 << bits) - 1), text, start)
+    first = {}
+    for i in range(len(lo)):
+        first.setdefault(buffer[lo[i] : hi[i]], i)
+    assert of.tolist() == [first[buffer[a:b]] for a, b in zip(lo, hi)]
+
+
+@pytest.mark.parametrize("megabytes", [1, 20])
+def test_sketch_tells_unrepeated_windows_apart(megabytes):
+    """Few windows that occur once pass for repeated, however large the corpus, and the sketch is never held whole."""
+    anchors = np.random.default_rng(megabytes).integers(0, 1 << 63, megabytes * (1 << 20) // 36, dtype=np.uint64)
+    sketch = Sketch.of(substring_dedup.CELLS * megabytes * (1 << 20), substring_dedup.ROWS, 1)
+    parts = [sketch.parts(some, g) for g, some in enumerate(np.array_split(anchors, 5))]
+    table = pa.concat_tables(parts).combine_chunks()
+    blocks = collections.defaultdict(list)
+    for i, key in enumerate(zip(table.column("row").to_pylist(), table.column("block").to_pylist())):
+        blocks[key].append(i)
+    told = pa.concat_tables([sketch.merge(table.take(rows)) for rows in blocks.values()])
+    for g, some in enumerate(np.array_split(anchors, 5)):
+        mine = told.filter(pa.compute.equal(told.column("group"), g))
+        assert (sketch.estimates(mine, some) > 0).mean() < 0.05
+    # Nothing that is there twice is missed.
+    again = [*parts, sketch.parts(anchors[:1000], 5)]
+    table = pa.concat_tables(again).combine_chunks()
+    blocks = collections.defaultdict(list)
+    for i, key in enumerate(zip(table.column("row").to_pylist(), table.column("block").to_pylist())):
+        blocks[key].append(i)
+    told = pa.concat_tables([sketch.merge(table.take(rows)) for rows in blocks.values()])
+    assert (sketch.estimates(told.filter(pa.compute.equal(told.column("group"), 5)), anchors[:1000]) > 0).all()
+
+
+def test_slices_hash_by_content():
+    rng = random.Random(4)
+    words = [bytes(rng.choices(range(33, 127), k=rng.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(500)]
+    w = Words([b" ".join(words), b"", b" ".join(reversed(words))])
+    h = w.hashes()
+    assert (h[:500] == h[500:][::-1]).all() and len(set(h.tolist())) == len(set(words))
+    for size in (1, 2, 3, 5, 10, 20):
+        found = runs(h, size)
+        assert len(found) == 1000 - size + 1 and len(set(found[: 500 - size + 1].tolist())) == len({tuple(words[i : i + size]) for i in range(500 - size + 1)})
+    assert len(runs(h[:3], 4)) == 0 and (runs(h[10:40], 20) == runs(h, 20)[10:21]).all()
+
+
 def test_substring_edges(spark):
     text = " ".join(f"w{i}" for i in range(30))
     table = docs(spark, [(1, text), (1, text), (None, text), (2, f"a  {text}\tz"), (3, None), (4, ""), (9_000_000_000, "x " * 40_000)])
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table, keep=("kept",)).collect()}
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table, keep=("kept", "uid", "score")).collect()}
     assert (got[1].n_removed, got[None].n_removed, got[2].n_removed, got[3].text, got[4].text) == (0, 0, 30, None, "")
     assert got[2].text == "a  z" and got[1].text == text and got[2].kept == "x" and got[9_000_000_000].n_removed == 39_999
     assert substring_dedup.substring_dedup(table).count() == 7 and substring_dedup.substring_dedup(table.limit(0)).count() == 0
 
 
-def test_packed_counts():
-    rng = np.random.default_rng(0)
-    for n in (0, 1, 50, 5000):
-        places = np.sort(rng.choice(1 << 16, n, replace=False))
-        twice = rng.random(n) < 0.5
-        want = np.zeros(1 << 16, np.uint8)
-        want[places] = 1 + twice
-        assert (substring_dedup.unpacked_counts(substring_dedup.packed_counts(places, twice)) == want).all()
-
-
 def test_normalised_by_both_engines(spark):
     row = spark.createDataFrame([("a\x0b\x0c b c",)], "text string").select(exact_dedup.normalised(F.col("text")).alias("t")).first()
     assert row.t == "a b c"
