@@ -1,15 +1,18 @@
 """N-gram Jaccard join: prefix filtering with documents of identical prefix and size joined as one group.
 
 A document's shingles are put in one global order, rare ones first, and two documents that link share a shingle
-within their prefixes. The order comes from a bounded summary of all documents: two bits a cell for how often
-its shingles were met, and the counts of the most frequent ones. Any order gives the same links, a good one few
-candidates: shingles met once fill most prefixes and can't match anything, even if half of them pass for repeated.
+within their prefixes. The order comes from a sketch of all documents' shingles, whose estimates go back to the
+documents by group: shingles met once fill most prefixes and can't match anything, and how often the others were met
+is known by powers of two. Any order gives the same links, a good one few candidates.
 
 Documents with equal shingle sets become one node, nodes with equal prefix and size one group. Each group is
 tried with the group, among the first of its posting lists, that it shares most with; members are verified exactly
-and linked nodes joined into components.
-Then only pairs of different components are left to try: these are formed in full and verified too. So a list
-with very many alike is never expanded into all pairs, and no link between components is lost.
+and linked nodes joined into components. Then what is left are pairs of groups of different components: these are
+filtered as groups, in full, then expanded into members and verified too. So a list with very many alike is never
+expanded into all pairs, and no link between components is lost.
+
+Of two sets that link, at least one has their first common shingle early, within the shorter prefix that its equals in
+size would need; so a shingle that all its documents have late joins none of them.
 """
 
 from __future__ import annotations
@@ -19,21 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, maybe_listed, power_of_two, total_bytes
+from .common import checkpointed, maybe_listed, release, total_bytes
 from .components import components
+from .sketch import PARTS, Sketch
 from .words import Words, batches_of, binaries, mix, runs
 
 SHINGLE, PERCENT = 5, 80
-#: Cells of the summary, two bits each: 64 MB at most are broadcast. Beyond, rare shingles pass for repeated ones and
-#: there are more candidates; links stay exact.
-MIN_WIDTH, MAX_WIDTH = 1 << 16, 1 << 28
-#: Counts of a cell from which its shingles come later in the order.
-STEPS = (2, 16, 128)
-BLOCK_BITS = 18
-FAN_IN = 64
-#: Occurrences in one task from which a shingle is counted by itself, and the shingles kept so, those of most.
-HEAVY_FROM, HEAVY_KEPT = 3, 500_000
-HELD = 1_000_000
+#: Cells of the sketch for each byte of text: some two for each shingle. Counts are told apart up to 2**STEPS.
+CELLS, STEPS = 1 / 3, 20
+#: Bytes of text for each group of documents that meets for the sketch.
+GROUP_BYTES = 4 << 20
 
 
 class Sets:
@@ -53,130 +51,8 @@ class Sets:
                 self.sets.append(np.zeros(0, np.uint64))
 
 
-def packed_cells(places: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct cells of a block and their counts, up to 255: gaps in byte planes, or all counts in a row."""
-    counts = np.minimum(counts, 255).astype(np.uint8)
-    if len(places) * 8 >= 1 << BLOCK_BITS:
-        out = np.zeros(1 << BLOCK_BITS, np.uint8)
-        out[places] = counts
-        return b"d" + out.tobytes()
-    gaps = np.diff(places, prepend=0).astype("<u4")
-    return b"s" + gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.tobytes()
-
-
-def merged(table: pa.Table) -> np.ndarray:
-    """The sums of a block's counts, up to 255."""
-    total = np.zeros(1 << BLOCK_BITS, np.uint16)
-    for data in table.column("data").to_pylist():
-        body = np.frombuffer(data, np.uint8, offset=1)
-        if data[:1] == b"d":
-            total += body
-        else:
-            n = len(body) // 5
-            gaps = np.ascontiguousarray(body[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-            total[np.cumsum(gaps)] += body[4 * n :]
-        np.minimum(total, 255, out=total)
-    return total
-
-
-SUMMARY = "block int, part int, data binary, heavy binary"
-HEAVY = np.dtype([("hash", "<u8"), ("count", "<i8")])
-
-
-def _summed(heavy: np.ndarray) -> np.ndarray:
-    order = np.argsort(heavy["hash"], kind="stable")
-    heavy = heavy[order]
-    first = np.flatnonzero(np.concatenate([[True], heavy["hash"][1:] != heavy["hash"][:-1]])) if len(heavy) else np.zeros(0, int)
-    out = np.zeros(len(first), HEAVY)
-    if len(first):
-        out["hash"], out["count"] = heavy["hash"][first], np.add.reduceat(heavy["count"], first)
-    return out
-
-
-def _row(block, part, data, heavy) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary()), pa.array([heavy], pa.binary())], ["block", "part", "data", "heavy"])
-
-
-def partial_summaries(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """For each task and block of cells: counts, and the shingles that the task met often."""
-    shift = np.uint64(64 - width.bit_length() + 1)
-
-    def hand_on(held: list[np.ndarray], part: int) -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
-        cell = (found >> shift).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        total = np.add.reduceat(counts, first)
-        cell = cell[first]
-        often = counts >= HEAVY_FROM
-        heavy = np.zeros(int(often.sum()), HEAVY)
-        heavy["hash"], heavy["count"] = found[often], counts[often]
-        block = cell >> BLOCK_BITS
-        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-        heavy_block = ((heavy["hash"] >> shift) >> np.uint64(BLOCK_BITS)).astype(np.int64)
-        heads = np.searchsorted(heavy_block, block[cuts[:-1]]), np.searchsorted(heavy_block, block[cuts[:-1]], "right")
-        data = [packed_cells(cell[a:b] & ((1 << BLOCK_BITS) - 1), total[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        lists = [heavy[a:b].tobytes() for a, b in zip(*map(np.ndarray.tolist, heads), strict=True)]
-        blocks = block[cuts[:-1]]
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary()), pa.array(lists, pa.binary())], ["block", "part", "data", "heavy"])
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, held, n = TaskContext.get().partitionId(), [], 0
-        for batch in batches:
-            for texts in batches_of(binaries(batch.column("text"))):
-                held += [s for s in Sets(texts, size).sets if len(s)]
-                n += sum(map(len, held[-len(texts) :]))
-                if n >= HELD:
-                    yield hand_on(held, part)
-                    held, n = [], 0
-        if held:
-            yield hand_on(held, part)
-
-    return docs.select("text").mapInArrow(run, SUMMARY)
-
-
-def summary(docs: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of each cell, how many STEPS its count reached, and (hash, count) of the most frequent shingles, by hash."""
-    parts, left = partial_summaries(docs, size, width), docs.rdd.getNumPartitions()
-    most = max(64, HEAVY_KEPT // max(1, width >> BLOCK_BITS))
-
-    def merge(last: bool):
-        def run(table: pa.Table) -> pa.Table:
-            total = merged(table)
-            heavy = _summed(np.frombuffer(b"".join(table.column("heavy").to_pylist()), HEAVY))
-            if len(heavy) > most:
-                heavy = heavy[np.sort(np.lexsort((heavy["hash"], -heavy["count"]))[:most])]
-            places = np.flatnonzero(total)
-            step = np.searchsorted(STEPS, total, "right")
-            data = np.packbits([step & 1, step >> 1], axis=1).tobytes() if last else packed_cells(places, total[places])
-            return _row(table.column("block")[0].as_py(), table.column("part")[0].as_py() // FAN_IN, data, heavy.tobytes())
-
-        return run
-
-    while left > FAN_IN:
-        parts = parts.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(merge(False), SUMMARY)
-        left = -(-left // FAN_IN)
-    step = 1 << (BLOCK_BITS - 3)
-    bits, heavy = np.zeros((2, max(width // 8, step)), np.uint8), []
-    # Two bits a cell and HEAVY_KEPT shingles: bounded, whatever the documents.
-    for r in parts.groupBy("block").applyInArrow(merge(True), SUMMARY).collect():
-        bits[:, r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["data"], np.uint8).reshape(2, -1)
-        heavy.append(np.frombuffer(r["heavy"], HEAVY))
-    return bits, _summed(np.concatenate(heavy) if heavy else np.zeros(0, HEAVY))
-
-
-def levels(hashes: np.ndarray, bits: np.ndarray, heavy: np.ndarray, width: int) -> np.ndarray:
-    """0 for shingles met once, up to 3 by their cells' counts, more for those counted by themselves."""
-    cell = (hashes >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
-    low, high = (plane[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 for plane in bits)
-    out = (low + 2 * high).astype(np.int64)
-    if len(heavy):
-        at = np.flatnonzero(out)
-        place = np.minimum(np.searchsorted(heavy["hash"], hashes[at]), len(heavy) - 1)
-        known = heavy["hash"][place] == hashes[at]
-        out[at[known]] = 4 + np.log2(heavy["count"][place[known]] * 1.0).astype(np.int64)
-    return out
+def sets_of_column(column: pa.ChunkedArray, size: int) -> list[np.ndarray]:
+    return [s for some in batches_of(column.cast(pa.binary()).to_pylist()) for s in Sets(some, size).sets]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -187,32 +63,39 @@ def prefix_length(n: int, percent: int) -> int:
 DESCRIBED = "doc_id long, n long, high long, low long, prefix long, tokens array<long>, places array<int>"
 
 
-def describe(docs: DataFrame, size: int, percent: int, width: int, shared) -> DataFrame:
+def describe(rows: DataFrame, size: int, percent: int, sketch: Sketch) -> DataFrame:
     """Each row's set size, 128 bits of its set, a hash of its prefix, and the prefix's shingles that may match others."""
 
-    def run(batches):
-        for batch in batches:
-            done = 0
-            for texts in batches_of(binaries(batch.column("text"))):
-                bits, heavy = shared.value
-                n, high, low, head, tokens, places = [], [], [], [], [], []
-                for s in Sets(texts, size).sets:
-                    level = levels(s, bits, heavy, width)
-                    order = np.lexsort((s, level))[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, int)
-                    at = np.flatnonzero(level[order])
-                    first = s[order]
-                    n.append(len(s))
-                    high.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x5851F42D)))))
-                    low.append(int(np.add.reduce(mix(s ^ np.uint64(0x14057B7EF767814F)))))
-                    head.append(int(np.add.reduce(mix(first + np.uint64(0x2127599B)))))
-                    tokens.append(first[at].view(np.int64))
-                    places.append(at.astype(np.int32))
-                whole = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                columns = [batch.column("doc_id").slice(done, len(texts)), pa.array(n, pa.int64()), whole(high), whole(low), whole(head), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "high", "low", "prefix", "tokens", "places"])
-                done += len(texts)
-
-    return docs.select("doc_id", "text").mapInArrow(run, DESCRIBED)
+    def counted(table: pa.Table) -> pa.Table:
+        sets = sets_of_column(table.column("text"), size)
+        out = sketch.parts(np.concatenate([np.zeros(0, np.uint64), *sets]), table.column("group")[0].as_py())
+        release()
+        return out
+
+    def described(owned: pa.Table, told: pa.Table) -> pa.Table:
+        sets = sets_of_column(owned.column("text"), size)
+        levels = sketch.estimates(told, np.concatenate([np.zeros(0, np.uint64), *sets]))
+        n, high, low, head, tokens, places, done = [], [], [], [], [], [], 0
+        for s in sets:
+            level = levels[done : done + len(s)]
+            done += len(s)
+            order = np.lexsort((s, level))[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, int)
+            at = np.flatnonzero(level[order])
+            first = s[order]
+            n.append(len(s))
+            high.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x5851F42D)))))
+            low.append(int(np.add.reduce(mix(s ^ np.uint64(0x14057B7EF767814F)))))
+            head.append(int(np.add.reduce(mix(first + np.uint64(0x2127599B)))))
+            tokens.append(first[at].view(np.int64))
+            places.append(at.astype(np.int32))
+        whole = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+        columns = [owned.column("doc_id"), pa.array(n, pa.int64()), whole(high), whole(low), whole(head), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+        release()
+        return pa.Table.from_arrays(columns, ["doc_id", "n", "high", "low", "prefix", "tokens", "places"])
+
+    by_group = rows.groupBy("group")
+    told = sketch.answers(by_group.applyInArrow(counted, PARTS))
+    return by_group.cogroup(told.groupBy("group")).applyInArrow(described, DESCRIBED)
 
 
 def near_enough(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -222,6 +105,11 @@ def near_enough(percent: int, a: str = "a", b: str = "b") -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= least)
 
 
+def is_early(percent: int) -> Column:
+    """Whether a set has room after this place for the overlap with a set of its own size: of two late ones neither has."""
+    return (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity: their intersections are counted in full."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"{s}_set"))
@@ -235,11 +123,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max_width: int = MAX_WIDTH) -> DataFrame:
+def sets_of(rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the nodes that pairs name. A bitmap tells most others apart before their texts are shuffled."""
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    def run(batches):
+        for batch in batches:
+            done = 0
+            for texts in batches_of(binaries(batch.column("text"))):
+                found = [s.astype("<u8").tobytes() for s in Sets(texts, size).sets]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(done, len(texts)), pa.array(found, pa.binary())], ["node", "shingles"])
+                done += len(texts)
+
+    likely = maybe_listed(rows, "doc_id", wanted).filter("__maybe and doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    return checkpointed(likely.join(wanted, "node", "left_semi").mapInArrow(run, "node long, shingles binary"))
+
+
+def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of ``size``-word shingles, A-Z lower-cased, have a Jaccard similarity of
@@ -248,53 +153,49 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max
     links with nothing. Rows without doc_id link with nothing and have no component. Rows that repeat a doc_id
     are one document, which has the links of all its texts. Columns other than doc_id and text are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    width = power_of_two(total_bytes(docs, "text") / 8, MIN_WIDTH, max_width)  # about a cell a shingle
-    shared = docs.sparkSession.sparkContext.broadcast(summary(rows, size, width))
-    described = checkpointed(describe(rows, size, percent, width, shared))
-    same = described.filter("n > 0 and doc_id is not null").groupBy("n", "high", "low")
+    own_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(own_id.alias("doc_id"), text.alias("text"))
+    volume = total_bytes(docs, "text")
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-volume // GROUP_BYTES)))).cast("int")
+    described = checkpointed(describe(rows.select(group.alias("group"), "doc_id", "text"), size, percent, Sketch.of(CELLS * volume, 1, STEPS)))
+    linkable = "n > 0 and doc_id is not null"
+    same = described.filter(linkable).groupBy("n", "high", "low")
     nodes = checkpointed(same.agg(F.min("doc_id").alias("node"), F.min("prefix").alias("prefix"), F.min_by(F.arrays_zip("tokens", "places"), "doc_id").alias("head")))
     # Nodes of one size and prefix are a group, named by its least node.
     groups = nodes.filter(F.size("head") > 0).groupBy("n", "prefix").agg(F.min("node").alias("group"), F.min_by("head", "node").alias("head"))
-    postings = groups.select("group", "n", F.explode("head").alias("h")).select("group", "n", F.col("h.tokens").alias("token"), F.col("h.places").alias("place"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("group", "n", "place")).alias("first")).filter("many > 1")
-    members = nodes.join(groups.select("n", "prefix", "group"), ["n", "prefix"]).select("node", "n", "group")
+    postings = groups.select("group", "n", F.explode("head").alias("h")).select("group", "n", F.col("h.tokens").alias("token"), F.col("h.places").alias("place")).withColumn("early", is_early(percent))
+    first = F.min(F.when(F.col("early"), F.struct("group", "n", "place")))
+    lists = postings.groupBy("token").agg(F.count("*").alias("many"), first.alias("first")).filter("many > 1 and first is not null")
+    members = nodes.join(groups.select("n", "prefix", "group"), ["n", "prefix"]).select("node", "group")
     within = members.filter("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
     met = postings.alias("b").join(lists.select("token", "first.*").alias("a"), F.col("a.token") == F.col("b.token"))
-    across = met.filter((F.col("a.group") < F.col("b.group")) & near_enough(percent)).groupBy(F.col("a.group").alias("a"), F.col("b.group").alias("b")).count()
+    across = met.filter((F.col("a.group") != F.col("b.group")) & near_enough(percent)).groupBy(F.col("a.group").alias("a"), F.col("b.group").alias("b")).count()
     # Of the first groups that a group meets, the one it shares most with; the others get their turn below.
-    likeliest = across.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+    likeliest = across.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    likeliest = likeliest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = checkpointed(within.union(likeliest).distinct())
-
-    def set_rows(batches):
-        for batch in batches:
-            done = 0
-            for texts in batches_of(binaries(batch.column("text"))):
-                found = [s.astype("<u8").tobytes() for s in Sets(texts, size).sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(found, pa.binary())], ["node", "shingles"])
-                done += len(texts)
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the nodes that pairs name, and of few others, from a scan in which a bitmap tells them apart."""
-        wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        found = maybe_listed(rows, "doc_id", wanted).filter("__maybe and doc_id is not null").select("doc_id", "text").mapInArrow(set_rows, "node long, shingles binary")
-        return checkpointed(found)
-
-    edges = checkpointed(verified(tried, sets_of(tried), percent))
+    edges = checkpointed(verified(tried, sets_of(rows, tried, size), percent))
     linked = components(edges)
-    # What is left: pairs of different components that share a shingle in their prefixes, each once.
-    placed = members.join(linked, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component"))
-    # Shingles of several groups, and those of a group of several nodes.
-    met_again = lists.select("token").union(postings.join(within.select(F.col("a").alias("group")), "group", "left_semi").select("token")).distinct()
-    entries = postings.join(met_again, "token", "left_semi").join(placed, "group").select("token", "node", "n", "place", "component")
-    spread = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    entries = checkpointed(entries.join(spread, "token", "left_semi"))
-    pairs = entries.alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & near_enough(percent))
-    rest = checkpointed(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    # What is left: groups with members of different components, alone or with groups that share a shingle early in a prefix.
+    placed = checkpointed(members.join(linked, "node", "left").select("node", "group", F.coalesce("component", "node").alias("component")))
+    of_group = placed.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    entries = postings.join(lists.select("token"), "token", "left_semi").join(of_group, "group")
+    spread = entries.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
+    entries = checkpointed(entries.join(spread, "token", "left_semi").select("token", "group", "n", "place", "early", "lo", "hi"))
+    once = ~F.col("b.early") | (F.col("a.group") < F.col("b.group"))
+    apart = F.least("a.lo", "b.lo") != F.greatest("a.hi", "b.hi")
+    met = entries.filter("early").alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.group") != F.col("b.group")) & once & apart & near_enough(percent))
+    group_pairs = met.select(F.least("a.group", "b.group").alias("x"), F.greatest("a.group", "b.group").alias("y")).distinct()
+    group_pairs = group_pairs.union(of_group.filter("lo <> hi").select(F.col("group").alias("x"), F.col("group").alias("y")))
+    side = lambda g, s: placed.select(F.col("group").alias(g), F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+    expanded = group_pairs.join(side("x", "p"), "x").join(side("y", "q"), "y").filter("of_p <> of_q and (x <> y or p < q)")
+    rest = expanded.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = checkpointed(verified(rest, sets_of(rest), percent))
+        more = checkpointed(verified(rest, sets_of(rows, rest, size), percent))
         if not more.isEmpty():
             linked = components(edges.union(more))
     ids = nodes.join(linked, "node", "left").select("n", "high", "low", F.coalesce("component", "node").alias("component"))
-    joined = described.select("doc_id", "n", "high", "low").join(ids.hint("merge"), ["n", "high", "low"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    joined = described.filter(linkable).select("doc_id", "n", "high", "low").join(ids.hint("merge"), ["n", "high", "low"], "left")
+    alone = described.filter(f"not ({linkable})").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(alone)
