@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -24,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary
+    The cluster names it in ``spark.checkpoint.dir``; only on one machine, where that may be unset, a temporary
     folder is set instead.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir()
 
 

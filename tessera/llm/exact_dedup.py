@@ -9,6 +9,7 @@ hash and the length: only texts that agree in all three count as equal.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import checkpointed, maybe_listed
 FAN_IN = 8
 #: Distinct digests that one range may hold on average at the last level.
 RANGE_ROWS = 500_000
+#: Rows of a partition that one run takes.
+RUN_ROWS = 2_000_000
 KEY_BYTES = 48
 NO_ID = np.iinfo(np.int64).max
 RUN_SCHEMA = "span int, run int, keys binary, ids binary, uids binary, counts binary"
@@ -39,27 +42,49 @@ def digests(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", "uid", F.unhex(F.concat("sha", *padded)).alias("key"))
 
 
-def combine(keys: np.ndarray, ids: np.ndarray, uids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One sorted run of distinct keys: of each, the smallest (id, uid) and the summed count.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    Where the input is sorted runs end to end, the stable sort finds and merges them.
-    """
-    order = np.argsort(keys, kind="stable")
-    keys, ids, uids, counts = keys[order], ids[order], uids[order], counts[order]
+
+def collapsed(run: Run) -> Run:
+    """A sorted run with one entry for each key: the smallest (id, uid) and the summed count."""
+    keys, ids, uids, counts = run
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    if not len(first):
-        return keys, ids, uids, counts
+    if len(first) == len(keys):
+        return run
     least = np.minimum.reduceat(ids, first)
     at_least = ids == np.repeat(least, np.diff(np.r_[first, len(ids)]))
     return keys[first], least, np.minimum.reduceat(np.where(at_least, uids, NO_ID), first), np.add.reduceat(counts, first)
 
 
+def two_merged(a: Run, b: Run) -> Run:
+    """Two sorted runs as one: every entry's place is its own plus the number of the other run's keys before it."""
+    at_a = np.arange(len(a[0])) + np.searchsorted(b[0], a[0], "left")
+    at_b = np.arange(len(b[0])) + np.searchsorted(a[0], b[0], "right")
+    out = []
+    for x, y in zip(a, b, strict=True):
+        both = np.empty(len(x) + len(y), x.dtype)
+        both[at_a], both[at_b] = x, y
+        out.append(both)
+    return collapsed(tuple(out))
+
+
+def merged(runs: list[Run]) -> Run:
+    """Any number of sorted runs as one, the shortest first, so that no entry is moved more than log(runs) times."""
+    heap = [(len(r[0]), n, r) for n, r in enumerate(runs)]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (_, n, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        both = two_merged(a, b)
+        heapq.heappush(heap, (len(both[0]), n, both))
+    return heap[0][2] if heap else (np.zeros(0, f"S{KEY_BYTES}"), *(np.zeros(0, np.int64) for _ in range(3)))
+
+
 def span_of(keys: np.ndarray, spans: int) -> np.ndarray:
     head = keys.view(np.uint8).reshape(-1, KEY_BYTES)[:, :4].astype(np.uint64)
     return (((head @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint64)) * np.uint64(spans)) >> np.uint64(32)).astype(np.int32)
 
 
-def pack(run: int, parts: tuple[np.ndarray, ...], spans: int) -> pa.RecordBatch:
+def pack(run: int, parts: Run, spans: int) -> pa.RecordBatch:
     keys, ids, uids, counts = parts
     span = span_of(keys, spans)
     edges = np.flatnonzero(np.r_[True, span[1:] != span[:-1], True]) if len(span) else np.zeros(1, int)
@@ -69,21 +94,31 @@ def pack(run: int, parts: tuple[np.ndarray, ...], spans: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["span", "run", "keys", "ids", "uids", "counts"])
 
 
-def unpack(table) -> tuple[np.ndarray, ...]:
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    return join("keys", f"S{KEY_BYTES}"), join("ids", np.int64), join("uids", np.int64), join("counts", np.int64)
+def unpack(table: pa.Table) -> list[Run]:
+    kinds = {"keys": f"S{KEY_BYTES}", "ids": np.int64, "uids": np.int64, "counts": np.int64}
+    columns = [[np.frombuffer(x.as_py(), kind) for x in table.column(name)] for name, kind in kinds.items()]
+    return list(zip(*columns, strict=True))
 
 
 def first_runs(spans: int):
+    """One sorted run for each partition; a partition of more than RUN_ROWS rows hands its run on in parts."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, held, rows = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), f"S{KEY_BYTES}")
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
-            yield pack(part, combine(keys, ids, uids, np.ones(len(keys), np.int64)), spans)
+            order = np.argsort(keys, kind="stable")
+            held.append(collapsed((keys[order], ids[order], uids[order], np.ones(len(keys), np.int64))))
+            rows += len(keys)
+            if rows >= RUN_ROWS:
+                yield pack(part, merged(held), spans)
+                held, rows = [], 0
+        if held:
+            yield pack(part, merged(held), spans)
 
     return run
 
@@ -91,7 +126,7 @@ def first_runs(spans: int):
 def merge_runs(spans: int, fan_in: int):
     def merge(table: pa.Table) -> pa.Table:
         run = table.column("run")[0].as_py() // fan_in
-        return pa.Table.from_batches([pack(run, combine(*unpack(table)), spans)])
+        return pa.Table.from_batches([pack(run, merged(unpack(table)), spans)])
 
     return merge
 
@@ -106,7 +141,7 @@ def survivors(digested: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE
         runs, left = grouped.applyInArrow(merge_runs(spans, fan_in), RUN_SCHEMA), math.ceil(left / fan_in)
 
     def last(table: pa.Table) -> pa.Table:
-        keys, ids, uids, counts = combine(*unpack(table))
+        keys, ids, uids, counts = merged(unpack(table))
         blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY_BYTES), len(keys), [None, pa.py_buffer(keys.tobytes())])
         return pa.Table.from_arrays([blob.cast(pa.binary()), pa.array(ids), pa.array(uids), pa.array(counts)], ["key", "keep_id", "keep_uid", "group_size"])
 
@@ -129,14 +164,14 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps. Only rows that may go are shuffled."""
+    """The rows of ``docs``, with all their columns of whatever names, that ``exact_dedup`` keeps. Only rows that may go are shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     decided = checkpointed(exact_dedup(docs, fan_in).filter("group_size > 1").select("doc_id", "text_sha256", "kept"))
     gone = decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("one"), F.count("*").alias("rows")).filter("not one or rows > 1")
-    gone = checkpointed(gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"), "one"))
-    marked = maybe_listed(docs, "doc_id", gone.select("__id"))
-    own = [f"`{c}`" for c in docs.columns]
-    doubtful = marked.filter("__maybe").withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    doubtful = doubtful.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left")
+    gone = checkpointed(gone.select(F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_sha"), "one"))
+    marked = maybe_listed(rows, "id", gone.select("of_id"))
+    doubtful = marked.filter("__maybe").withColumn("sha", F.sha2(normalised(F.col("text")), 256))
+    doubtful = doubtful.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha")), "left")
     # Of rows that repeat both id and text, one of those that stay.
-    once = doubtful.filter("one").dropDuplicates(["__id", "__sha"]).select(*own)
-    return marked.filter("not __maybe").select(*own).union(doubtful.filter("one is null").select(*own)).union(once)
+    once = doubtful.filter("one").dropDuplicates(["of_id", "of_sha"]).select("row")
+    return marked.filter("not __maybe").select("row").union(doubtful.filter("one is null").select("row")).union(once).select("row.*")
