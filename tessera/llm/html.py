@@ -5,7 +5,8 @@ share of link characters and link tags; a node's density sum adds up the densiti
 with the largest sum is the main content. The least density on its path to the body is the threshold that
 decides what else beside that path belongs to it. Marked elements (article, main and the like) only add: the
 nearest one around the main content is taken whole. Elements that are never part of an article (scripts, menus,
-forms, notices and the like) are left out before densities are computed.
+forms, and what whole names in class or id call adverts, comments and the like) are left out before densities are
+computed; names that only hint at that leave the decision to density.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from __future__ import annotations
 import math
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bpe import texts_in
+
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<odd>[^>]*+)(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)""",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One attribute after another, each with its value, so that nothing within a value passes for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -42,12 +47,17 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 CELLS = frozenset({"td", "th", "table", "caption", "object"})
+PARTS = frozenset({"tr", "tbody", "thead", "tfoot"})
 NOISE_TAGS = frozenset("script style noscript template head nav footer aside form button select textarea input iframe svg canvas object dialog menu title audio video map".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination"
-    " pager sidebar sidenav widget widgets footer masthead comment comments commentlist disqus replies respond cookie cookies consent gdpr notice"
-    " banner alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations".split()
+#: Whole names in class or id that mark what no article has, whatever its density.
+NOISE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navbar navigation breadcrumb breadcrumbs pagination sidebar sidenav footer"
+    " masthead comment comments commentlist comment-list comments-area disqus disqus_thread respond cookie cookies cookie-banner cookie-notice consent gdpr newsletter".split()
+)
+#: Whole names that hint at it: such an element stays only within the main content, and only as dense as the body path is at least.
+HINTS = frozenset(
+    "banner notice alert popup modal overlay menu pager widget widgets promo promotion share sharing social related recommended recommendations subscribe subscription signup login replies".split()
 )
 CONTENT_TAGS = frozenset({"article", "main"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
@@ -58,7 +68,7 @@ class Tree:
 
     def __init__(self, html: str, by_class: bool = True):
         self.by_class = by_class
-        self.tag, self.parent, self.noise, self.main = ["html"], [-1], [False], [False]
+        self.tag, self.parent, self.noise, self.main, self.hint = ["html"], [-1], [False], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._read(html)
         n = len(self.tag)
@@ -69,13 +79,18 @@ class Tree:
 
     def _read(self, html: str) -> None:
         tag, pieces = self.tag, self.pieces
-        stack, names, opened = [0], ["html"], {"html": 1}
+        # Open elements from the root, and the depths at which each name is open, so nothing is searched for.
+        stack, names, depths = [0], ["html"], {"html": [0]}
         at, n = 0, len(html)
 
-        def pop() -> None:
-            opened[names.pop()] -= 1
-            if tag[i := stack.pop()] in BLOCK:
-                pieces.append((i, None))
+        def pop_to(depth: int) -> None:
+            while len(names) > depth:
+                depths[names.pop()].pop()
+                if tag[i := stack.pop()] in BLOCK:
+                    pieces.append((i, None))
+
+        def nearest(some) -> int:
+            return max((d[-1] for x in some if (d := depths.get(x))), default=0)
 
         while at < n:
             m = MARKUP.search(html, at)
@@ -87,79 +102,64 @@ class Tree:
                 continue
             name = m["name"].lower()
             if m["close"] and name != "br":
-                if opened.get(name) and name not in ("html", "body"):
-                    for depth in range(len(names) - 1, 0, -1):
-                        if names[depth] == name:
-                            while len(names) > depth:
-                                pop()
-                            break
-                        if names[depth] in CELLS and name not in CELLS and name not in ("tr", "tbody", "thead", "tfoot"):
-                            break
+                depth = nearest((name,))
+                if depth and name != "body" and (name in CELLS or name in PARTS or depth > nearest(CELLS)):
+                    pop_to(depth)
                 continue
-            if name in ("html", "body") and opened.get("body"):
+            if name in ("html", "body") and depths.get("body"):
                 continue
-            if name in CLOSES_P and opened.get("p"):
-                for depth in range(len(names) - 1, 0, -1):
-                    if names[depth] == "p":
-                        while len(names) > depth:
-                            pop()
-                        break
-                    if names[depth] in CELLS:
-                        break
+            if name in CLOSES_P and (depth := nearest(("p",))) > nearest(CELLS):
+                pop_to(depth)
             if name in IMPLIED:
                 ends, bounds = IMPLIED[name]
-                if any(opened.get(x) for x in ends):
-                    for depth in range(len(names) - 1, 0, -1):
-                        if names[depth] in ends:
-                            while len(names) > depth:
-                                pop()
-                            break
-                        if names[depth] in bounds:
-                            break
-            if name == "body" and opened.get("head"):
-                while "head" in names:
-                    pop()
+                if (depth := nearest(ends)) > nearest(bounds):
+                    pop_to(depth)
+            if name == "body" and depths.get("head"):
+                pop_to(depths["head"][0])
             if name == "br":
                 pieces.append((stack[-1], " "))
             above = stack[-1]
             i = len(tag)
-            noise, main = self._kind(name, m["attrs"] or m["odd"] or "", names)
+            noise, main, hint = self._kind(name, m["attrs"] or m["odd"] or "", any(depths.get(x) for x in CONTENT_TAGS))
             tag.append(name)
             self.parent.append(above)
             self.noise.append(noise or self.noise[above])
             self.main.append(main)
+            self.hint.append(hint)
             if name in BLOCK:
                 pieces.append((i, None))
             if name in RAW:
                 end = RAW[name].search(html, at)
                 at = html.find(">", end.end()) + 1 or n if end else n
             elif name not in VOID and not (m["attrs"] or "").endswith("/"):
+                depths.setdefault(name, []).append(len(names))
                 stack.append(i)
                 names.append(name)
-                opened[name] = opened.get(name, 0) + 1
 
-    def _kind(self, name: str, attrs: str, names: list[str]) -> tuple[bool, bool]:
-        """Whether an element is noise; whether it marks the article."""
+    def _kind(self, name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+        """Whether an element is noise; whether it marks the article; whether its names hint at noise."""
         main = name in CONTENT_TAGS
-        inside = main or any(x in CONTENT_TAGS for x in names)
+        inside = inside or main
         if name in NOISE_TAGS or name == "header" and not inside:
-            return True, False
+            return True, False, False
         if not attrs.strip(" /"):
-            return False, main
-        found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attrs)}
+            return False, main, False
+        found: dict[str, str] = {}
+        for k, v in ATTRIBUTE.findall(attrs):
+            found.setdefault(k.lower(), (v[1:-1] if v[:1] in ("'", '"') else v).lower())
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-            return True, False
+            return True, False, False
         role = found.get("role", "")
         main = main or role in ("main", "article") or found.get("itemprop") == "articlebody"
         if not self.by_class:
-            return role in NOISE_ROLES, main
-        words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-        if name == "article" and words & {"comment", "comments", "reply", "teaser", "related", "ad", "advert"}:
-            return True, False
+            return role in NOISE_ROLES, main, False
+        own = {*found.get("class", "").split(), *found.get("id", "").split()}
+        if name == "article" and own & {"comment", "reply", "teaser", "related", "ad", "advert"}:
+            return True, False, False
         if main or name in ("html", "body"):
-            return False, main
-        header = "header" in words and not inside and (words <= {"header", ""} or bool(words & {"site", "page", "global", "top"}))
-        return role in NOISE_ROLES or header or bool(words & NOISE_WORDS), False
+            return False, main, False
+        header = not inside and bool(own & {"header", "site-header", "page-header", "global-header", "top-header"})
+        return role in NOISE_ROLES or header or bool(own & NOISE_NAMES), False, bool(own & HINTS)
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
@@ -180,7 +180,8 @@ def extract(html: str | None) -> str:
     return main_text(Tree(html)) or main_text(Tree(html, by_class=False))
 
 
-def main_text(tree: Tree) -> str:
+def densities(tree: Tree) -> tuple[list[float], list[float], int, list[tuple[int, str | None]]]:
+    """Every node's density and density sum, the body, and the pieces of text outside noise, decoded."""
     n, tag, parent = len(tree.tag), tree.tag, tree.parent
     link = [False] * n
     for i in range(1, n):
@@ -202,14 +203,20 @@ def main_text(tree: Tree) -> str:
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + link[i]
     body = next((i for i in range(n) if tag[i] == "body"), 0)
-    if not chars[0]:
-        return ""
     ratio = link_chars[body] / chars[body] if chars[body] else 0.0
     dense = [density(chars[i], tags[i], link_chars[i], link_tags[i], ratio) for i in range(n)]
     sums = [density(own[i], 0, links[i], int(link[i]), ratio) for i in range(n)]
     for i in range(n - 1, 0, -1):
         if not tree.noise[i]:
             sums[parent[i]] += dense[i]
+    return dense, sums, body, pieces
+
+
+def main_text(tree: Tree) -> str:
+    n, tag, parent = len(tree.tag), tree.tag, tree.parent
+    dense, sums, body, pieces = densities(tree)
+    if not any(t and not t.isspace() for _, t in pieces):
+        return ""
     inside = [i for i in range(body, tree.last[body] + 1) if not tree.noise[i]]
     best = max(inside, key=lambda i: (sums[i], -i))
     path = [best]
@@ -218,12 +225,21 @@ def main_text(tree: Tree) -> str:
     threshold = min(dense[i] for i in path)
     whole = next((i for i in path if tree.main[i]), best)
     # Beside the path: what is as dense as the least dense node on it; a block of bare text other than a heading,
-    # a paragraph or a marked element must be as dense as the main content.
+    # a paragraph or a marked element must be as dense as the main content. Hinted noise is no part of it.
     on, above = set(path), set(path[1:])
-    beside = [i for i in inside if i not in on and parent[i] in above and dense[i] >= threshold]
+    beside = [i for i in inside if i not in on and parent[i] in above and dense[i] >= threshold and not tree.hint[i]]
     chosen = [whole] + [i for i in beside if tag[i] in HEADINGS or tag[i] == "p" or tree.main[i] or sums[i] > dense[i] or tag[i] in BLOCK and dense[i] >= dense[best]]
-    spans = [(i, tree.last[i]) for i in chosen]
-    text = "".join(" " if t is None else t for i, t in pieces if any(a <= i <= b for a, b in spans))
+    # How many chosen elements hold each node, and how many hinted ones that are less dense than the body path.
+    held, left_out = [0] * (n + 1), [0] * (n + 1)
+    for i in chosen:
+        held[i] += 1
+        held[tree.last[i] + 1] -= 1
+    for i in inside:
+        if tree.hint[i] and i not in on and dense[i] < threshold:
+            left_out[i] += 1
+            left_out[tree.last[i] + 1] -= 1
+    held, left_out = list(accumulate(held)), list(accumulate(left_out))
+    text = "".join(" " if t is None else t for i, t in pieces if held[i] and not left_out[i])
     return " ".join(text.split())
 
 
@@ -236,7 +252,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [extract(x) for x in batch.column("html").to_pylist()]
+            texts = [extract(x) for x in texts_in(batch.column("html"))]
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
