@@ -23,11 +23,17 @@ NARRATORS = ("system",)
 NO_NAME = "unknown"
 
 
+def plain(text: Column) -> Column:
+    """A text in which nothing can pass for a mark: ``<|`` becomes ``< |``."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def _segment(turn: Column, speaker: Column, narrators: tuple[str, ...]) -> Column:
     learnt = turn["role"] == speaker
-    head = F.when(learnt, F.lit("<|im_start|>assistant\n")).when(turn["role"].isin(*narrators), F.concat(F.lit("<|im_start|>"), turn["role"], F.lit("\n")))
-    head = head.otherwise(F.concat(F.lit("<|im_start|>user name="), turn["role"], F.lit("\n")))
-    body = F.concat(turn["text"], F.lit("<|im_end|>\n"))
+    name = F.translate(plain(turn["role"]), "\r\n", "  ")
+    head = F.when(learnt, F.lit("<|im_start|>assistant\n")).when(turn["role"].isin(*narrators), F.concat(F.lit("<|im_start|>"), name, F.lit("\n")))
+    head = head.otherwise(F.concat(F.lit("<|im_start|>user name="), name, F.lit("\n")))
+    body = F.concat(plain(turn["text"]), F.lit("<|im_end|>\n"))
     return F.struct(F.concat(head, body).alias("text"), learnt.alias("learnt"), F.length(head).cast("long").alias("head"), F.length(F.concat(head, body)).cast("long").alias("size"))
 
 
@@ -51,8 +57,10 @@ def _divided(turns: DataFrame, max_rows: int) -> DataFrame:
 
 
 def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_turns: int = PART_TURNS, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One row per (conv_id, speaker, part): n_turns, text, mask_starts, mask_ends; parts follow in order of (part, sub).
+    """One row per (conv_id, speaker, part, sub): n_turns, text, mask_starts, mask_ends.
 
+    A whole dialogue of a speaker is its rows' texts end to end in order of (part, sub). In texts and role names
+    ``<|`` becomes ``< |``, and line ends in role names become spaces, so no text can open a turn of its own.
     A mask runs over an assistant turn's text and its end mark, in characters of the row's text. Turns follow by
     turn, then role, then text. Rows that repeat conv_id, turn, role and text count once. A null text is empty, a
     null or empty role is a participant called "unknown", null turns come first, and a null conv_id is a

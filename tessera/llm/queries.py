@@ -25,19 +25,22 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-OP2_SQL = f"""
+def op2_sql(max_rows: int = chat.MAX_ROWS) -> str:
+    return f"""
 WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT *, coalesce(CAST(floor(turn / {chat.PART_TURNS}) AS BIGINT), -1) AS part FROM t),
+q AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // {max_rows} AS INTEGER) AS sub,
+        replace(text, '<|', '< |') AS plain, translate(replace(role, '<|', '< |'), chr(10) || chr(13), '  ') AS name FROM p),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-r AS (SELECT p.*, speaker, role = speaker AS learnt,
-        CASE WHEN role = speaker THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || role END || chr(10) AS head
-      FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS seg FROM r),
-e AS (SELECT *, CAST(sum(length(seg)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM o)
-SELECT conv_id, speaker, part, 0 AS sub, count(*) AS n_turns, string_agg(seg, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+r AS (SELECT q.*, speaker, role = speaker AS learnt,
+        CASE WHEN role = speaker THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || name END || chr(10) AS head
+      FROM q JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (SELECT *, head || plain || '<|im_end|>' || chr(10) AS seg FROM r),
+e AS (SELECT *, CAST(sum(length(seg)) OVER (PARTITION BY conv_id, speaker, part, sub ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM o)
+SELECT conv_id, speaker, part, sub, count(*) AS n_turns, string_agg(seg, '' ORDER BY turn NULLS FIRST, role, text) AS text,
        coalesce(list(upto - length(seg) + length(head) ORDER BY upto) FILTER (WHERE learnt), []) AS mask_starts,
        coalesce(list(upto - 1 ORDER BY upto) FILTER (WHERE learnt), []) AS mask_ends
-FROM e GROUP BY conv_id, speaker, part
+FROM e GROUP BY conv_id, speaker, part, sub
 """
 
 
@@ -124,4 +127,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_rotation": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
+    return {"op2_chat_rotation": op2_sql(), "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
