@@ -19,8 +19,8 @@ from .lines import LINE_COUNTS, Counts
 from .quality_gam import labelled
 from .words import batches_of, binaries
 
-#: Labelled documents that the field is trained on at most, those of least hash; each with all of its lines.
-SAMPLE_ROWS = 2_000
+#: Labelled documents that the field is trained on at most, those of least hash, and lines of each, the first.
+SAMPLE_ROWS, SAMPLE_LINES = 2_000, 400
 LEAST_WORDS = 50
 #: Percent of words in repeated 3-word windows beyond which a text fails.
 MOST_REPEATED = 50
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             for texts in batches_of(binaries(batch.column("text"))):
                 c = Counts(texts)
                 rows, part = line_features(c), batch.slice(done, len(texts))
-                lines = [rows[a:b].astype("<f8").tobytes() for a, b in zip(c.first, c.first[1:], strict=False)]
+                lines = [rows[a : min(b, a + SAMPLE_LINES)].astype("<f8").tobytes() for a, b in zip(c.first, c.first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(lines, pa.binary())], ["doc_id", "label", "lines"])
                 done += len(texts)
 
