@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, packing, quality_gam, substring_dedup
-from tessera.llm.common import shared_folder, small_batches, table
+from tessera.llm.common import delete, shared_folder, small_batches, table
 from tessera.llm.queries import vocabulary
 
 
@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = ngram_join.ngram_join(docs.select("doc_id", "text"), size=5, percent=80)
     gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     left = substring_dedup.substring_dedup(docs, keep=keep)
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage returns is written to the shared folder and read back."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. What each stage returns is written to the shared folder, read back, and deleted after its successor."""
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            delete(spark, f"{folder}/{last}")
+        last = name
+    # The last stage has its pieces in a checkpoint of its own when it returns.
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    delete(spark, folder)
+    return packed
