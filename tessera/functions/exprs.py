@@ -41,17 +41,6 @@ def globs_overlap(a: Column, b: Column) -> Column:
     return glob_match(a, b) | glob_match(b, a)
 
 
-def glob_folder(pattern: Column) -> Column:
-    """The folder, with its "/", that every match of a pattern starts with: what precedes the first wildcard."""
-    return F.regexp_extract(pattern, r"^([^*?\[]*/)?", 0)
-
-
-def folders_of(path: Column) -> Column:
-    """All folders that a path starts with, each with its "/", and the empty one."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))))
-
-
 # -- vectors
 
 
@@ -100,6 +89,32 @@ def shortened_path(path: Column, longest: int = 40) -> Column:
     return F.when(F.length(path) > longest, F.concat(F.lit("..."), F.right(path, F.lit(longest - 3)))).otherwise(path)
 
 
+def shown_time(at: Column) -> Column:
+    """A time to the second, as text."""
+    return F.substring(at.cast("string"), 1, 19)
+
+
+def shown_text(text: Column, longest: int = 60) -> Column:
+    return F.substring(F.coalesce(text, F.lit("")), 1, longest)
+
+
+def merge_author(branch: Column) -> Column:
+    return F.concat(F.lit("merge:"), branch)
+
+
+def merge_id(branch: Column, token: Column) -> Column:
+    """An id for what a merge tells: the branch and the first eight characters of a token."""
+    return F.concat(F.lit("merge-"), branch, F.lit("-"), F.substring(token, 1, 8))
+
+
+def patterns_json(patterns: Column) -> Column:
+    return F.to_json(patterns)
+
+
+def patterns_of(text: Column) -> Column:
+    return F.from_json(text, "array<string>")
+
+
 def line_range(text: Column) -> Column:
     """(first, last) of "a-b"; nulls unless there are exactly two numbers."""
     parts = F.split(text, "-")

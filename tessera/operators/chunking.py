@@ -1,4 +1,4 @@
-"""Splitting source text into chunks: character windows, syntax of Python, size caps, assembly."""
+"""Splitting source text into chunks: character windows, syntax, size and token caps, assembly."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import syntax
 
 WINDOW, OVERLAP, CAP, LEAST_LINES = 2500, 300, 5000, 3
 
@@ -55,13 +56,13 @@ def split_text(text: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[Ch
 
 def split_python(source: str) -> list[Chunk]:
     """Chunks of top-level functions and classes, of a class's longer methods instead of the class, and of what is
-    between. Source that doesn't parse gives none."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    between. Source that doesn't parse is split by indentation."""
     if not source.strip():
         return []
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return split_nodes(source, syntax.python_blocks(source))
     data = source.encode()
     lines = [0]
     for piece in data.split(b"\n")[:-1]:
@@ -100,8 +101,41 @@ def split_python(source: str) -> list[Chunk]:
     return out
 
 
-#: Languages split by syntax; others, and source that doesn't parse, are split by windows.
-PARSERS: dict[str, Callable[[str], list[Chunk]]] = {"python": split_python}
+def node_label(kind: str) -> str:
+    """The label of a syntax node's type: the first of these words that it has."""
+    labels = (("class", "class"), ("function", "function"), ("method", "function"), ("impl", "impl"), ("struct", "struct"), ("enum", "enum"), ("type", "type"), ("export", "export"), ("lexical", "variable"))
+    return next((label for word, label in labels if word in kind), "definition")
+
+
+def split_nodes(source: str, nodes: list[syntax.Node]) -> list[Chunk]:
+    """Chunks of definitions and of what is between; longer members of a container stand for it, each under its first line."""
+    if not source.strip():
+        return []
+    line = lambda at: source.count("\n", 0, at) + 1
+    out, done = [], 0
+    for n in nodes:
+        if source[done : n.start].strip():
+            out.append(Chunk(source[done : n.start], line(done), line(n.start), "module_header"))
+        head = source[n.start : n.end].split("\n", 1)[0]
+        inner = [(m, source[m.start : m.end]) for m in n.members]
+        nested = [Chunk(f"{head}\n    {text}", line(m.start), line(m.end), node_label(m.kind), m.name, n.name) for m, text in inner if text.count("\n") + 1 >= LEAST_LINES]
+        out += nested or [Chunk(source[n.start : n.end], line(n.start), line(n.end), node_label(n.kind), n.name)]
+        done = n.end
+    if source[done:].strip():
+        out.append(Chunk(source[done:], line(done), line(len(source)), "module_body"))
+    return out
+
+
+def _by(language: str) -> Callable[[str], list[Chunk]]:
+    return lambda source: split_nodes(source, syntax.definitions(source, language))
+
+
+#: Languages split by syntax; others are split by windows.
+PARSERS: dict[str, Callable[[str], list[Chunk]]] = {"python": split_python, **{x: _by(x) for x in syntax.GRAMMARS}}
+
+
+def supported_languages() -> list[str]:
+    return sorted(PARSERS)
 
 
 def capped(chunk: Chunk, cap: int = CAP, tokens: Callable[[str], int] | None = None, most: int | None = None) -> list[Chunk]:
@@ -122,9 +156,9 @@ def capped(chunk: Chunk, cap: int = CAP, tokens: Callable[[str], int] | None = N
     return out
 
 
-def split_source(text: str, language: str, size: int = WINDOW, overlap: int = OVERLAP, cap: int = CAP) -> list[Chunk]:
+def split_source(text: str, language: str, size: int = WINDOW, overlap: int = OVERLAP, cap: int = CAP, tokens: Callable[[str], int] | None = None, most: int | None = None) -> list[Chunk]:
     parsed = PARSERS[language](text) if language in PARSERS else []
-    return [p for c in parsed or split_text(text, size, overlap) for p in capped(c, cap)]
+    return [p for c in parsed or split_text(text, size, overlap) for p in capped(c, cap, tokens, most)]
 
 
 CHUNKS = "start_line int, end_line int, chunk_type string, name string, parent_name string, piece int, content string"
@@ -154,15 +188,18 @@ def text_chunks(df: DataFrame, keys: list[str], text: str = "text", size: int =
     return chunked(df, keys, text, lambda row: split_text(row[text], size, overlap))
 
 
-def cap_chunks(df: DataFrame, keys: list[str], text: str = "text", cap: int = CAP) -> DataFrame:
-    """Whole texts as one chunk each, cut to ``cap``."""
+def cap_chunks(df: DataFrame, keys: list[str], text: str = "text", cap: int = CAP, tokens: Callable[[str], int] | None = None, most: int | None = None) -> DataFrame:
+    """Whole texts as one chunk each, cut to ``cap`` characters and ``most`` tokens."""
     whole = lambda t: Chunk(t, 1, t.count("\n") + 1)
-    return chunked(df, keys, text, lambda row: capped(whole(row[text]), cap))
+    return chunked(df, keys, text, lambda row: capped(whole(row[text]), cap, tokens, most))
+
 
+def source_chunks(files: DataFrame, size: int = WINDOW, overlap: int = OVERLAP, cap: int = CAP, tokens: Callable[[str], int] | None = None, most: int | None = None) -> DataFrame:
+    """Chunks of files (project, file_path, language, text), split by syntax where there is a parser, and within both caps.
 
-def source_chunks(files: DataFrame, size: int = WINDOW, overlap: int = OVERLAP, cap: int = CAP) -> DataFrame:
-    """Chunks of files (project, file_path, language, text), split by syntax where there is a parser, and capped."""
-    return chunked(files, ["project", "file_path", "language"], "text", lambda row: split_source(row["text"], row["language"], size, overlap, cap), ["language"])
+    ``tokens`` counts a text's tokens; it is sent to executors. Without it, or without ``most``, characters alone count.
+    """
+    return chunked(files, ["project", "file_path", "language"], "text", lambda row: split_source(row["text"], row["language"], size, overlap, cap, tokens, most), ["language"])
 
 
 def documents(chunks: DataFrame) -> DataFrame:

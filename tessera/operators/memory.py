@@ -74,6 +74,21 @@ def anchors_for(new: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(F.md5(F.concat_ws(":", F.col("id").cast("string"), "file_path")).alias("anchor_id"), F.col("id").alias("memory_id"), "file_path", "stored_hash", span["first"].alias("line_start"), span["last"].alias("line_end"), F.lit(False).alias("is_stale"))
 
 
+def node(nodes: DataFrame, node_id) -> DataFrame:
+    """The node of an id, which reaches the scan as a filter."""
+    return nodes.filter(F.col("id") == node_id)
+
+
+def nodes_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of many ids (id) at once."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def unembedded(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     """Live nodes that no vector stands for yet."""
     return nodes.filter(~F.coalesce("archived", F.lit(False))).join(vectors.select("id"), "id", "left_anti")
+
+
+def backfilled(nodes: DataFrame, vectors: DataFrame, embed) -> DataFrame:
+    """(id, embedding) to append for live nodes without a vector; ``embed`` adds the embedding of a frame's content."""
+    return embed(unembedded(nodes, vectors)).select("id", "embedding")

@@ -15,6 +15,9 @@ from .matching import containing
 DIGITS = 9
 #: Query vectors that one scan of the data answers.
 QUERIES_AT_ONCE = 2_000
+ROWS_AT_ONCE = 1_024
+#: How far a product's distance may be off, relatively.
+NEAR_ENOUGH = 1e-6
 
 
 def clamp(n: int, low: int = 1, high: int = 100) -> int:
@@ -62,28 +65,37 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, probed=None)
         cells = None if probed is None else [probed(x) for x in q]
 
         def run(batches, names=names, q=q, cells=cells):
-            best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+            mine, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            reach, square = np.full(len(q), np.inf), (q**2).sum(1)
             for batch in batches:
                 own = batch.column("id").to_numpy(zero_copy_only=False)
                 at = None if cells is None else batch.column("cell").to_numpy(zero_copy_only=False)
-                v = np.array(batch.column("embedding").to_pylist(), np.float64)
-                for start in range(0, len(v), 256):
-                    part = v[start : start + 256]
-                    total = np.zeros((len(q), len(part)))
-                    for d in range(q.shape[1]):  # in the order of elements, so that sums are the JVM's
-                        total += (part[None, :, d] - q[:, None, d]) ** 2
-                    s = np.round(1.0 / (1.0 + total), DIGITS)
+                flat = batch.column("embedding")
+                v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1) if flat.null_count == 0 and len(flat.flatten()) == len(own) * q.shape[1] else np.array(flat.to_pylist(), np.float64)
+                for start in range(0, len(v), ROWS_AT_ONCE):
+                    part = v[start : start + ROWS_AT_ONCE]
+                    # One product gives all distances but for rounding; what may be among the best is measured exactly.
+                    near = square[:, None] - 2 * (q @ part.T) + (part**2).sum(1)[None, :]
                     if cells is not None:
-                        s[~np.array([np.isin(at[start : start + 256], c) for c in cells])] = -1.0
-                    best_s = np.concatenate([best_s, s], axis=1)
-                    best_i = np.concatenate([best_i, np.broadcast_to(own[start : start + 256], s.shape)], axis=1)
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "id", "score"])
+                        near[~np.array([np.isin(at[start : start + ROWS_AT_ONCE], c) for c in cells])] = np.inf
+                    own_reach = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(q), np.inf)
+                    limit = np.minimum(reach, own_reach)
+                    query, row = np.nonzero((near <= (limit + NEAR_ENOUGH * (1 + np.abs(limit)))[:, None]) & np.isfinite(near))
+                    total = np.zeros(len(query))
+                    for d in range(q.shape[1]):  # in the order of elements, so that sums are the JVM's
+                        total += (part[row, d] - q[query, d]) ** 2
+                    mine, ids = np.concatenate([mine, query]), np.concatenate([ids, own[start + row]])
+                    scores = np.concatenate([scores, np.round(1.0 / (1.0 + total), DIGITS)])
+                    order = np.lexsort((ids, -scores, mine))
+                    mine, ids, scores = mine[order], ids[order], scores[order]
+                    place = np.arange(len(mine)) - np.searchsorted(mine, mine)
+                    kept = place < k
+                    mine, ids, scores, last = mine[kept], ids[kept], scores[kept], place[kept] == k - 1
+                    # Scores are rounded, so ties reach a little further than the k-th distance.
+                    reach[mine[last]] = 1.0 / np.maximum(scores[last] - 10.0**-DIGITS, 1e-12) - 1.0
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in mine.tolist()], pa.int64()), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
 
         part = vectors.select(F.col("id").cast("long").alias("id"), "embedding", *["cell"] * (cells is not None)).mapInArrow(run, "query_id long, id long, score double")
-        part = part if cells is None else part.filter("score >= 0")
         out = part if out is None else out.union(part)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")

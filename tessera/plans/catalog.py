@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -52,7 +53,10 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 def _save(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
@@ -439,7 +443,10 @@ def _streamed(spark, sf_dir, make, mode: str = "append") -> DataFrame:
 
     _save(spark.range(1))
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid4().hex}"
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
+    # Timers need this store; the caller's session keeps its own.
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = session.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
     running = make(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -448,11 +455,13 @@ def _streamed(spark, sf_dir, make, mode: str = "append") -> DataFrame:
 @query()
 def watch_debounce_stream(spark, sf_dir):
     watch = lambda e: e.select("event_id", F.col("event_type").alias("project"), F.concat(F.lit("f"), F.col("user_id") % 20, F.lit(".py")).alias("path"), F.when(F.col("event_id") % 4 == 0, "deleted").otherwise("modified").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
-    return _streamed(spark, sf_dir, lambda e: jobs.debounced(watch(e), _GAP))
+    return _streamed(spark, sf_dir, lambda e: jobs.debounced(watch(e), _GAP)).withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
 @query()
 def session_status_stream(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     active = lambda e: e.select(F.concat(F.lit("agent-"), "user_id").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return _streamed(spark, sf_dir, lambda e: jobs.session_changes(active(e)))
+    return _streamed(spark, sf_dir, lambda e: jobs.session_changes(active(e))).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+from . import lifecycle  # noqa: E402, F401  registers its queries

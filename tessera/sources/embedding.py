@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+import functools
 import hashlib
 import json
 import urllib.error
@@ -16,7 +18,12 @@ from ..functions.hashing import xxh3_hex
 
 BATCH = 64
 # What servers say of a text that is too long.
-TOO_LONG = ("input length exceeds", "context length", "maximum context")
+TOO_LONG = ("context length", "input length", "too long")
+# Models and the public tokenizers that count their tokens.
+TOKENIZERS = {
+    "all-minilm": "sentence-transformers/all-MiniLM-L6-v2", "nomic-embed-text": "nomic-ai/nomic-embed-text-v1", "mxbai-embed-large": "mixedbread-ai/mxbai-embed-large-v1",
+    "bge-large": "BAAI/bge-large-en-v1.5", "bge-m3": "BAAI/bge-m3", "snowflake-arctic-embed": "Snowflake/snowflake-arctic-embed-l",
+}
 
 
 class Provider(Protocol):
@@ -41,12 +48,39 @@ class TextTooLong(ValueError):
     pass
 
 
+def overflowed(status: int, message: str) -> bool:
+    """Whether a server's refusal says that a text is too long for the model."""
+    return status == 400 and any(x in message.lower() for x in TOO_LONG)
+
+
+@functools.cache
+def token_counter(model: str):
+    """What counts a model's tokens, or None where its tokenizer isn't known or can't be had; a tag after ":" is ignored."""
+    known = TOKENIZERS.get(model.split(":", 1)[0])
+    try:
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_pretrained(known) if known else None
+    except Exception:
+        return None
+    return None if loaded is None else lambda text: len(loaded.encode(text).ids)
+
+
 class HttpProvider:
-    """A server that takes {"model", "input": [...]} and answers {"data": [{"embedding"}]} or {"embeddings": [...]}."""
+    """A server that takes {"model", "input": [...]} and answers {"data": [{"embedding"}]} or {"embeddings": [...]}.
+
+    Without ``dimension``, it is asked for once by embedding a word.
+    """
 
-    def __init__(self, url: str, model: str, dimension: int, key: str = "", timeout: float = 60):
-        self.url, self.model, self.dimension, self.key, self.timeout = url, model, dimension, key, timeout
-        self.name = f"http:{model}"
+    def __init__(self, url: str, model: str, dimension: int | None = None, key: str = "", timeout: float = 60):
+        self.url, self.model, self.key, self.timeout = url, model, key, timeout
+        self.name, self._dimension = f"http:{model}", dimension
+
+    @property
+    def dimension(self) -> int:
+        if self._dimension is None:
+            self._dimension = len(self.embed_batch(["dimension"])[0])
+        return self._dimension
 
     def _post(self, texts: list[str]) -> list[list[float]]:
         body = json.dumps({"model": self.model, "input": texts}).encode()
@@ -56,7 +90,7 @@ class HttpProvider:
                 said = json.load(answer)
         except urllib.error.HTTPError as e:
             message = e.read().decode("utf-8", "replace")
-            if e.code == 400 and any(x in message.lower() for x in TOO_LONG):
+            if overflowed(e.code, message):
                 raise TextTooLong(message) from e
             raise ConnectionError(f"{self.url}: status {e.code}: {message[:200]}") from e
         except OSError as e:
@@ -66,6 +100,10 @@ class HttpProvider:
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
         return halved(self._post, texts)
 
+    async def aembed_batch(self, texts: list[str]) -> list[list[float]]:
+        """The same for callers in an event loop, which isn't held up."""
+        return await asyncio.to_thread(self.embed_batch, texts)
+
 
 def halved(embed, texts: list[str]) -> list[list[float]]:
     """``embed``, with a batch that is too long halved, and a text that is too long the mean of its halves."""

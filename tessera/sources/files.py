@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import os
 import subprocess
 import uuid
@@ -10,16 +11,20 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .store import remove
 
 LARGEST = 1_048_576
 # Folders that are never read.
 SKIPPED = (
     ".git", "node_modules", "__pycache__", ".venv", "venv", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tox", "dist", "build", ".next", ".nuxt", "target", ".eggs", "*.egg-info",
 )
+# Names that are left out when a tree is hashed.
+UNHASHED = frozenset(".git __pycache__ node_modules .venv venv .mypy_cache .pytest_cache .ruff_cache dist build .egg-info .tox .nox".split())
 FILES_A_TASK = 500
 
 
@@ -42,7 +47,10 @@ def listing(root: str, patterns: list[str] | None = None, extensions: set[str] |
     left = [""]
     while left:
         folder = left.pop()
-        entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+        try:
+            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+        except OSError:  # a folder that can't be read is left out
+            continue
         deeper = []
         for e in entries:
             path = f"{folder}/{e.name}" if folder else e.name
@@ -85,31 +93,77 @@ def read_paths(spark: SparkSession, root: str, project: str, paths: list[str]) -
     return read.select(F.lit(project).alias("project"), "file_path", X.language_of(F.col("file_path")).alias("language"), "text", "error")
 
 
+def tree_paths(root: str, left_out: frozenset[str] = UNHASHED) -> list[str]:
+    """All files below ``root`` for hashing, in order; only names in ``left_out`` are passed over, at any level."""
+    out = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(f for f in folders if f not in left_out)
+        below = os.path.relpath(folder, root).replace(os.sep, "/")
+        out += [n if below == "." else f"{below}/{n}" for n in names if n not in left_out and os.path.isfile(os.path.join(folder, n))]
+    return sorted(out)
+
+
+def scan_hashes(spark: SparkSession, root: str, left_out: frozenset[str] = UNHASHED, digest: str = "xxh3") -> DataFrame:
+    """(path, hash) of a tree for tree_diff(): the driver lists names, executors read and hash; what can't be read is left out."""
+    paths = tree_paths(root, left_out)
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // FILES_A_TASK))
+
+    def run(batches):
+        for pdf in batches:
+            found = [(p, h) for p in pdf.path if (h := _digest(os.path.join(root, p), digest)) is not None]
+            yield pd.DataFrame(found, columns=["path", "hash"])
+
+    return listed.mapInPandas(run, "path string, hash string")
+
+
+def _digest(path: str, digest: str) -> str | None:
+    state = xxhash.xxh3_64() if digest == "xxh3" else hashlib.new(digest)
+    try:
+        with open(path, "rb") as f:
+            while block := f.read(1 << 20):
+                state.update(block)
+    except OSError:
+        return None
+    return state.hexdigest()
+
+
 def changed_files(root: str, branch: str, base: str = "main") -> list[str]:
     """Paths that a branch changed since it left ``base``; none where git can't tell."""
     done = subprocess.run(["git", "diff", "--name-only", f"{base}...{branch}"], cwd=root, capture_output=True, text=True, timeout=30)
     return [x for x in done.stdout.splitlines() if x.strip()] if done.returncode == 0 else []
 
 
-def save_snapshot(files: DataFrame, folder: str, project: str) -> str:
-    """Writes (path, hash) as a new snapshot of a project and returns its id; older ones stay readable."""
-    snapshot = uuid.uuid4().hex
-    files.withColumn("taken_at", F.current_timestamp()).write.parquet(f"{folder}/project={project}/snapshot={snapshot}")
-    return snapshot
+SNAPSHOT = "path string, hash string, seq long, project string, snapshot string"
 
 
-def load_snapshot(spark: SparkSession, folder: str, project: str) -> DataFrame | None:
-    """The newest snapshot's (path, hash), or None if there is none."""
+def _snapshots(spark: SparkSession, folder: str, project: str) -> DataFrame | None:
     try:
-        rows = spark.read.schema("path string, hash string, taken_at timestamp, project string, snapshot string").parquet(folder).filter(F.col("project") == project)
-        newest = rows.agg(F.max_by("snapshot", "taken_at")).first()[0]
+        return spark.read.schema(SNAPSHOT).parquet(folder).filter(F.col("project") == project)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
+
+
+def save_snapshot(files: DataFrame, folder: str, project: str) -> str:
+    """Writes (path, hash) as the next snapshot of a project and returns its id; older ones stay readable."""
+    known, snapshot = _snapshots(files.sparkSession, folder, project), uuid.uuid4().hex
+    last = 0 if known is None else known.agg(F.max("seq")).first()[0] or 0
+    files.withColumn("seq", F.lit(last + 1).cast("long")).write.parquet(f"{folder}/project={project}/snapshot={snapshot}")
+    return snapshot
+
+
+def load_snapshot(spark: SparkSession, folder: str, project: str) -> DataFrame | None:
+    """The newest snapshot's (path, hash), or None if there is none."""
+    rows = _snapshots(spark, folder, project)
+    newest = None if rows is None else rows.agg(F.max_by("snapshot", "seq")).first()[0]
     return None if newest is None else rows.filter(F.col("snapshot") == newest).select("path", "hash")
 
 
+def delete_snapshots(spark: SparkSession, folder: str, project: str) -> None:
+    remove(spark, f"{folder}/project={project}")
+
+
 def front_matter(texts: DataFrame, text: str = "text") -> DataFrame:
     """``texts`` with node_type, summary and content from "---" front matter of key: value lines; content without it if there is a body."""
     value = F.col(text)

@@ -2,65 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import xxh3_hex
-from ..operators.chunking import documents, source_chunks
-from ..operators.sync import changed_only
+from ..operators.chunking import CAP, documents, source_chunks
+from ..operators.sync import changed_only, tree_diff
 from .embedding import Provider, embed_cached
-from .files import read_paths, scan_files
+from .files import delete_snapshots, listing, load_snapshot, read_paths, save_snapshot, scan_files, scan_hashes
 from .store import Store
 
 
-def _split(files: DataFrame, collection: str) -> DataFrame:
-    docs = documents(source_chunks(files.filter(F.col("text").isNotNull())))
+@dataclass(frozen=True)
+class Caps:
+    """Bounds of a chunk: characters, and tokens where ``tokens`` counts them (it is sent to executors)."""
+
+    characters: int = CAP
+    tokens: Callable[[str], int] | None = None
+    most_tokens: int | None = None
+
+
+def _split(files: DataFrame, collection: str, caps: Caps) -> DataFrame:
+    docs = documents(source_chunks(files.filter(F.col("text").isNotNull()), cap=caps.characters, tokens=caps.tokens, most=caps.most_tokens))
     return docs.withColumn("collection", F.lit(collection)).withColumn("project_name", F.col("project"))
 
 
-def _chunks(store: Store, files: DataFrame, collection: str, provider: Provider) -> DataFrame:
+def _chunks(store: Store, files: DataFrame, collection: str, provider: Provider, caps: Caps) -> DataFrame:
     """Chunks with vectors from the store's cache, which first gets those it doesn't have."""
-    docs = _split(files, collection)
+    docs = _split(files, collection, caps)
     store.cache(embed_cached(docs, store.cached(), provider)[1])
     # Only looked up: a filter on vectors would be pushed down to the provider's calls and make them again.
     known = store.cached().filter(F.col("provider") == provider.name).select("content_hash", "embedding")
     return docs.withColumn("content_hash", xxh3_hex(F.col("content"))).join(known, "content_hash", "left").select(*docs.columns, "embedding").withColumn("ord", F.col("piece"))
 
 
-def index_codebase(store: Store, root: str, project: str, provider: Provider, force: bool = False, patterns: list[str] | None = None, extensions: set[str] | None = None) -> dict:
+def index_codebase(store: Store, root: str, project: str, provider: Provider, force: bool = False, patterns: list[str] | None = None, extensions: set[str] | None = None, caps: Caps = Caps()) -> dict:
     """Indexes a tree into the project's base collection; one that exists stays as it is unless ``force``."""
     collection = f"code_{project}"
     if store.has(collection) and not force:
         return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
     store.drop(collection)
     store.create(collection, provider.dimension)
-    store.upsert(collection, _chunks(store, scan_files(store.spark, root, project, patterns, extensions), collection, provider), "ord", provider.name)
+    store.upsert(collection, _chunks(store, scan_files(store.spark, root, project, patterns, extensions), collection, provider, caps), "ord", provider.name)
     return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
 
 
-def index_files(store: Store, root: str, project: str, paths: list[str], provider: Provider) -> DataFrame:
-    """Replaces the chunks of given files; returns (path, chunks, error), and a file that fails stops no other."""
+def index_files(store: Store, root: str, project: str, paths: list[str], provider: Provider, caps: Caps = Caps()) -> DataFrame:
+    """Replaces the chunks of given files in one new version; returns (path, chunks, error), and a file that fails stops no other.
+
+    Where the provider fails, the collection stays as it was.
+    """
     collection = f"code_{project}"
     store.create(collection, provider.dimension)
     files = read_paths(store.spark, root, project, paths)
-    chunks = _chunks(store, files, collection, provider)
     good = files.filter(F.col("error").isNull()).select("file_path")
     old = store.read(collection)
-    if old is not None:
-        gone = old.join(good, "file_path", "left_semi").select("id")
-        store.delete(collection, gone)
-    store.upsert(collection, chunks, "ord", provider.name)
-    counts = _split(files, collection).groupBy("file_path").agg(F.count("*").alias("chunks"))
+    gone = None if old is None else old.join(good, "file_path", "left_semi").select("id")
+    store.upsert(collection, _chunks(store, files, collection, provider, caps), "ord", provider.name, gone)
+    counts = _split(files, collection, caps).groupBy("file_path").agg(F.count("*").alias("chunks"))
     return files.join(counts, "file_path", "left").select(F.col("file_path").alias("path"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
 
 
-def index_branch(store: Store, root: str, project: str, branch_collection: str, changed: list[str], provider: Provider) -> int:
+def drop_files(store: Store, project: str, paths: list[str]) -> int:
+    """Deletes the chunks of files that are gone; how many."""
+    collection = f"code_{project}"
+    old = store.read(collection)
+    if old is None or not paths:
+        return 0
+    before = old.count()
+    store.delete(collection, old.join(store.spark.createDataFrame([(p,) for p in paths], "file_path string"), "file_path", "left_semi").select("id"))
+    return before - store.count(collection)
+
+
+def sync_once(store: Store, root: str, project: str, provider: Provider, caps: Caps = Caps()) -> dict:
+    """Brings a project's index up to its tree: hashes, compares with the last snapshot, re-indexes and drops what differs.
+
+    The snapshot is saved last, so what failed is tried again. Files that indexing wouldn't take are left alone.
+    """
+    now, old = scan_hashes(store.spark, root), load_snapshot(store.spark, store.snapshots, project)
+    empty = store.spark.createDataFrame([], "path string, hash string")
+    diff = [tuple(r) for r in tree_diff(empty if old is None else old, now).collect()]
+    indexable = {p for p, _ in listing(root)}
+    changed = sorted(p for p, s in diff if s != "removed" and p in indexable)
+    removed = sorted(p for p, s in diff if s == "removed")
+    if changed:
+        index_files(store, root, project, changed, provider, caps)
+    dropped = drop_files(store, project, removed)
+    if diff or old is None:
+        save_snapshot(now, store.snapshots, project)
+    return {"project": project, "changed": changed, "removed": removed, "chunks_dropped": dropped}
+
+
+def index_branch(store: Store, root: str, project: str, branch_collection: str, changed: list[str], provider: Provider, caps: Caps = Caps()) -> int:
     """Indexes a branch's changed files into its overlay; the number of chunks."""
     if not changed:
         return 0
     files = scan_files(store.spark, root, project)
     only = changed_only(files, store.spark.createDataFrame([(p,) for p in changed], "file_path string"))
-    rows = _chunks(store, only, branch_collection, provider)
+    rows = _chunks(store, only, branch_collection, provider, caps)
     if rows.isEmpty():
         return 0
     store.create(branch_collection, provider.dimension)
@@ -77,7 +119,9 @@ def index_status(store: Store, project: str) -> dict:
 
 
 def clear_index(store: Store, project: str) -> dict:
+    """Drops the base collection, not overlays, and forgets the snapshots."""
     store.drop(f"code_{project}")
+    delete_snapshots(store.spark, store.snapshots, project)
     return {"project": project, "status": "cleared"}
 
 

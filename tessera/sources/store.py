@@ -15,6 +15,11 @@ def last_wins(rows: DataFrame, order: str, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Store:
     """Collections under one folder. Each is a series of written versions; the newest pointer names the current one.
 
@@ -27,7 +32,7 @@ class Store:
     CACHE = "content_hash string, provider string, embedding array<float>"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.snapshots = spark, folder, f"{folder}/snapshots"
 
     def _pointers(self) -> DataFrame:
         try:
@@ -69,19 +74,30 @@ class Store:
         rows.write.parquet(f"{self.folder}/data/{version}")
         self._point(collection, version, dimension)
 
-    def upsert(self, collection: str, rows: DataFrame, order: str, model: str = "the model") -> None:
-        """Adds rows, the last of each id by ``order``, in place of those of the same ids. Every row needs a vector."""
-        without = [r[0] for r in rows.filter(F.col("embedding").isNull()).select("id").limit(5).collect()]
-        if without:
-            raise ValueError(f"rows without a vector: {without}")
-        row = self._pointers().filter(F.col("collection") == collection).first()
-        sizes = rows.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-        known = row["dimension"] if row else None
-        for got in {sizes["lo"], sizes["hi"]} - {None}:
-            check_dimension(known, got, model, collection)
-        new, old = last_wins(rows, order).drop(order), self.read(collection)
-        both = new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new)
-        self._write(collection, both, known if known is not None else sizes["lo"])
+    def upsert(self, collection: str, rows: DataFrame, order: str, model: str = "the model", without: DataFrame | None = None) -> None:
+        """Adds rows, the last of each id by ``order``, in place of those of the same ids and of the ids in ``without``.
+
+        ``rows`` are computed once, into a table of their own that is checked before the new version is made: every
+        row needs a vector of the collection's length. So what fails leaves the collection as it was.
+        """
+        made = f"{self.folder}/data/{uuid.uuid4().hex}"
+        last_wins(rows, order).drop(order).write.parquet(made)
+        new = self.spark.read.parquet(made)
+        try:
+            blank = [r[0] for r in new.filter(F.col("embedding").isNull()).select("id").limit(5).collect()]
+            if blank:
+                raise ValueError(f"rows without a vector: {blank}")
+            row = self._pointers().filter(F.col("collection") == collection).first()
+            sizes = new.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+            known = row["dimension"] if row else None
+            for got in {sizes["lo"], sizes["hi"]} - {None}:
+                check_dimension(known, got, model, collection)
+            old = self.read(collection)
+            gone = new.select("id") if without is None else new.select("id").union(without.select("id"))
+            both = new if old is None else old.join(gone.distinct(), "id", "left_anti").unionByName(new)
+            self._write(collection, both, known if known is not None else sizes["lo"])
+        finally:
+            remove(self.spark, made)
 
     def delete(self, collection: str, ids: DataFrame) -> None:
         self._replace(collection, lambda old: old.join(ids.select("id").distinct(), "id", "left_anti"))

@@ -20,6 +20,7 @@ from .sources import indexer
 from .sources.embedding import Provider, embed
 from .sources.files import changed_files
 from .sources.store import Store
+from .streaming import jobs
 
 
 class Log:
@@ -51,8 +52,11 @@ class Log:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, folder: str, provider: Provider):
-        self.spark, self.folder, self.provider = spark, folder, provider
+    """``roots`` (project: folder) are kept in sync from the first search on, every ``every`` seconds."""
+
+    def __init__(self, spark: SparkSession, folder: str, provider: Provider, caps: indexer.Caps = indexer.Caps(), roots: dict[str, str] | None = None, every: int = 300):
+        self.spark, self.folder, self.provider, self.caps = spark, folder, provider, caps
+        self.roots, self.every, self.syncs, self._coordinated = roots or {}, every, {}, {}
         self.store = Store(spark, f"{folder}/collections")
         log = lambda name, schema, *key: Log(spark, f"{folder}/{name}", schema, key)
         self.nodes = log("nodes", "id string, node_type string, content string, summary string, keywords string, file_path string, line_range string, source string, project_path string, archived boolean, created_at timestamp, updated_at timestamp, agent_id string, embedding array<float>", "id")
@@ -77,18 +81,18 @@ class Workspace:
 
     def index_codebase(self, root: str, project: str, force: bool = False, branch: str | None = None, patterns: list[str] | None = None, extensions: set[str] | None = None) -> dict:
         if branch is None:
-            return indexer.index_codebase(self.store, root, project, self.provider, force, patterns, extensions)
+            return indexer.index_codebase(self.store, root, project, self.provider, force, patterns, extensions, self.caps)
         n = self.index_branch(root, project, branch, changed_files(root, branch))
         return {"project": project, "branch": branch, "status": "indexed", "chunk_count": n}
 
     def index_branch(self, root: str, project: str, branch: str, changed: list[str]) -> int:
-        return indexer.index_branch(self.store, root, project, self._overlay(project, branch), changed, self.provider)
+        return indexer.index_branch(self.store, root, project, self._overlay(project, branch), changed, self.provider, self.caps)
 
     def _overlay(self, project: str, branch: str) -> str:
         return self.spark.range(1).select(X.overlay_collection(F.lit(project), F.lit(branch))).first()[0]
 
     def index_files(self, root: str, project: str, paths: list[str]) -> DataFrame:
-        return indexer.index_files(self.store, root, project, paths, self.provider)
+        return indexer.index_files(self.store, root, project, paths, self.provider, self.caps)
 
     def index_status(self, project: str) -> dict:
         return indexer.index_status(self.store, project)
@@ -103,11 +107,31 @@ class Workspace:
         rows = self._chunks(f"code_{project}__")
         return self._frame("branch string, chunk_count long") if rows is None else stats.branch_counts(rows, project)
 
-    def cleanup_branch(self, project: str, branch: str) -> dict:
+    def cleanup_branch(self, project: str, branch: str, reindex_base: bool = False, root: str | None = None) -> dict:
+        """Drops a branch's overlay; with ``reindex_base`` the base is indexed anew from ``root``."""
         name = self._overlay(project, branch)
         had = self.store.has(name)
         self.store.drop(name)
-        return {"project": project, "branch": branch, "dropped": had}
+        out = {"project": project, "branch": branch, "dropped": had}
+        if not reindex_base:
+            return out
+        if root is None:
+            raise ValueError("re-indexing the base needs its root")
+        return out | {"reindex_status": self.index_codebase(root, project, force=True)["status"]}
+
+    def sync_once(self, project: str, root: str) -> dict:
+        return indexer.sync_once(self.store, root, project, self.provider, self.caps)
+
+    def start_sync(self) -> None:
+        """Starts what keeps ``roots`` in sync, once; a round that fails is tried again with the next."""
+        for project, root in self.roots.items():
+            if project not in self.syncs:
+                self.syncs[project] = jobs.every(self.spark, lambda project=project, root=root: self.sync_once(project, root), f"{self.every} seconds")
+
+    def stop_sync(self) -> None:
+        for running in self.syncs.values():
+            running.stop()
+        self.syncs.clear()
 
     def reconcile(self, root: str, project: str) -> dict:
         return indexer.reconcile(self.store, root, project)
@@ -115,6 +139,7 @@ class Workspace:
     # -- code search
 
     def search_code(self, query: str, project: str | None = None, limit: int = 10, language: str | None = None, branch: str | None = None) -> DataFrame:
+        self.start_sync()
         where = None if language is None else F.col("language") == language
         rows = self._chunks() if project is None else self._chunks(f"code_{project}")
         if rows is None:
@@ -171,6 +196,19 @@ class Workspace:
         near = search.top_k(nodes, self._embed(query), limit, where).select("id", "score")
         return memory.hybrid_search(nodes.drop("embedding"), near, query, limit, node_type).orderBy(F.desc("score"), "id")
 
+    def memory_node(self, node_id: str) -> dict | None:
+        row = memory.node(self.nodes.state().drop("embedding", "seq", "deleted"), node_id).first()
+        return row.asDict() if row else None
+
+    def embed_missing(self) -> int:
+        """Gives live nodes without a vector theirs; how many."""
+        nodes = self.nodes.state()
+        found = memory.unembedded(nodes, nodes.filter(F.col("embedding").isNotNull()))
+        n = found.count()
+        if n:
+            self.nodes.append(embed(found.drop("embedding"), self.provider))
+        return n
+
     def memory_promote(self, now: dt.datetime, node_id: str, scope: str | None = None) -> dict:
         found = self.nodes.state().filter(F.col("id") == node_id)
         if not found.isEmpty():
@@ -193,11 +231,11 @@ class Workspace:
         return made
 
     def memory_notifications(self, now: dt.datetime, agent: str) -> list:
-        """An agent's unread notifications, newest first, which are read by this."""
+        """An agent's unread notifications, newest first, which are read by this: exactly those that are returned."""
         unread = coordination.unread(self.notices.state(), agent)
         found = unread.collect()
         if found:
-            self.notices.append(unread.withColumn("read_at", F.lit(now)))
+            self.notices.append(self.spark.createDataFrame(found, unread.schema).withColumn("read_at", F.lit(now)))
         return found
 
     # -- coordination
@@ -235,6 +273,18 @@ class Workspace:
         self.locks.append(self._frame("agent_id string, project string, lock_id string, file_patterns array<string>, branch string, acquired_at timestamp, expires_at timestamp", (agent, project, key, patterns, branch, now, now + dt.timedelta(minutes=ttl_minutes))))
         return {"status": "acquired", "lock_id": key}
 
+    def auto_coordinate(self, now: dt.datetime, agent: str, project: str, modified: list[str], branch: str = "main", ttl_minutes: int = 480) -> dict:
+        """Locks an agent's modified files that no other's lock names, and subscribes it to all; the same set again does nothing."""
+        if self._coordinated.get((agent, project)) == set(modified):
+            return {"status": "unchanged"}
+        paths = self._frame("path string", *[(p,) for p in modified])
+        others = self._patterns(now).filter((F.col("project") == project) & (F.col("agent_id") != agent))
+        free = sorted(r["path"] for r in coordination.lockable(paths, others).collect())
+        locked = self.lock_acquire(now, agent, project, free, branch, ttl_minutes)["status"] if free else "nothing to lock"
+        subscribed = len(self.memory_subscribe(now, agent, modified, project).collect()) if modified else 0
+        self._coordinated[agent, project] = set(modified)
+        return {"status": locked, "locked": free if locked == "acquired" else [], "subscribed": subscribed}
+
     def lock_release(self, agent: str, project: str) -> dict:
         mine = self.locks.state().filter((F.col("agent_id") == agent) & (F.col("project") == project))
         n = mine.count()
@@ -248,8 +298,10 @@ class Workspace:
             return held.orderBy(F.desc("acquired_at"), "agent_id")
         return held.filter(F.exists("file_patterns", lambda p: X.globs_overlap(p, F.lit(file_path)))).orderBy(F.desc("acquired_at"), "agent_id")
 
-    def heartbeat(self, now: dt.datetime, agent: str, ttl_minutes: int = 480) -> int:
-        """Extends all of an agent's locks and touches its session; the number of locks."""
+    def heartbeat(self, now: dt.datetime, agent: str, ttl_minutes: int = 480, project: str | None = None, modified: list[str] | None = None) -> int:
+        """Extends all of an agent's locks and touches its session; the number of locks. With ``modified``, coordinates those files too."""
+        if project is not None and modified is not None:
+            self.auto_coordinate(now, agent, project, modified, ttl_minutes=ttl_minutes)
         mine = self.locks.state().filter(F.col("agent_id") == agent)
         n = mine.count()
         if n:

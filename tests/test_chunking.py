@@ -68,8 +68,8 @@ def test_python_syntax():
     assert "Greeter" not in by_name and "short" not in by_name
     assert by_name["wrapped"].chunk_type == "definition" and by_name["wrapped"].content.startswith("@property")
     assert [c.chunk_type for c in chunks if not c.name] == ["module_header", "module_body"]
-    assert split_python("def (") == [] and split_python("") == []
-    assert [c.chunk_type for c in split_source("def (", "python")] == ["text"]
+    assert [c.content for c in split_python("def (")] == ["def ("] and split_python("") == []
+    assert [c.chunk_type for c in split_source("def (", "python")] == ["module_body"]
     assert [c.name for c in split_python("class A:\n    def b(self): pass\n")] == ["A"]
 
 
