@@ -28,6 +28,8 @@ CONTENT_SHARE = 0.5
 BINS, STEPS, RATE, DECAY = 8, 60, 0.15, 1e-3
 #: Content, boilerplate.
 STATES = 2
+#: Lines of a chain that are decoded step by step.
+BLOCK = 128
 
 
 def line_features(c: Counts) -> np.ndarray:
@@ -72,24 +74,47 @@ class Field:
         return out
 
     def viterbi(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The likeliest state of every line."""
-        scores = self.emissions(self.bins(x))
-        chains, back = Chains(lengths), np.zeros((len(x), STATES), np.int8)
-        for k, at in chains.steps():
-            if k == 0:
-                scores[at] += self.start
-                continue
-            through = scores[at - 1][:, :, None] + self.move
-            back[at] = through.argmax(1)
-            scores[at] += through.max(1)
-        states = np.zeros(len(x), np.int8)
-        ends = np.cumsum(lengths)[lengths > 0] - 1
-        states[ends] = scores[ends].argmax(1)
-        ended = np.zeros(len(x), bool)
-        ended[ends] = True
-        for k, at in chains.steps(reverse=True):
+        """The likeliest state of every line.
+
+        Chains are cut into blocks that are all decoded at once, for each state that may come before a block; then
+        the best way through each chain's blocks is found. So a text of very many lines takes few steps too.
+        """
+        scores, states = self.emissions(self.bins(x)), np.zeros(len(x), np.int8)
+        lengths = lengths[lengths > 0]
+        if not len(lengths):
+            return states
+        blocks = -(-lengths // BLOCK)
+        sizes = np.full(int(blocks.sum()), BLOCK)
+        sizes[np.cumsum(blocks) - 1] = lengths - (blocks - 1) * BLOCK
+        first = np.cumsum(sizes) - sizes
+        of_line = np.repeat(np.arange(len(sizes)), sizes)
+        begins = np.zeros(len(sizes), bool)
+        begins[np.cumsum(blocks) - blocks] = True
+        within, across = Chains(sizes), Chains(blocks)
+        # By line: the state before its block, its own state.
+        ahead, back = np.zeros((len(x), STATES, STATES)), np.zeros((len(x), STATES, STATES), np.int8)
+        ahead[first] = np.where(begins[:, None, None], self.start[None, None, :], self.move[None]) + scores[first][:, None, :]
+        for k, at in within.steps():
+            if k:
+                through = ahead[at - 1][:, :, :, None] + self.move
+                back[at] = through.argmax(2)
+                ahead[at] = through.max(2) + scores[at][:, None, :]
+        total = ahead[first + sizes - 1]
+        best, before = total[:, 0, :].copy(), np.zeros((len(sizes), STATES), np.int8)
+        for k, at in across.steps():
+            if k:
+                through = best[at - 1][:, :, None] + total[at]
+                before[at] = through.argmax(1)
+                best[at] = through.max(1)
+        exits, entries = best.argmax(1).astype(np.int8), np.zeros(len(sizes), np.int8)
+        for k, at in across.steps(reverse=True):
+            entries[at] = before[at, exits[at]]
+            if k:
+                exits[at - 1] = entries[at]
+        states[first + sizes - 1] = exits
+        for k, at in within.steps(reverse=True):
             if k:
-                states[at - 1] = back[at, states[at]]
+                states[at - 1] = back[at, entries[of_line[at]], states[at]]
         return states
 
     def expectations(self, scores: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:

@@ -47,6 +47,22 @@ def test_exact_rounds(spark, parts, fan_in, range_rows):
     assert sorted((r.keep_id, r.group_size) for r in found) == sorted((min(g), len(g)) for g in groups.values())
 
 
+def test_one_run_a_partition_and_sorted_merges(spark):
+    rng = random.Random(2)
+    digested = exact_dedup.digests(docs(spark, [(i, f"t{rng.randint(0, 500)}") for i in range(3000)]).repartition(4)).cache()
+    runs = digested.mapInArrow(exact_dedup.first_runs(1), exact_dedup.RUN_SCHEMA).collect()
+    parts = digested.rdd.getNumPartitions()
+    assert len(runs) == parts and len({r.run for r in runs}) == parts
+    found = []
+    for r in runs:
+        keys = [r["keys"][a : a + exact_dedup.KEY_BYTES] for a in range(0, len(r["keys"]), exact_dedup.KEY_BYTES)]
+        assert keys == sorted(set(keys))
+        found.append((np.frombuffer(bytes(r["keys"]), f"S{exact_dedup.KEY_BYTES}"), *[np.frombuffer(bytes(r[c]), np.int64) for c in ("ids", "uids", "counts")]))
+    keys, _, _, counts = exact_dedup.merged(found)
+    assert (keys[1:] > keys[:-1]).all() and counts.sum() == 3000
+    assert len(exact_dedup.merged([])[0]) == 0
+
+
 # -- components
 
 
@@ -142,6 +158,14 @@ def test_members_of_a_group_link_past_its_first(spark):
     assert got == brute_links(rows, 1, 90) and got[2][1] == 1
 
 
+def test_a_shingle_that_all_have_joins_nothing(spark):
+    """Form letters: very many share most shingles, yet none links, and few pairs are formed."""
+    body = [f"f{k}" for k in range(13)]
+    rows = [(i, " ".join([*body[: i % 13], f"u{i}", *body[i % 13 :]])) for i in range(4000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, rows), 4, 85).collect()}
+    assert brute_links(rows[:300], 4, 85) == {i: (11, i) for i in range(300)} and got == {i: (11, i) for i in range(4000)}
+
+
 def test_ngram_join_edges(spark):
     table = docs(spark, [(1, None), (2, ""), (3, "a b"), (4, "A B"), (5, "a b c"), (None, "a b"), (6, "z " * 60_000), (7, "same"), (7, "same")])
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id or -1) for r in ngram_join.ngram_join(table, 4, 85).collect())

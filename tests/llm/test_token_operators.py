@@ -92,7 +92,6 @@ def test_plan_fills_bins(counts):
 
 def check_packed(rows, texts, capacity=1024):
     library = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     by_doc, by_bin = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -123,7 +122,7 @@ def test_packing_over_a_table(spark):
 
 def test_packing_edges(spark):
     table = docs(spark, [(None, None), (1, ""), (2, "a " * 3000), (3, "<|endoftext|> x"), (4, " " * 5000)])
-    check_packed(packing.pack(table, path("byte_bpe_50k.json"), salts=2).collect(), {None: None, 1: "", 2: "a " * 3000, 3: "<|endoftext|> x", 4: " " * 5000})
+    check_packed(packing.pack(table, path("byte_bpe_50k.json"), salts=2, added=True).collect(), {None: None, 1: "", 2: "a " * 3000, 3: "<|endoftext|> x", 4: " " * 5000})
     assert packing.pack(docs(spark, [(5, "b"), (5, "b")]), path("byte_bpe_50k.json")).count() == 2
     assert packing.pack(table.limit(0), path("byte_bpe_50k.json")).count() == 0
     kept = packing.pieces(table, path("byte_bpe_50k.json"), keep_ids=True).filter("doc_id = 1").first()
@@ -237,3 +236,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in kept["substrings"].values())
     rows = corpus_pipeline.run(spark, sf).collect()
     check_packed(rows, {i: r.text for i, r in kept["substrings"].items()})
+
+
+def test_stages_take_columns_of_any_names(spark):
+    """Also of those that the operators use within, nulls and repeats included."""
+    names = ["one", "group", "n_words", "n_removed", "data", "kept", "row", "id", "of_id", "sha", "node", "component_id", "__id", "__of", "__sha", "__maybe", "__cell", "__bucket", "__bits", "a.b", "place", "n_chars"]
+    rows = [(i, f"{i % 4} " + " ".join(f"w{k}" for k in range(60)), *[None if i % 5 == 0 else f"{i}-{n}" for n in names]) for i in range(12)] + [(None, None, *names), (3, "", *names), (3, "", *names)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, table, "")
+        assert out.columns == table.columns, name
+        got = out.collect()
+        assert got, name
+        for r in got:
+            if r["doc_id"] is not None and r["doc_id"] != 3:
+                assert [r[n] for n in names[:-1]] == [None if r["doc_id"] % 5 == 0 else f"{r['doc_id']}-{n}" for n in names[:-1]], name
+    model = corpus_pipeline.quality_gam.train(table, spark.createDataFrame([], "doc_id long, quality int"))
+    assert corpus_pipeline.quality_gam.keep_good(table, model, 0.4).columns == table.columns
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    made = []
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: made[-1] if made else None, getConf=lambda: {}, setCheckpointDir=made.append)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(SimpleNamespace(sparkContext=context))
+    context.master = "local[4]"
+    assert common.shared_folder(SimpleNamespace(sparkContext=context)) == made[0]
