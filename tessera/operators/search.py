@@ -171,15 +171,17 @@ def dependents(spark: SparkSession, chunks: DataFrame, symbol: str, file_path: s
     neither returned nor followed. ``save`` materialises a level, so plans stay short.
     """
     known = chunks.filter(F.col("collection").startswith("code_"))
-    frontier, seen, levels = [symbol], None, []
+    frontier, searched, seen, levels = [symbol], {symbol}, None, []
     for level in range(1, clamp(depth, 1, 5) + 1):
         left = known if seen is None else known.join(seen, "id", "left_anti")
         hits = save(containing(left, "content", list(enumerate(frontier))).drop("found").dropDuplicates(["id"]))
         seen = hits.select("id") if seen is None else seen.union(hits.select("id"))
         shown = hits if file_path is None else hits.filter(~F.col("file_path").eqNullSafe(file_path))
         levels.append(shown.withColumn("depth", F.lit(level)))
-        # The next names; they are as many as there are symbols, and are looked for in blocks.
-        frontier = sorted(r[0] for r in shown.filter((F.col("name") != "") & (F.col("name") != symbol)).select("name").distinct().toLocalIterator())
+        # The next names; they are as many as there are symbols, and are looked for in blocks, each once: what holds one
+        # that was looked for before is among the chunks seen.
+        frontier = sorted({r[0] for r in shown.filter((F.col("name") != "") & F.col("name").isNotNull()).select("name").distinct().toLocalIterator()} - searched)
+        searched.update(frontier)
         if not frontier:
             break
     out = levels[0]

@@ -19,7 +19,7 @@ from .operators.matching import glob_join
 from .sources import indexer
 from .sources.embedding import Provider, embed
 from .sources.files import changed_files
-from .sources.store import Store
+from .sources.store import Store, remove
 from .streaming import jobs
 
 
@@ -51,6 +51,20 @@ class Log:
         ready.select(*[(F.col(n) if n in have else F.lit(None)).cast(kinds[n].dataType).alias(n) for n in names]).write.mode("append").parquet(self.path)
 
 
+    def compact(self) -> int:
+        """Writes the state as the log's only rows and deletes the files before it; how many these were.
+
+        Between the two, rows are there twice with the same number, which changes no state.
+        """
+        files = self.rows().inputFiles()
+        state = self.state()
+        if files:
+            state.write.mode("append").parquet(self.path)
+        for f in files:
+            remove(self.spark, f)
+        return len(files)
+
+
 class Workspace:
     """``roots`` (project: folder) are kept in sync from the first search on, every ``every`` seconds."""
 
@@ -340,6 +354,10 @@ class Workspace:
         chunks = self._frame("collection string") if rows is None else rows
         return stats.fleet_stats(chunks, self.nodes.state(), self.anchors.state(), self._held(now), self.subscriptions.state(), self.notices.state(), self.agents(now), self._frame("content_hash string") if cache is None else cache)
 
+    def compact(self) -> dict[str, int]:
+        """Compacts all logs, so that states needn't read their whole history."""
+        return {name: getattr(self, name).compact() for name in ("nodes", "anchors", "locks", "subscriptions", "notices", "sessions")}
+
     def conflicts(self, now: dt.datetime) -> DataFrame:
         return coordination.lock_conflicts(self._patterns(now))
 

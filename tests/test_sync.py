@@ -227,6 +227,18 @@ def test_notifications_are_read_exactly(spark, tmp_path):
     assert work.embed_missing() == 1 and work.nodes.state().first().embedding is not None
 
 
+def test_logs_are_compacted(spark, tmp_path):
+    work = Workspace(spark, str(tmp_path / "w"), embedding.HashProvider())
+    for minutes in range(3):
+        work.lock_acquire(T0 + dt.timedelta(minutes=minutes), "a", "p", [f"f{minutes}.py"])
+    work.lock_acquire(T0, "b", "p", ["z.py"])
+    work.lock_release("b", "p")
+    before = work.locks.state().collect()
+    assert work.compact()["locks"] >= 5 and work.locks.state().collect() == before and work.locks.rows().count() == 1
+    assert work.lock_acquire(T0, "c", "p", ["f2.py"])["status"] == "conflict" and work.lock_acquire(T0, "b", "p", ["z.py"])["status"] == "acquired"
+    assert work.compact()["sessions"] == 0
+
+
 def test_provider_asks_for_its_dimension(monkeypatch):
     import asyncio
 
