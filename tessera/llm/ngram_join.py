@@ -144,6 +144,15 @@ def sets_of(rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return checkpointed(likely.join(wanted, "node", "left_semi").mapInArrow(run, "node long, shingles binary"))
 
 
+def counts_alone(batches, size: int):
+    for batch in batches:
+        done = 0
+        for texts in batches_of(binaries(batch.column("text"))):
+            found = [len(s) for s in Sets(texts, size).sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(found, pa.int64())], ["doc_id", "n_shingles"])
+            done += len(texts)
+
+
 def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -157,8 +166,9 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     rows = docs.select(own_id.alias("doc_id"), text.alias("text"))
     volume = total_bytes(docs, "text")
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-volume // GROUP_BYTES)))).cast("int")
-    described = checkpointed(describe(rows.select(group.alias("group"), "doc_id", "text"), size, percent, Sketch.of(CELLS * volume, 1, STEPS)))
-    linkable = "n > 0 and doc_id is not null"
+    named = rows.filter("doc_id is not null and text is not null").select(group.alias("group"), "doc_id", "text")
+    described = checkpointed(describe(named, size, percent, Sketch.of(CELLS * volume, 1, STEPS)))
+    linkable = "n > 0"
     same = described.filter(linkable).groupBy("n", "high", "low")
     nodes = checkpointed(same.agg(F.min("doc_id").alias("node"), F.min("prefix").alias("prefix"), F.min_by(F.arrays_zip("tokens", "places"), "doc_id").alias("head")))
     # Nodes of one size and prefix are a group, named by its least node.
@@ -198,4 +208,7 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     ids = nodes.join(linked, "node", "left").select("n", "high", "low", F.coalesce("component", "node").alias("component"))
     joined = described.filter(linkable).select("doc_id", "n", "high", "low").join(ids.hint("merge"), ["n", "high", "low"], "left")
     alone = described.filter(f"not ({linkable})").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # Rows without id or text may be very many alike, and meet nowhere.
+    unnamed = rows.filter("doc_id is null or text is null").mapInArrow(lambda batches: counts_alone(batches, size), "doc_id long, n_shingles long")
+    alone = alone.union(unnamed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(alone)

@@ -180,13 +180,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more; a map without any shuffle."""
 
+    at = [c.lower() for c in docs.columns].index("text")
+    # By place, so that columns may have any names.
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
     def run(batches):
         for batch in batches:
-            scores = [model.score(features(texts)) for texts in batches_of(binaries(batch.column("text")))]
+            scores = [model.score(features(texts)) for texts in batches_of(binaries(batch.column(at)))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     sketch = Sketch.of(CELLS * size, ROWS, 1)
     spans, per_level = power_of_two(size / RANGE_BYTES, 1, 1 << 30), FAN_IN
     rows, groups = grouped_rows(docs, size, keep)
-    by_group = rows.groupBy("group")
+    by_group = rows.filter("doc_id is not null and text is not null").groupBy("group")
 
     def counted(table: pa.Table) -> pa.Table:
         texts = pieces([t for _, t in distinct_texts(table)[0]], window)[0]
@@ -310,14 +310,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False,
             heads, begin = np.unique(at[order], return_index=True)
             both = np.stack([start, many], axis=1)[order]
             removed = dict(zip(heads.tolist(), np.split(both, begin[1:]), strict=True))
+        return written(owned, [removed.get(p) for p in place.tolist()])
+
+    def written(owned, removed: list[np.ndarray | None]) -> pa.Table:
         given = owned.column("text").cast(pa.binary()).to_pylist()
-        results = [kept_words(t or b"", removed.get(p) if p >= 0 else None, window, joined) for t, p in zip(given, place.tolist(), strict=True)]
+        results = [kept_words(t or b"", r, window, joined) for t, r in zip(given, removed, strict=True)]
         texts = pa.array([None if t is None and not joined else r[0] for t, r in zip(given, results, strict=True)], pa.binary()).cast(pa.string())
         counts = [pa.array([r[k] for r in results], pa.int64()) for k in (1, 2)]
         out = pa.Table.from_arrays([owned.column("doc_id"), owned.column("kept"), texts, *counts], ["doc_id", "kept", "text", "n_words", "n_removed"])
         release()
         return out
 
+    def untouched(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                yield from written(part, [None] * part.num_rows).to_batches()
+
     def level(last: bool):
         return lambda table: resolve(table, window, per_level, last)
 
@@ -330,5 +339,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False,
     removed = windows.filter("span < 0").select((-1 - F.col("span")).alias("group"), "data")
     schema = StructType([rows.schema["doc_id"], rows.schema["kept"], rows.schema["text"], StructField("n_words", LongType()), StructField("n_removed", LongType())])
     result = by_group.cogroup(removed.groupBy("group")).applyInArrow(cut, schema)
+    # Rows that take no part may be very many alike, and meet nowhere.
+    alone = rows.filter("doc_id is null or text is null").select("doc_id", "kept", "text")
+    result = result.union(alone.mapInArrow(untouched, schema))
     counts = [c for c in ("n_words", "n_removed") if c not in {k.lower() for k in keep}]
     return result.select("doc_id", *[F.col("kept").getField(k).alias(k) for k in keep], "text", *counts)
