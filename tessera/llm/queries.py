@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, line_crf, ngram_join, packing, quality_gam, sharding, substring_dedup, suffix_dedup
+from . import bpe, chat, exact_dedup, html, line_crf, ngram_join, packing, quality_gam, sharding, substring_dedup, suffix_dedup, whitening
 from .common import small_batches, table
 
 
@@ -118,6 +118,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("left", 256).alias("kept_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def _with_small_batches(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +132,7 @@ def _with_small_batches(query):
 
 
 def queries() -> dict:
-    return {f.__name__: _with_small_batches(f) for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding, op12_suffix_dedup)}
+    return {f.__name__: _with_small_batches(f) for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding, op12_suffix_dedup, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
