@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, line_crf, ngram_join, packing, quality_gam, sharding, substring_dedup, suffix_dedup, whitening
+from . import bpe, chat, exact_dedup, hard_negatives, html, line_crf, ngram_join, packing, quality_gam, sharding, substring_dedup, suffix_dedup, whitening
 from .common import small_batches, table
 
 
@@ -113,6 +113,23 @@ SELECT doc_id, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 4, '0') AS
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % hard_negatives.EVERY == 0, relabel=moved)
+
+
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda c: floor(256 * c)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+a AS (SELECT DISTINCT * FROM v WHERE vec_id % {hard_negatives.EVERY} = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS alike, v.vec_id AS id, CAST(list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.POSITIVES}),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND {hard_negatives.LEAST} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.MOST} * positive_score)
+SELECT * FROM n WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("left", 256).alias("kept_sha256"))
@@ -132,8 +149,8 @@ def _with_small_batches(query):
 
 
 def queries() -> dict:
-    return {f.__name__: _with_small_batches(f) for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding, op12_suffix_dedup, op13_whitening)}
+    return {f.__name__: _with_small_batches(f) for f in (op1_html_density, op2_chat_rotation, op3_substring_dedup, op4_quality_gam, op5_ngram_join, op6_exact_dedup, op7_line_crf, op8_best_fit_packing, op9_byte_bpe, op10_sharding, op11_hard_negatives, op12_suffix_dedup, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_rotation": op2_sql(), "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql()}
+    return {"op2_chat_rotation": op2_sql(), "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql(), "op11_hard_negatives": OP11_SQL}
