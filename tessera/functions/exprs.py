@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +76,20 @@ def has_phrase(indexed: Column, query: str) -> Column:
     return (F.size(words) > 0) & F.contains(indexed, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
 
 
+@functools.cache
+def _marked_letters() -> tuple[str, str]:
+    """Letters that are another with combining marks, up to the Latin and Greek extensions, and those others."""
+    letters = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in letters if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def without_marks(text: Column) -> Column:
+    """Letters with diacritics as the plain letters, combining marks left out."""
+    marked, plain = _marked_letters()
+    return F.translate(F.regexp_replace(text, r"[\u0300-\u036F]", ""), marked, plain)
+
+
 def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
