@@ -464,4 +464,4 @@ def session_status_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda e: jobs.session_changes(active(e))).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-from . import indexed, lifecycle  # noqa: E402, F401  register their queries
+from . import indexed, lifecycle, streams  # noqa: E402, F401  register their queries

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import postings, search
+from ..operators.matching import glob_join
 from .catalog import SYMBOL, TERMS, _save, query
 from .views import view, with_views
 
@@ -78,3 +79,19 @@ def dependents_index(spark, sf_dir):
     index = postings.GramIndex.build(chunks.select("id", "content"), at)
     refs = spark.read.parquet(postings.references(index, chunks, at))
     return postings.dependents(refs, index, chunks, SYMBOL, None, 5, _save)
+
+
+_ENDS = """g AS (SELECT DISTINCT concat('*', right(file_path, 5)) AS pattern FROM v_chunks WHERE name = 'The'
+  UNION SELECT DISTINCT concat('*/f', substr(file_path, length(file_path) - 3, 1), '*.', language) FROM v_chunks WHERE name = 'The'
+  UNION SELECT unnest(['*.fr', '*/f1?.*', '*[0-4].en', '?rc/*', '*src3*', 's*9.de', '*?', '*zz*', '[s]rc/*7.e[mn]']))"""
+
+
+@query(with_views("v_chunks") + f", {_ENDS}\nSELECT id, pattern FROM v_chunks JOIN g ON file_path GLOB pattern")
+def glob_anywhere(spark, sf_dir):
+    """Paths against patterns that begin with a wildcard: by their ends or by what they hold."""
+    rows = view(spark, sf_dir, "v_chunks").select("id", "file_path", "language", "name")
+    own = rows.filter("name = 'The'")
+    fixed = ["*.fr", "*/f1?.*", "*[0-4].en", "?rc/*", "*src3*", "s*9.de", "*?", "*zz*", "[s]rc/*7.e[mn]"]
+    made = F.concat(F.lit("*/f"), F.substring("file_path", F.length("file_path") - 3, F.lit(1)), F.lit("*."), F.col("language"))
+    patterns = own.select(F.concat(F.lit("*"), F.right("file_path", F.lit(5))).alias("pattern")).union(own.select(made)).union(spark.createDataFrame([(p,) for p in fixed], "pattern string"))
+    return glob_join(rows.select("id", "file_path"), patterns.distinct(), "file_path", "pattern").select("id", "pattern")
