@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 PART_TURNS = 64
-#: Turns of one part that are rendered as one row.
-MAX_ROWS = 4096
+#: Turns of one part that are rendered as one row at most, and bytes of texts but for the last.
+MAX_ROWS, MAX_BYTES = 4096, 64 << 20
 #: Characters of a text that ranges of a crowded part are cut by; a sample of such keys reaches the driver.
 KEY_CHARS = 1000
 #: Roles that speak from outside: rendered under their own role for all, never the assistant.
@@ -37,26 +37,28 @@ def _segment(turn: Column, speaker: Column, narrators: tuple[str, ...]) -> Colum
     return F.struct(F.concat(head, body).alias("text"), learnt.alias("learnt"), F.length(head).cast("long").alias("head"), F.length(F.concat(head, body)).cast("long").alias("size"))
 
 
-def _divided(turns: DataFrame, max_rows: int) -> DataFrame:
-    """``turns`` with ``sub``: in each (conv_id, part), every ``max_rows`` rows in order of turn, role and text.
+def _divided(turns: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """``turns`` with ``sub``: each (conv_id, part) in pieces of ``max_bytes``, in order of turn, role and text, where a turn counts as 1 / max_rows of that at least.
 
-    Rows of crowded parts are cut into ranges of that order and ranked within a range, after the counts of the
+    Rows of crowded parts are cut into ranges of that order and summed within a range, after the sums of the
     ranges before it; so no part meets in a single task, and subs don't depend on where ranges were cut.
     """
-    crowded = checkpointed(turns.groupBy("conv_id", "part").count().filter(F.col("count") > max_rows).select(F.col("conv_id").alias("c"), F.col("part").alias("p")))
+    weighed = turns.withColumn("weight", F.greatest(F.octet_length("text").cast("long"), F.lit(-(-max_bytes // max_rows))))
+    crowded = checkpointed(weighed.groupBy("conv_id", "part").agg(F.sum("weight").alias("all")).filter(F.col("all") > max_bytes).select(F.col("conv_id").alias("c"), F.col("part").alias("p")))
     if crowded.isEmpty():
         return turns.withColumn("sub", F.lit(0))
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
-    ranged = turns.join(crowded, same, "left_semi").repartitionByRange("conv_id", "part", "turn", "role", F.substring("text", 1, KEY_CHARS))
+    ranged = weighed.join(crowded, same, "left_semi").repartitionByRange("conv_id", "part", "turn", "role", F.substring("text", 1, KEY_CHARS))
     ranged = checkpointed(ranged.withColumn("range", F.spark_partition_id()))
+    ahead = Window.partitionBy("conv_id", "part", "range").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("conv_id", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("conv_id", "part", "range").count().select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    ranked = ranged.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "part", "range").orderBy("turn", "role", "text")) - 1)
-    ranked = ranked.join(counts, same & (F.col("range") == F.col("r"))).withColumn("sub", F.floor((F.col("before") + F.col("n")) / max_rows).cast("int"))
-    return turns.join(crowded, same, "left_anti").withColumn("sub", F.lit(0)).unionByName(ranked.select(*turns.columns, "sub"))
+    sums = ranged.groupBy("conv_id", "part", "range").agg(F.sum("weight").alias("all")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("range").alias("r"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
+    placed = ranged.withColumn("n", F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
+    placed = placed.join(sums, same & (F.col("range") == F.col("r"))).withColumn("sub", F.floor((F.col("before") + F.col("n")) / max_bytes).cast("int"))
+    return turns.join(crowded, same, "left_anti").withColumn("sub", F.lit(0)).unionByName(placed.select(*turns.columns, "sub"))
 
 
-def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_turns: int = PART_TURNS, max_rows: int = MAX_ROWS) -> DataFrame:
+def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS, part_turns: int = PART_TURNS, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per (conv_id, speaker, part, sub): n_turns, text, mask_starts, mask_ends.
 
     A whole dialogue of a speaker is its rows' texts end to end in order of (part, sub). In texts and role names
@@ -71,7 +73,7 @@ def rotate(conversations: DataFrame, narrators: tuple[str, ...] = NARRATORS, par
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long"))
     speakers = turns.filter(~F.col("role").isin(*narrators)).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    turns = _divided(turns, max_rows)
+    turns = _divided(turns, max_rows, max_bytes)
     parts = turns.groupBy("conv_id", "part", "sub").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     seen = seen.withColumn("seg", F.transform("turns", lambda t: _segment(t, F.col("speaker"), narrators)))

@@ -25,6 +25,8 @@ RANGE_ROWS = 500_000
 #: Rows of a partition that one run takes.
 RUN_ROWS = 2_000_000
 KEY_BYTES = 48
+#: Copies from which a text's key is a hot one, unless that made more hot keys than HOT_KEYS, which are broadcast.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
 NO_ID = np.iinfo(np.int64).max
 RUN_SCHEMA = "span int, run int, keys binary, ids binary, uids binary, counts binary"
 
@@ -148,7 +150,7 @@ def survivors(digested: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE
     return runs.groupBy("span").applyInArrow(last, "key binary, keep_id long, keep_uid long, group_size long")
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal normalised texts the one with the smallest doc_id stays; of rows that repeat that doc_id
@@ -157,8 +159,13 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """
     digested = checkpointed(digests(docs))
     found = survivors(digested, fan_in).withColumn("keep_id", F.nullif("keep_id", F.lit(int(NO_ID))))
-    # The digests' side may have a hot key; the survivors' side has one row a key, so a skewed partition can be split.
-    joined = digested.join(found.hint("merge"), "key")
+    found = checkpointed(found)
+    # Keys of very many copies meet their rows without a shuffle: there are at most HOT_KEYS, as each has that share of all rows.
+    total = found.agg(F.sum("group_size")).first()[0] or 0
+    hot = found.filter(F.col("group_size") >= max(hot_rows, -(-total // HOT_KEYS)))
+    crowded = digested.join(F.broadcast(hot), "key")
+    rest = digested.join(F.broadcast(hot.select("key")), "key", "left_anti").join(found.hint("merge"), "key")
+    joined = crowded.unionByName(rest)
     sha = F.lower(F.hex(F.substring("key", 1, 32)))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), sha.alias("text_sha256"))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 from itertools import accumulate
 
@@ -55,6 +56,8 @@ NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navbar navigation breadcrumb breadcrumbs pagination sidebar sidenav footer"
     " masthead comment comments commentlist comment-list comments-area disqus disqus_thread respond cookie cookies cookie-banner cookie-notice consent gdpr newsletter".split()
 )
+#: Names of what holds a whole page; other names beside them tell its state, as in "page sidebar".
+PAGE_NAMES = frozenset({"page", "site", "layout"})
 #: Whole names that hint at it: such an element stays only within the main content, and only as dense as the body path is at least.
 HINTS = frozenset(
     "banner notice alert popup modal overlay menu pager widget widgets promo promotion share sharing social related recommended recommendations subscribe subscription signup login replies".split()
@@ -66,18 +69,26 @@ HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 class Tree:
     """Nodes in page order: node i's subtree is i to last[i]. ``pieces`` has texts, and None at block edges."""
 
-    def __init__(self, html: str, by_class: bool = True):
-        self.by_class = by_class
+    def __init__(self, html: str):
         self.tag, self.parent, self.noise, self.main, self.hint = ["html"], [-1], [False], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
-        self._read(html)
+        named = self._read(html)
         n = len(self.tag)
         self.last = list(range(n))
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             self.last[p] = max(self.last[p], self.last[i])
+        # An element that holds the page's heading or its main element is no noise, whatever its names say.
+        heads = [i for i in range(n) if not self.noise[i] and self.tag[i] in ("h1", "main")]
+        for i in range(1, n):
+            if i in named:
+                k = bisect_right(heads, i)
+                self.noise[i] |= k == len(heads) or heads[k] > self.last[i]
+            self.noise[i] |= self.noise[self.parent[i]]
 
-    def _read(self, html: str) -> None:
+    def _read(self, html: str) -> set[int]:
+        """Reads a page; the elements that only their names mark as noise."""
+        named: set[int] = set()
         tag, pieces = self.tag, self.pieces
         # Open elements from the root, and the depths at which each name is open, so nothing is searched for.
         stack, names, depths = [0], ["html"], {"html": [0]}
@@ -120,7 +131,9 @@ class Tree:
                 pieces.append((stack[-1], " "))
             above = stack[-1]
             i = len(tag)
-            noise, main, hint = self._kind(name, m["attrs"] or m["odd"] or "", any(depths.get(x) for x in CONTENT_TAGS))
+            noise, main, hint, by_name = self._kind(name, m["attrs"] or m["odd"] or "", any(depths.get(x) for x in CONTENT_TAGS))
+            if by_name:
+                named.add(i)
             tag.append(name)
             self.parent.append(above)
             self.noise.append(noise or self.noise[above])
@@ -135,31 +148,30 @@ class Tree:
                 depths.setdefault(name, []).append(len(names))
                 stack.append(i)
                 names.append(name)
+        return named
 
-    def _kind(self, name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
-        """Whether an element is noise; whether it marks the article; whether its names hint at noise."""
+    def _kind(self, name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+        """Whether an element is noise; whether it marks the article; whether its names hint at noise, or say so."""
         main = name in CONTENT_TAGS
         inside = inside or main
         if name in NOISE_TAGS or name == "header" and not inside:
-            return True, False, False
+            return True, False, False, False
         if not attrs.strip(" /"):
-            return False, main, False
+            return False, main, False, False
         found: dict[str, str] = {}
         for k, v in ATTRIBUTE.findall(attrs):
             found.setdefault(k.lower(), (v[1:-1] if v[:1] in ("'", '"') else v).lower())
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-            return True, False, False
+            return True, False, False, False
         role = found.get("role", "")
         main = main or role in ("main", "article") or found.get("itemprop") == "articlebody"
-        if not self.by_class:
-            return role in NOISE_ROLES, main, False
         own = {*found.get("class", "").split(), *found.get("id", "").split()}
         if name == "article" and own & {"comment", "reply", "teaser", "related", "ad", "advert"}:
-            return True, False, False
+            return True, False, False, False
         if main or name in ("html", "body"):
-            return False, main, False
+            return False, main, False, False
         header = not inside and bool(own & {"header", "site-header", "page-header", "global-header", "top-header"})
-        return role in NOISE_ROLES or header or bool(own & NOISE_NAMES), False, bool(own & HINTS)
+        return role in NOISE_ROLES or header, False, bool(own & HINTS), bool(own & NOISE_NAMES) and not own & PAGE_NAMES
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
@@ -171,13 +183,8 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float
 
 
 def extract(html: str | None) -> str:
-    """The article's text: white space within a block as one space, blocks joined by one space.
-
-    Where class names leave nothing, as when one of them stands on the whole page, they are not heeded.
-    """
-    if not html:
-        return ""
-    return main_text(Tree(html)) or main_text(Tree(html, by_class=False))
+    """The article's text: white space within a block as one space, blocks joined by one space; empty where there is none."""
+    return main_text(Tree(html)) if html else ""
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float], int, list[tuple[int, str | None]]]:

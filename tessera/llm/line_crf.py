@@ -15,17 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .lines import LINE_COUNTS, Counts
 from .quality_gam import labelled
 from .words import batches_of, binaries
 
-#: Labelled documents that the field is trained on at most, those of least hash, and lines of each, the first.
-SAMPLE_ROWS, SAMPLE_LINES = 2_000, 400
+#: Labelled documents that the field is trained on at most, those of least hash: whole ones, until they have so many lines.
+SAMPLE_ROWS, SAMPLE_LINES = 2_000, 100_000
+#: Lines of a document that are trained on as one chain; longer documents are several, of which every line counts.
+CHAIN = 512
 LEAST_WORDS = 50
 #: Percent of words in repeated 3-word windows beyond which a text fails.
 MOST_REPEATED = 50
 CONTENT_SHARE = 0.5
 BINS, STEPS, RATE, DECAY = 8, 60, 0.15, 1e-3
+LINE_BYTES = 8 * 12
 #: Content, boilerplate.
 STATES = 2
 #: Lines of a chain that are decoded step by step.
@@ -178,8 +182,11 @@ def fit(x: np.ndarray, lengths: np.ndarray, good: np.ndarray) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """The field, fitted on the driver to a bounded sample of labelled documents, whose lines executors describe."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES) -> Field:
+    """The field, fitted on the driver to a bounded sample of labelled documents, whose lines executors describe.
+
+    Documents are taken whole, in order of hash, as long as those before have fewer than ``sample_lines`` lines.
+    """
 
     def run(batches):
         for batch in batches:
@@ -187,14 +194,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             for texts in batches_of(binaries(batch.column("text"))):
                 c = Counts(texts)
                 rows, part = line_features(c), batch.slice(done, len(texts))
-                lines = [rows[a : min(b, a + SAMPLE_LINES)].astype("<f8").tobytes() for a, b in zip(c.first, c.first[1:], strict=False)]
+                lines = [rows[a:b].astype("<f8").tobytes() for a, b in zip(c.first, c.first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(lines, pa.binary())], ["doc_id", "label", "lines"])
                 done += len(texts)
 
     found = labelled(docs, labels, "quality", sample_rows).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label double, lines binary")
-    rows = found.groupBy("doc_id").agg(F.min(F.struct("lines", "label")).alias("r")).orderBy("doc_id").select("r.*").collect()
+    once = checkpointed(found.groupBy("doc_id").agg(F.min(F.struct("lines", "label")).alias("r")).select("doc_id", "r.*", F.xxhash64("doc_id").alias("h")))
+    # At most sample_rows sizes, and of the documents' lines about sample_lines.
+    sizes = once.orderBy("h", "doc_id").select("doc_id", (F.length("lines") / LINE_BYTES).cast("long").alias("n")).collect()
+    before = np.cumsum([0, *(r["n"] for r in sizes)])
+    chosen = [r["doc_id"] for r, n in zip(sizes, before, strict=False) if n < sample_lines]
+    rows = once.filter(F.col("doc_id").isin(chosen)).orderBy("doc_id").select("lines", "label").collect() if chosen else []
     parts = [np.frombuffer(r["lines"], "<f8").reshape(-1, 12) for r in rows]
-    return fit(np.concatenate([np.zeros((0, 12)), *parts]), np.array([len(p) for p in parts], int), np.array([r["label"] >= 0.5 for r in rows], bool))
+    lengths = [min(CHAIN, len(p) - a) for p in parts for a in range(0, len(p), CHAIN)]
+    good = [r["label"] >= 0.5 for r, p in zip(rows, parts, strict=True) for _ in range(0, len(p), CHAIN)]
+    return fit(np.concatenate([np.zeros((0, 12)), *parts]), np.array(lengths, int), np.array(good, bool))
 
 
 def judge(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFrame:

@@ -3,7 +3,8 @@
 The plan needs counts, not documents: with at most ``capacity`` lengths, best-fit decreasing places all pieces
 of one length at once into the open bins of the least room that takes them. A piece then takes its planned slot
 by its rank within its length. The plan grows with the capacity alone and is broadcast; ranks come in two
-steps, by length and salt, so that one frequent length never meets in a single task.
+steps, by length and salt, so that one frequent length never meets in a single task. Full pieces, which most of
+a corpus of long texts are, need no rank: each is a sequence of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from .common import checkpointed
 
 CAPACITY = 1024
 END = 2
-SALTS = 64
+#: Pieces of one length that one task ranks on average; more, where there would be over MOST_SALTS such lots.
+SALT_ROWS, MOST_SALTS = 1_000_000, 1 << 16
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -125,20 +127,32 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def salts_of(totals: dict[int, int], salt_rows: int = SALT_ROWS) -> dict[int, int]:
+    """Into how many lots the pieces of each length are dealt: as many as they need, and over all lengths at most MOST_SALTS and one each."""
+    each = max(salt_rows, -(-sum(totals.values()) // MOST_SALTS))
+    return {length: -(-n // each) for length, n in totals.items() if n}
+
+
+def place(items: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``items``, materialised rows with ``length`` from 1 to ``capacity``, and their sequence_id and offset.
 
-    Two small frames reach the driver: counts by length and salt, capacity x salts rows at most, and from them
-    the plan. Ranks follow (uid) within length and salt, where uid is any column that tells rows apart.
+    A full piece is a sequence by itself, numbered below zero by its uid, any column of longs from 0 on that tells
+    rows apart. Of the others, small frames reach the driver: counts by length, at most ``capacity``, and by length
+    and salt, at most MOST_SALTS more, and from them the plan. Ranks follow (uid) within length and salt.
     """
     spark = items.sparkSession
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
+    full = items.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
+    rest = items.filter(F.col("length") != capacity)
+    totals = {length: n for length, n in rest.groupBy("length").count().collect()}
+    lots = salts_of(totals, salt_rows)
+    number = F.get(F.array(*[F.lit(lots.get(length, 1)) for length in range(capacity)]), F.col("length").cast("int"))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("uid"), number).cast("int"))
     counted = sorted(tuple(r) for r in salted.groupBy("length", "salt").count().collect())
-    totals: dict[int, int] = defaultdict(int)
+    done: dict[int, int] = defaultdict(int)
     before = []
     for length, salt, n in counted:
-        before.append((length, salt, totals[length]))
-        totals[length] += n
+        before.append((length, salt, done[length]))
+        done[length] += n
     slots = spark.createDataFrame(plan(totals, capacity), "length long, lo long, hi long, bin long, at long, each long")
     starts = spark.createDataFrame(before, "length long, salt int, before long")
     ranked = salted.withColumn("n", F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid")) - 1)
@@ -149,14 +163,14 @@ def place(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     placed = ranked.join(by_length, "length").withColumn("slot", slot)
     nth = F.col("rank") - F.col("slot.lo")
     placed = placed.withColumn("sequence_id", F.col("slot.bin") + F.floor(nth / F.col("slot.each"))).withColumn("offset", F.col("slot.at") + nth % F.col("slot.each") * F.col("length"))
-    return placed.select(*items.columns, "sequence_id", "offset")
+    return placed.select(*items.columns, "sequence_id", "offset").union(full)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, salts: int = SALTS, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, salt_rows: int = SALT_ROWS, added: bool = False) -> DataFrame:
     """One row per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and repeated rows are packed each; a null doc_id stays null; an empty table gives no
     rows; columns other than doc_id and text are not read. ``added`` is as in pieces().
     """
     cut = checkpointed(pieces(docs, vocabulary, capacity, end, added=added).withColumn("uid", F.monotonically_increasing_id()))
-    return place(cut, capacity, salts).drop("uid")
+    return place(cut, capacity, salt_rows).drop("uid")

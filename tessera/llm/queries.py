@@ -25,11 +25,11 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-def op2_sql(max_rows: int = chat.MAX_ROWS) -> str:
+def op2_sql(max_rows: int = chat.MAX_ROWS, max_bytes: int = chat.MAX_BYTES) -> str:
     return f"""
 WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT *, coalesce(CAST(floor(turn / {chat.PART_TURNS}) AS BIGINT), -1) AS part FROM t),
-q AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // {max_rows} AS INTEGER) AS sub,
+q AS (SELECT *, CAST(coalesce(sum(greatest(strlen(text), {-(-max_bytes // max_rows)})) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {max_bytes} AS INTEGER) AS sub,
         replace(text, '<|', '< |') AS plain, translate(replace(role, '<|', '< |'), chr(10) || chr(13), '  ') AS name FROM p),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 r AS (SELECT q.*, speaker, role = speaker AS learnt,

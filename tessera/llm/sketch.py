@@ -3,7 +3,7 @@
 A group counts its hashes in cells; a block of cells meets in one task, which sums what all groups counted there and
 returns to each group the totals of just the cells that it sent. So neither the driver nor any task ever holds a
 whole sketch, nothing is broadcast, and the sketch grows with the data. Of several sketch rows the least total
-counts: never below a hash's true count.
+counts: never below a hash's true count, as far as totals are told apart; a group counts a hash 255 times at most.
 """
 
 from __future__ import annotations
@@ -70,9 +70,10 @@ class Sketch:
         """One block: totals over all groups; each group gets those of its cells, as powers of two (0: once)."""
         total = np.zeros(1 << self.block_bits, np.uint32)
         sent = [self._cells_of(x.as_py()) for x in table.column("data")]
-        for places, counts in sent:
-            total[places] += counts
         top = np.uint32(1 << self.steps)
+        for places, counts in sent:
+            # A group's places are distinct; a total stops at the largest that is told apart, so it never wraps.
+            total[places] = np.minimum(total[places] + counts, top)
         data = [np.log2(np.minimum(total[places], top)).astype(np.uint8).tobytes() for places, _ in sent]
         return pa.Table.from_arrays([table.column("group"), table.column("row"), table.column("block"), pa.array(data, pa.binary())], ["group", "row", "block", "data"])
 

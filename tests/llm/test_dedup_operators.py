@@ -34,6 +34,24 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_dedup(table.limit(0)).count() == 0 and exact_dedup.keep_one(table.limit(0)).count() == 0
 
 
+def test_exact_hot_texts(spark):
+    rows = [(i, "" if i % 3 == 0 else f"t{i % 50}") for i in range(600)]
+    plain = sorted(tuple(r) for r in exact_dedup.exact_dedup(docs(spark, rows)).collect())
+    hot = exact_dedup.exact_dedup(docs(spark, rows), hot_rows=100)
+    assert sorted(tuple(r) for r in hot.collect()) == plain
+    assert [r.group_size for r in hot.filter("doc_id = 3").collect()] == [200]
+
+
+def test_sketch_totals_stop_and_never_wrap():
+    sketch = Sketch(1 << 16, 1, 2)
+    hashes = np.repeat(np.arange(5, dtype=np.uint64), 200)
+    parts = [sketch.parts(hashes, g) for g in range(30)]
+    full = sketch.merge(pa.concat_tables(parts))
+    assert sketch.estimates(full.filter(pa.compute.equal(full["group"], 7)), np.arange(5, dtype=np.uint64)).tolist() == [2] * 5
+    total = np.full(3, np.uint32(4))
+    assert (np.minimum(total + np.array([255] * 3, np.uint8), np.uint32(4)) == 4).all()
+
+
 @pytest.mark.parametrize(("parts", "fan_in", "range_rows"), [(1, 2, 10), (13, 2, 7), (40, 8, 1000)])
 def test_exact_rounds(spark, parts, fan_in, range_rows):
     rng = random.Random(parts)

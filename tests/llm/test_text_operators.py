@@ -229,6 +229,16 @@ def test_rotation_divides_in_dialogue_order(spark, tmp_path):
     assert got == want and max(k[3] for k in got) > 5 and max(v[0] for v in got.values()) == 8
 
 
+def test_rotation_divides_by_bytes(spark):
+    """A part of many long texts is several rows, each of few texts; what is rendered is all there, in order."""
+    rows = [(1, i % 4, "ab"[i % 2], f"{i:03}" + "x" * 5000) for i in range(120)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.speaker: r.text for r in chat.rotate(table).collect()}
+    cut = sorted(chat.rotate(table, max_bytes=40_000).collect(), key=lambda r: (r.speaker, r.part, r["sub"]))
+    assert len(cut) > 24 and max(len(r.text) for r in cut) < 50_000
+    assert {s: "".join(r.text for r in cut if r.speaker == s) for s in "ab"} == whole
+
+
 # -- counts, scores and rules
 
 TEXTS = ["", " \n", "one", "a b  c\n\n a b  c\n a b  c", "é à é à é à", "# $ | <x>\nx\ny\nx", "w " * 300, "A!! B!!\n" * 40]
@@ -325,3 +335,47 @@ def test_line_rules_edges(spark):
     got = {r.doc_id: r for r in line_crf.line_rules(table, none).collect()}
     assert got[None].base_failed and got[1].n_words == 0 and got[2].base_failed and got[3].kept
     assert line_crf.line_rules(table.limit(0), none).count() == 0
+
+
+def test_pages_without_an_article_are_empty():
+    dense = " ".join(["Readers say a lot of things, and they say it at length."] * 20)
+    for name in ("comments", "sidebar", "ad"):
+        assert html.extract(f"<html><body><div class='{name}'><p>{dense}</p></div></body></html>") == ""
+    # A name on what holds the page's heading says nothing.
+    page = f"<body><div class='sidebar'><h1>Title</h1><p>{dense}</p><div class='comments'><p>Nice one indeed.</p></div></div></body>"
+    assert html.extract(page) == f"Title {dense}"
+
+
+def test_training_counts_every_line_of_a_long_document(spark, monkeypatch):
+    good, bad = "\n".join(["The quick brown fox jumps over the lazy dog and goes home."] * 1500), "\n".join(["BUY NOW!!! $$$ 50% ###"] * 2000)
+    table = docs(spark, [(1, good), (4, bad), (5, good[:300])])
+    labels = spark.createDataFrame([(1, 1), (4, 0), (5, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(line_crf, "fit", lambda x, lengths, good: seen.append((len(x), lengths.tolist(), good.tolist())))
+    line_crf.train(table, labels)
+    held = {r.doc_id for r in labels.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("h")).collect() if r.h}
+    sizes = {i: len(t.split("\n")) for i, t in ((1, good), (4, bad), (5, good[:300])) if i not in held}
+    assert seen[0][0] == sum(sizes.values()) and sum(seen[0][1]) == seen[0][0] and max(seen[0][1]) <= line_crf.CHAIN
+    line_crf.train(table, labels, sample_lines=1)
+    assert seen[1][0] in sizes.values()
+
+
+def test_training_sums_equal_brute_force():
+    """State probabilities and moves of short chains against the sum over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 1, 4])
+    scores, field = rng.normal(size=(8, 2)), line_crf.Field([], np.zeros((0, 8, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
+    probable, moves = field.expectations(scores, line_crf.Chains(lengths))
+    want, want_moves, base = np.zeros((8, 2)), np.zeros((2, 2)), 0
+    for n in lengths:
+        paths = list(itertools.product((0, 1), repeat=n))
+        weights = np.exp([field.start[p[0]] + sum(scores[base + k, s] for k, s in enumerate(p)) + sum(field.move[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+        for p, w in zip(paths, weights / weights.sum(), strict=True):
+            for k, s in enumerate(p):
+                want[base + k, s] += w
+            for a, b in itertools.pairwise(p):
+                want_moves[a, b] += w
+        base += n
+    assert np.allclose(probable, want) and np.allclose(moves, want_moves)

@@ -120,9 +120,24 @@ def test_packing_over_a_table(spark):
     assert len({r.sequence_id for r in rows}) <= 1.03 * sum(r.length for r in rows) / 1024 + 1
 
 
+def test_full_pieces_need_no_rank_and_lots_are_bounded(spark):
+    items = spark.range(4000).select(F.col("id").alias("uid"), F.when(F.col("id") % 4 > 0, 8).otherwise(3).cast("long").alias("length"))
+    placed = packing.place(items.checkpoint(), 8, salt_rows=100)
+    rows = placed.collect()
+    assert len(rows) == 4000 and len({r.sequence_id for r in rows if r.length == 8}) == 3000 and {r.offset for r in rows if r.length == 8} == {0}
+    by_bin = {}
+    for r in rows:
+        by_bin.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(by_bin) == 3500 and all(sorted(b) in ([(0, 8)], [(0, 3), (3, 3)]) for b in by_bin.values())
+    # No window holds full pieces, and a lot of others has no more than its rows on average.
+    assert packing.salts_of({3: 1000, 5: 10, 7: 0}, 100) == {3: 10, 5: 1}
+    huge = packing.salts_of({n: 10**9 for n in range(1, 1024)})
+    assert sum(huge.values()) <= packing.MOST_SALTS + 1023 and min(huge.values()) > 60
+
+
 def test_packing_edges(spark):
     table = docs(spark, [(None, None), (1, ""), (2, "a " * 3000), (3, "<|endoftext|> x"), (4, " " * 5000)])
-    check_packed(packing.pack(table, path("byte_bpe_50k.json"), salts=2, added=True).collect(), {None: None, 1: "", 2: "a " * 3000, 3: "<|endoftext|> x", 4: " " * 5000})
+    check_packed(packing.pack(table, path("byte_bpe_50k.json"), salt_rows=1, added=True).collect(), {None: None, 1: "", 2: "a " * 3000, 3: "<|endoftext|> x", 4: " " * 5000})
     assert packing.pack(docs(spark, [(5, "b"), (5, "b")]), path("byte_bpe_50k.json")).count() == 2
     assert packing.pack(table.limit(0), path("byte_bpe_50k.json")).count() == 0
     kept = packing.pieces(table, path("byte_bpe_50k.json"), keep_ids=True).filter("doc_id = 1").first()
