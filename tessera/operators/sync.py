@@ -15,6 +15,12 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status")).filter(F.col("status").isNotNull())
 
 
+def entry_digest(entries: DataFrame, digest=F.md5) -> DataFrame:
+    """(parent, hash) of folders from their entries (parent, name, kind, hash): files first, then folders, each by name."""
+    lines = F.struct(F.when(F.col("kind") == "f", 0).otherwise(1).alias("o"), "name", F.concat_ws(":", "kind", "name", "hash").alias("line"))
+    return entries.groupBy("parent").agg(digest(F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda e: e["line"]), "")).alias("hash"))
+
+
 def folder_hashes(files: DataFrame, depth: int, digest=F.md5) -> DataFrame:
     """(path, hash) of every folder, the root as "": a digest of its sorted entries, from the deepest level up.
 
@@ -26,8 +32,7 @@ def folder_hashes(files: DataFrame, depth: int, digest=F.md5) -> DataFrame:
     for level in range(depth + 1, 0, -1):
         here = entries.filter(F.col("level") == level)
         parent = F.when(F.lit(level == 1), F.lit("")).otherwise(F.substring_index("path", "/", level - 1))
-        lines = F.struct(F.when(F.col("kind") == "f", 0).otherwise(1).alias("o"), X.base_name(F.col("path")).alias("name"), F.concat_ws(":", "kind", X.base_name(F.col("path")), "hash").alias("line"))
-        made = here.groupBy(parent.alias("path")).agg(digest(F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda e: e["line"]), "")).alias("hash"))
+        made = entry_digest(here.select(parent.alias("parent"), X.base_name(F.col("path")).alias("name"), "kind", "hash"), digest).withColumnRenamed("parent", "path")
         out = made if out is None else out.unionByName(made)
         if level > 1:
             entries = entries.filter(F.col("level") < level).unionByName(made.select("path", F.lit("d").alias("kind"), "hash", F.lit(level - 1).alias("level")))

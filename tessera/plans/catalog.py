@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from ..functions import exprs as X
 from ..functions.hashing import chunk_id, xxh3_hex
 from ..operators import chunking, coordination, memory, search, stats, sync
 from ..operators.matching import glob_join
+from ..shared import checkpointed
 from ..sources import embedding, files
 from ..sources.store import last_wins
 from ..streaming import jobs
@@ -50,14 +49,7 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return list(row[0])
 
 
-def _save(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+_save = checkpointed
 
 
 # -- vectors

@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import postings, search
+from ..operators import postings, search, tree
 from ..operators.matching import glob_join
 from .catalog import SYMBOL, TERMS, _save, query
 from .views import view, with_views
@@ -95,3 +95,30 @@ def glob_anywhere(spark, sf_dir):
     made = F.concat(F.lit("*/f"), F.substring("file_path", F.length("file_path") - 3, F.lit(1)), F.lit("*."), F.col("language"))
     patterns = own.select(F.concat(F.lit("*"), F.right("file_path", F.lit(5))).alias("pattern")).union(own.select(made)).union(spark.createDataFrame([(p,) for p in fixed], "pattern string"))
     return glob_join(rows.select("id", "file_path"), patterns.distinct(), "file_path", "pattern").select("id", "pattern")
+
+
+_DIFFERENCE = """SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS status
+FROM v_tree_old o FULL JOIN v_tree_new n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash"""
+
+
+@query(with_views("v_tree_old", "v_tree_new") + "\n" + _DIFFERENCE)
+def tree_compare(spark, sf_dir):
+    """What differs between two snapshots, by descent through folders of other hashes."""
+    at = folder(spark)
+    old, new = (tree.Snapshot.write(view(spark, sf_dir, v), at) for v in ("v_tree_old", "v_tree_new"))
+    return tree.compare(old, new, _save)
+
+
+_LEVEL = "SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, md5(string_agg(concat('{kind}:', regexp_extract(path, '[^/]*$'), ':', hash), '' ORDER BY regexp_extract(path, '[^/]*$'))) AS hash FROM {source} GROUP BY 1"
+
+
+@query(with_views("v_tree_old", "v_tree_new") + ", a AS (" + _LEVEL.format(kind="f", source="v_tree_new") + "), b AS (" + _LEVEL.format(kind="d", source="a") + "), c AS (" + _LEVEL.format(kind="d", source="b") + """),
+r AS (SELECT '' AS path, md5(string_agg(concat('d:', path, ':', hash), '' ORDER BY path)) AS hash FROM c)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM r""")
+def tree_update(spark, sf_dir):
+    """All folders' hashes after the changed files' folders, up to the root, have been hashed again."""
+    old, new = view(spark, sf_dir, "v_tree_old"), view(spark, sf_dir, "v_tree_new")
+    snapshot = tree.Snapshot.write(old, folder(spark))
+    both = old.select("path", F.col("hash").alias("was")).join(new, "path", "full_outer")
+    tree.update(snapshot, both.filter(~F.col("was").eqNullSafe(F.col("hash"))).select("path", "hash"), save=_save)
+    return snapshot.folder_hashes()

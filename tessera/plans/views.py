@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SOURCES = {"v_chunks": "documents", "v_vec": "embeddings", "v_memory": "documents", "v_anchors": "documents", "v_files_old": "documents", "v_files_new": "documents", "v_files_now": "documents", "v_lock_log": "events", "v_subs": "customer", "v_notifs": "events", "v_front": "conversations", "v_watch": "events"}
+SOURCES = {"v_chunks": "documents", "v_vec": "embeddings", "v_memory": "documents", "v_anchors": "documents", "v_files_old": "documents", "v_files_new": "documents", "v_files_now": "documents", "v_lock_log": "events", "v_subs": "customer", "v_notifs": "events", "v_front": "conversations", "v_watch": "events", "v_tree_old": "documents", "v_tree_new": "documents"}
 
 _TEXT = {
     "v_chunks": """SELECT concat('c', CAST(doc_id AS {S})) AS id, CASE WHEN doc_id % 4 = 0 THEN 'code_proj__feat--x' ELSE 'code_proj' END AS collection,
@@ -24,6 +24,9 @@ _TEXT = {
     "v_notifs": """SELECT event_id AS id, concat('agent-', CAST(user_id AS {S})) AS subscriber_agent_id, ts AS created_at, CASE WHEN event_id % 3 = 0 THEN ts END AS read_at FROM {T}""",
     "v_front": """SELECT conv_id * 1000 + turn AS ord, concat('---', chr(10), 'type: ', role, chr(10), 'name: "n', CAST(turn AS {S}), '"', chr(10), '---', chr(10), text) AS text FROM {T}""",
     "v_watch": """SELECT event_id, event_type AS project, concat('f', CAST(user_id % 20 AS {S}), '.py') AS path, CASE WHEN event_id % 4 = 0 THEN 'deleted' ELSE 'modified' END AS kind, ts FROM {T}""",
+    "v_tree_old": """SELECT concat('d', CAST(doc_id % 7 AS {S}), '/e', CAST(doc_id % 31 AS {S}), '/g', CAST(doc_id % 5 AS {S}), '/f', CAST(doc_id AS {S}), '.txt') AS path, md5(text) AS hash FROM {T}""",
+    "v_tree_new": """SELECT concat(CASE WHEN doc_id % 217 = 5 THEN 'new' ELSE 'd' END, CAST(doc_id % 7 AS {S}), '/e', CAST(doc_id % 31 AS {S}), '/g', CAST(doc_id % 5 AS {S}), '/f', CAST(doc_id AS {S}), '.txt') AS path,
+        CASE WHEN doc_id % 217 = 3 THEN md5(concat(text, '!')) ELSE md5(text) END AS hash FROM {T} WHERE doc_id % 217 <> 8""",
 }
 
 
