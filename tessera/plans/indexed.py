@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import postings, search, tree
+from ..operators import postings, search, tree, vectorindex
 from ..operators.matching import glob_join
 from .catalog import SYMBOL, TERMS, _save, query
 from .views import view, with_views
@@ -122,3 +122,24 @@ def tree_update(spark, sf_dir):
     both = old.select("path", F.col("hash").alias("was")).join(new, "path", "full_outer")
     tree.update(snapshot, both.filter(~F.col("was").eqNullSafe(F.col("hash"))).select("path", "hash"), save=_save)
     return snapshot.folder_hashes()
+
+
+@query()
+def ann_topk_pq(spark, sf_dir):
+    """About the nearest ten of every twentieth row against all, by quantised codes and exact scores."""
+    rows = view(spark, sf_dir, "v_vec")
+    index = vectorindex.VectorIndex.build(rows.select("id", "embedding"), folder(spark))
+    return index.search(rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10)
+
+
+_NEAR = ", p AS (SELECT a.id AS query_id, b.id, round(1.0 / (1.0 + list_sum(list_transform(list_zip(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS score FROM v_vec a, v_vec b WHERE a.id % 20 = 0), e AS (SELECT query_id, id FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)"
+
+
+@query(with_views("v_vec") + _NEAR + "\nSELECT count(*) AS wanted, count(DISTINCT query_id) AS queries, true AS enough FROM e")
+def ann_recall(spark, sf_dir):
+    """Whether the quantised index finds nine tenths of what the exact search finds, for every twentieth row."""
+    rows = view(spark, sf_dir, "v_vec")
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = _save(search.top_k_each(rows, asked, 10))
+    share = vectorindex.recall(ann_topk_pq(spark, sf_dir), exact)
+    return exact.agg(F.count("*").alias("wanted"), F.count_distinct("query_id").alias("queries")).withColumn("enough", F.lit(share >= 0.9))
