@@ -73,10 +73,9 @@ def lockable(modified: DataFrame, others: DataFrame) -> DataFrame:
 
 def auto_coordinate(log: DataFrame, subscriptions: DataFrame, modified: DataFrame, agent: str, project: str, now: Column, ttl_minutes: int = 480) -> tuple[DataFrame, DataFrame]:
     """(lock rows, subscriptions) to append for an agent's modified paths (path): it locks those that nobody else's
-    lock matches, and subscribes to all."""
+    lock names, and subscribes to all."""
     others = lock_state(log, now, ttl_minutes).filter((F.col("project") == project) & (F.col("agent_id") != agent))
-    taken = overlap_join(modified, others, "path", "pattern").select("path").distinct()
-    free = modified.join(taken, "path", "left_anti")
+    free = lockable(modified, others)
     locks = free.select(F.lit(agent).alias("agent_id"), F.lit(project).alias("project"), F.col("path").alias("pattern"), now.alias("acquired_at"))
     return locks, subscribe_new(subscriptions, modified.select(F.lit(agent).alias("agent_id"), F.lit(project).alias("project"), F.col("path").alias("file_pattern")))
 

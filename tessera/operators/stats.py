@@ -55,6 +55,16 @@ def index_result(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("inserted"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("path", "error"))))).alias("errors"))
 
 
+def index_counts(files: DataFrame) -> DataFrame:
+    """One row: inserted, succeeded and failed, from (path, chunks, error)."""
+    return files.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("inserted"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def index_errors(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that failed, a row each, however many."""
+    return files.filter(F.col("error").isNotNull()).select("path", "error")
+
+
 def recent_history(samples: DataFrame, key: str = "metric", order: str = "taken_at", n: int = 60) -> DataFrame:
     """The last ``n`` samples of each metric."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

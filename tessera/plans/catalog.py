@@ -457,3 +457,4 @@ def session_status_stream(spark, sf_dir):
 
 
 from . import indexed, lifecycle, streams  # noqa: E402, F401  register their queries
+from . import layouts  # noqa: E402, F401  register their queries

@@ -186,10 +186,10 @@ def backfill_embed(spark, sf_dir):
 
 
 class _ShortProvider(embedding.HashProvider):
-    """Takes no text of over 200 characters, so longer ones are halved."""
+    """Takes no text of over 1000 characters, so longer ones are halved, and their halves again."""
 
     def _one(self, texts: list[str]) -> list[list[float]]:
-        if any(len(t) > 200 for t in texts):
+        if any(len(t) > 1000 for t in texts):
             raise embedding.TextTooLong
         return super().embed_batch(texts)
 
@@ -197,14 +197,15 @@ class _ShortProvider(embedding.HashProvider):
         return embedding.halved(self._one, texts)
 
 
-_HALF = "list_transform(range(1, 9), lambda i: CAST((CAST(concat('0x', substr(md5(a), i, 1)) AS INTEGER) / 15.0 + CAST(concat('0x', substr(md5(b), i, 1)) AS INTEGER) / 15.0) / 2 AS FLOAT))"
-
-
-@query("""WITH t AS (SELECT doc_id, substr(text, 1, 300) AS t FROM documents), h AS (SELECT doc_id, t, substr(t, 1, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM t)
-SELECT doc_id, list_transform(CASE WHEN length(t) <= 200 THEN """ + _NIBBLES.format(t="t") + f" ELSE {_HALF} END, lambda x: round(x, 5)) AS embedding FROM h")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, text AS t, CAST(1.0 AS DOUBLE) AS share FROM documents
+  UNION ALL SELECT doc_id, CASE WHEN side = 0 THEN substr(t, 1, length(t) // 2) ELSE substr(t, length(t) // 2 + 1) END, share / 2 FROM p, (VALUES (0), (1)) z(side) WHERE length(t) > 1000),
+n AS (SELECT doc_id, share, unnest(range(1, 9)) AS i, unnest(""" + _NIBBLES.format(t="t") + """) AS v FROM p WHERE length(t) <= 1000),
+d AS (SELECT doc_id, i, sum(share * CAST(v AS DOUBLE)) AS x FROM n GROUP BY ALL)
+SELECT doc_id, list(round(x + 0.0000003, 4) ORDER BY i) AS embedding FROM d GROUP BY doc_id""")
 def embed_halved(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("content"))
-    return embedding.embed(rows, _ShortProvider()).select("doc_id", F.transform(F.col("embedding"), lambda x: F.round(x, 5)).alias("embedding"))
+    """Whole texts, halved until each piece is short enough; a text's vector is the mean of its halves'."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return embedding.embed(rows, _ShortProvider()).select("doc_id", F.transform(F.col("embedding"), lambda x: F.round(x.cast("double") + 0.0000003, 4)).alias("embedding"))
 
 
 @query("SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) AS hit, " + _NIBBLES.format(t="text") + " AS embedding FROM documents")
@@ -240,7 +241,7 @@ def lockable_files(spark, sf_dir):
 
 
 @query(with_views("v_lock_log", "v_subs") + ",\n" + _LOCKS + f""", {_MODIFIED}
-SELECT 'lock' AS kind, path FROM m WHERE NOT EXISTS (SELECT 1 FROM locks WHERE project = 'click' AND agent_id <> 'agent-1' AND (path GLOB pattern OR pattern GLOB path))
+SELECT 'lock' AS kind, path FROM m WHERE NOT EXISTS (SELECT 1 FROM locks WHERE project = 'click' AND agent_id <> 'agent-1' AND path = pattern)
 UNION ALL SELECT 'subscription', path FROM m WHERE path NOT IN (SELECT file_pattern FROM v_subs WHERE agent_id = 'agent-1' AND project = 'click')""")
 def auto_coordinate(spark, sf_dir):
     paths = spark.range(200).select(F.concat(F.lit("src/k"), "id", F.lit(".py")).alias("path"))
@@ -284,19 +285,21 @@ def last_notifications(spark, sf_dir):
 
 
 @query(with_views("v_lock_log") + ",\n" + _LOCKS + f""", s AS (SELECT concat('agent-', CAST(user_id AS VARCHAR)) AS agent_id, max(ts) AS m FROM events GROUP BY user_id)
-SELECT agent_id, agent_id IN (SELECT agent_id FROM locks) AS has_lock, concat('...', right(concat('/work/trees/of/many/agents/that/work/', agent_id), 37)) AS worktree, strftime(m, '%Y-%m-%d %H:%M:%S') AS shown FROM s
-WHERE m >= {NOW} - INTERVAL 24 HOUR AND contains(agent_id, 'nt-1') AND m >= {NOW} - INTERVAL 5 MINUTE""")
+SELECT agent_id, agent_id IN (SELECT agent_id FROM locks) AS has_lock, concat('...', right(concat('/work/trees/of/many/agents/that/work/', agent_id), 37)) AS worktree, strftime(m, '%Y-%m-%d %H:%M:%S') AS shown,
+  m >= {NOW} - INTERVAL 5 MINUTE AS listed FROM s WHERE m >= {NOW} - INTERVAL 24 HOUR AND contains(agent_id, 'nt-1')""")
 def agents_board(spark, sf_dir):
-    """Agents by part of their names in any case, without those that are gone, with flags and shortened columns."""
+    """Agents of the last day by part of their names in any case, with flags, shortened columns, and whether the list without disconnected ones has them."""
     seen = coordination.sessions(_activity(spark, sf_dir).withColumnRenamed("ts", "seen_at"), _now()).withColumn("worktree_path", F.concat(F.lit("/work/trees/of/many/agents/that/work/"), "agent_id"))
-    shown = stats.agents_view(seen, _locks(spark, sf_dir), "NT-1", hide_disconnected=True)
-    return shown.select("agent_id", "has_lock", "worktree", X.shown_time(F.col("last_activity_at")).alias("shown"))
+    shown = stats.agents_view(seen, _locks(spark, sf_dir), "NT-1")
+    there = stats.agents_view(seen, _locks(spark, sf_dir), "NT-1", hide_disconnected=True).select("agent_id", F.lit(True).alias("listed"))
+    flags = shown.join(there, "agent_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return flags.select("agent_id", "has_lock", "worktree", X.shown_time(F.col("last_activity_at")).alias("shown"), "listed")
 
 
 @query("""SELECT CAST(sum(CASE WHEN user_id % 3 <> 0 THEN event_id % 5 ELSE 0 END) AS BIGINT) AS inserted, count(*) FILTER (WHERE user_id % 3 <> 0) AS succeeded, count(*) FILTER (WHERE user_id % 3 = 0) AS failed, count(*) FILTER (WHERE user_id % 3 = 0) AS errors FROM events""")
 def index_counters(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.when(F.col("user_id") % 3 != 0, F.col("event_id") % 5).otherwise(0).alias("chunks"), F.when(F.col("user_id") % 3 == 0, "bad").alias("error"))
-    return stats.index_result(rows).select("inserted", "succeeded", "failed", F.size("errors").cast("long").alias("errors"))
+    return stats.index_counts(rows).withColumn("errors", F.col("failed"))
 
 
 @query("SELECT event_type AS metric, event_id AS taken_at, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS INTEGER) AS age FROM events QUALIFY age <= 60")
@@ -316,17 +319,18 @@ def argument_clamps(spark, sf_dir):
     return spark.createDataFrame([(n, search.clamp(n), search.clamp(n, 1, 5)) for n in range(-20, 180)], "n int, top_k int, depth int")
 
 
-@query("SELECT * FROM (VALUES ('a', 64, false), ('b', 8, true), ('c', NULL, false)) t(collection, dimension, refused)")
+@query(with_views("v_vec") + "\nSELECT collection, CASE collection WHEN 'code_proj' THEN 64 ELSE 8 END AS dimension, count(*) AS n, len(embedding) <> CASE collection WHEN 'code_proj' THEN 64 ELSE 8 END AS refused FROM v_vec GROUP BY ALL")
 def dimension_guard(spark, sf_dir):
-    """Which of three collections refuse vectors of the embeddings' length."""
-    got, rows = len(_read(spark, sf_dir, "embeddings").select("embedding").first()[0]), []
-    for name, known in (("a", 64), ("b", 8), ("c", None)):
+    """Which collections refuse the vectors that they are given, by all vectors' lengths."""
+    known, rows = {"code_proj": 64}, []
+    for r in view(spark, sf_dir, "v_vec").groupBy("collection", F.size("embedding").alias("got")).agg(F.count("*").alias("n")).collect():
+        dimension = known.get(r["collection"], 8)
         try:
-            search.check_dimension(known, got, "m", name)
-            rows.append((name, known, False))
+            search.check_dimension(dimension, r["got"], "m", r["collection"])
+            rows.append((r["collection"], dimension, r["n"], False))
         except search.DimensionMismatch:
-            rows.append((name, known, True))
-    return spark.createDataFrame(rows, "collection string, dimension int, refused boolean")
+            rows.append((r["collection"], dimension, r["n"], True))
+    return spark.createDataFrame(rows, "collection string, dimension int, n long, refused boolean")
 
 
 # -- expressions
@@ -377,10 +381,10 @@ def overflow_errors(spark, sf_dir):
 # -- streams
 
 
-@query(with_views("v_subs") + """, f AS (SELECT DISTINCT event_id, concat('src/f', CAST(user_id % 60 AS VARCHAR), '.py') AS file_path, concat('agent-', CAST(event_id % 40 AS VARCHAR)) AS author FROM events WHERE event_id % 50 = 0)
+@query(with_views("v_subs") + """, f AS (SELECT DISTINCT event_id, concat('src/f', CAST(user_id % 60 AS VARCHAR), '.py') AS file_path, concat('agent-', CAST(event_id % 40 AS VARCHAR)) AS author FROM events)
 SELECT agent_id, file_pattern, file_path, author FROM f JOIN v_subs ON project = 'BUILDING' WHERE file_path GLOB file_pattern AND agent_id <> author""")
 def notify_stream(spark, sf_dir):
-    changed = lambda e: e.filter("event_id % 50 = 0").select(F.lit("BUILDING").alias("project"), F.concat(F.lit("src/f"), F.col("user_id") % 60, F.lit(".py")).alias("file_path"), F.concat(F.lit("agent-"), F.col("event_id") % 40).alias("author"))
+    changed = lambda e: e.select(F.lit("BUILDING").alias("project"), F.concat(F.lit("src/f"), F.col("user_id") % 60, F.lit(".py")).alias("file_path"), F.concat(F.lit("agent-"), F.col("event_id") % 40).alias("author"))
     return _streamed(spark, sf_dir, lambda e: jobs.notifications(changed(e), view(spark, sf_dir, "v_subs"))).select("agent_id", "file_pattern", "file_path", "author")
 
 

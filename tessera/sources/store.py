@@ -1,4 +1,4 @@
-"""Versioned Parquet collections: upserts, deletions and drops as new versions behind a pointer."""
+"""Versioned Parquet collections: upserts, deletions and drops as new versions of hash buckets behind a pointer."""
 
 from __future__ import annotations
 
@@ -20,14 +20,23 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Hash buckets of a collection by id; a change rewrites those that hold its ids.
+BUCKETS = 16
+_BUCKET = "store_bucket"
+
+
+def bucket(key: str = "id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
-    """Collections under one folder. Each is a series of written versions; the newest pointer names the current one.
+    """Collections under one folder. Rows lie in hash buckets by id; the newest pointer names each bucket's current folder.
 
-    A write makes a whole new version of one collection and then its pointer, so readers see either the old or the
-    new. Writers of one collection must take turns.
+    A write makes new folders for the buckets that it touches and then the collection's pointer, so readers see
+    either the old or the new, and other buckets' files stay as they are. Writers of one collection must take turns.
     """
 
-    POINTER = "collection string, version string, dimension int, seq long"
+    POINTER = "collection string, version string, dimension int, seq long, buckets map<string,string>"
 
     CACHE = "content_hash string, provider string, embedding array<float>"
 
@@ -41,11 +50,12 @@ class Store:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], self.POINTER)
-        return log.groupBy("collection").agg(F.max_by(F.struct("version", "dimension", "seq"), "seq").alias("r")).select("collection", "r.*").filter(F.col("version").isNotNull())
+        return log.groupBy("collection").agg(F.max_by(F.struct("version", "dimension", "seq", "buckets"), "seq").alias("r")).select("collection", "r.*").filter(F.col("version").isNotNull())
 
-    def _point(self, collection: str, version: str | None, dimension: int | None) -> None:
+    def _point(self, collection: str, version: str | None, dimension: int | None, buckets: dict[int, str] | None = None) -> None:
         past = self._pointers_all().filter(F.col("collection") == collection).agg(F.max("seq")).first()[0]
-        self.spark.createDataFrame([(collection, version, dimension, (past or 0) + 1)], self.POINTER).coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
+        named = {str(b): v for b, v in (buckets or {}).items()}
+        self.spark.createDataFrame([(collection, version, dimension, (past or 0) + 1, named)], self.POINTER).coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
 
     def _pointers_all(self) -> DataFrame:
         try:
@@ -65,14 +75,30 @@ class Store:
         if not self.has(collection):
             self._point(collection, "", dimension)
 
-    def read(self, collection: str) -> DataFrame | None:
+    def _current(self, collection: str) -> tuple[dict[int, str], int | None] | None:
+        """The folder of each of a collection's buckets, and its dimension."""
         row = self._pointers().filter(F.col("collection") == collection).first()
-        return self.spark.read.parquet(f"{self.folder}/data/{row['version']}") if row and row["version"] else None
+        return None if row is None else ({int(b): v for b, v in (row["buckets"] or {}).items()}, row["dimension"])
 
-    def _write(self, collection: str, rows: DataFrame, dimension: int | None) -> None:
+    def _read(self, buckets: dict[int, str]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.folder}/data/{v}/{_BUCKET}={b}" for b, v in sorted(buckets.items())]) if buckets else None
+
+    def read(self, collection: str) -> DataFrame | None:
+        now = self._current(collection)
+        return self._read(now[0]) if now else None
+
+    def _rewrite(self, collection: str, touched: set[int], rows: DataFrame, now: dict[int, str], dimension: int | None) -> None:
+        """``rows`` as the new contents of the ``touched`` buckets. A collection that loses all rows keeps its columns."""
         version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/data/{version}")
-        self._point(collection, version, dimension)
+        path = f"{self.folder}/data/{version}"
+        rows.withColumn(_BUCKET, bucket()).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(path)
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        made = [f.getPath().getName() for f in place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)]
+        left = {b: v for b, v in now.items() if b not in touched} | {int(n.split("=")[1]): version for n in made if n.startswith(f"{_BUCKET}=")}
+        if not left:
+            rows.limit(0).write.parquet(f"{path}/{_BUCKET}=0")
+            left = {0: version}
+        self._point(collection, version, dimension, left)
 
     def upsert(self, collection: str, rows: DataFrame, order: str, model: str = "the model", without: DataFrame | None = None) -> None:
         """Adds rows, the last of each id by ``order``, in place of those of the same ids and of the ids in ``without``.
@@ -87,29 +113,33 @@ class Store:
             blank = [r[0] for r in new.filter(F.col("embedding").isNull()).select("id").limit(5).collect()]
             if blank:
                 raise ValueError(f"rows without a vector: {blank}")
-            row = self._pointers().filter(F.col("collection") == collection).first()
+            buckets, known = self._current(collection) or ({}, None)
             sizes = new.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-            known = row["dimension"] if row else None
             for got in {sizes["lo"], sizes["hi"]} - {None}:
                 check_dimension(known, got, model, collection)
-            old = self.read(collection)
             gone = new.select("id") if without is None else new.select("id").union(without.select("id"))
+            touched = {r[0] for r in gone.select(bucket()).distinct().collect()}
+            old = self._read({b: v for b, v in buckets.items() if b in touched})
             both = new if old is None else old.join(gone.distinct(), "id", "left_anti").unionByName(new)
-            self._write(collection, both, known if known is not None else sizes["lo"])
+            self._rewrite(collection, touched, both, buckets, known if known is not None else sizes["lo"])
         finally:
             remove(self.spark, made)
 
     def delete(self, collection: str, ids: DataFrame) -> None:
-        self._replace(collection, lambda old: old.join(ids.select("id").distinct(), "id", "left_anti"))
+        self._replace(collection, lambda old: old.join(ids.select("id").distinct(), "id", "left_semi"))
 
     def delete_where(self, collection: str, condition: Column) -> None:
-        self._replace(collection, lambda old: old.filter(~F.coalesce(condition, F.lit(False))))
-
-    def _replace(self, collection: str, change) -> None:
-        old = self.read(collection)
+        self._replace(collection, lambda old: old.filter(F.coalesce(condition, F.lit(False))))
+
+    def _replace(self, collection: str, gone) -> None:
+        """Leaves out what ``gone`` picks, by writing only the buckets that it is in."""
+        buckets, dimension = self._current(collection) or ({}, None)
+        if not buckets:
+            return
+        touched = {r[0] for r in gone(self._read(buckets)).select(bucket()).distinct().collect()}
+        old = self._read({b: v for b, v in buckets.items() if b in touched})
         if old is not None:
-            row = self._pointers().filter(F.col("collection") == collection).first()
-            self._write(collection, change(old), row["dimension"])
+            self._rewrite(collection, touched, old.join(gone(old).select("id").distinct(), "id", "left_anti"), buckets, dimension)
 
     def drop(self, collection: str) -> None:
         if self.has(collection):

@@ -197,7 +197,11 @@ def test_settings_history_and_coordination(spark, tree, tmp_path_factory):
     subs = spark.createDataFrame([("me", "p", "b.py")], "agent_id string, project string, file_pattern string")
     modified = spark.createDataFrame([("src/a.py",), ("b.py",)], "path string")
     held, new = coordination.auto_coordinate(log, subs, modified, "me", "p", now_())
-    assert [r.pattern for r in held.collect()] == ["b.py"] and [r.file_pattern for r in new.collect()] == ["src/a.py"]
+    # Another's lock keeps a file back only if it names it; one that matches it doesn't, as with the workspace's tool.
+    assert sorted(r.pattern for r in held.collect()) == ["b.py", "src/a.py"] and [r.file_pattern for r in new.collect()] == ["src/a.py"]
+    named = locks(spark, [("other", "p", "b.py", at(1), "main")])
+    held, _ = coordination.auto_coordinate(named, subs, modified, "me", "p", now_())
+    assert [r.pattern for r in held.collect()] == ["src/a.py"]
     os.makedirs(f"{tree}/.git")
     store = Store(spark, str(tmp_path_factory.mktemp("store")))
     assert list(indexer.index_repositories(store, os.path.dirname(tree), embedding.HashProvider())) == [os.path.basename(tree)]
