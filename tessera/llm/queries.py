@@ -135,6 +135,22 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("left", 256).alias("kept_sha256"))
 
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d WHERE octet_length(b) >= 200),
+h AS (SELECT r, p, md5_number(b[p:p + 199]) AS k FROM w),
+t AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+s AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM h SEMI JOIN t USING (k)),
+g AS (SELECT r, p, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS span FROM s),
+x AS (SELECT r, span, min(p) AS a, max(p) + 199 AS e FROM g GROUP BY ALL),
+l AS (SELECT r, count(*) AS n_spans, sum(e - a + 1) AS n_removed, list(struct_pack(a := a, e := e) ORDER BY a) AS spans FROM x GROUP BY r),
+c AS (SELECT doc_id, b, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, coalesce(spans, []) AS spans FROM d LEFT JOIN l USING (r))
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans,
+       sha256(CASE WHEN n_spans = 0 THEN b ELSE unhex(array_to_string(list_transform(range(1, n_spans + 2), lambda i: hex(b[(CASE WHEN i = 1 THEN 1 ELSE spans[i - 1].e + 1 END):(CASE WHEN i = n_spans + 1 THEN octet_length(b) ELSE spans[i].a - 1 END)])), '')) END) AS kept_sha256
+FROM c
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
@@ -153,4 +169,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_rotation": op2_sql(), "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql(), "op11_hard_negatives": OP11_SQL}
+    return {"op2_chat_rotation": op2_sql(), "op3_substring_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_sharding": _op10_sql(), "op11_hard_negatives": OP11_SQL, "op12_suffix_dedup": OP12_SQL}
