@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import memory, search, stats
-from ..sources import daylog, files, walk
+from ..sources import daylog, embedding, files, indexer, walk
 from ..sources.store import Store
 from .catalog import ORACLES, _now, _read, query
 from .indexed import folder
@@ -152,3 +152,76 @@ def index_errors(spark, sf_dir):
     """The files that an index run failed on, a row each."""
     rows = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.lit(1).alias("chunks"), F.when(F.col("user_id") % 3 == 0, "bad").alias("error"))
     return stats.index_errors(rows)
+
+
+_REPOS = "concat('r', CAST(doc_id % 3 AS {s}), '/docs/d', CAST(doc_id % 5 AS {s}), '/f', CAST(doc_id AS {s}), '.md')"
+
+
+def _repositories(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of three repositories and one folder that is none, of the documents' texts."""
+    root = re.sub(r"^file:/*", "/", folder(spark))
+    rows = _read(spark, sf_dir, "documents").select(F.expr(_REPOS.format(s="STRING")).alias("path"), "text")
+    extra = [(f"r{i}/.git/HEAD", "ref") for i in range(3)] + [("none/f.md", "no repository")]
+    walk.write_tree(rows.union(spark.createDataFrame(extra, "path string, text string")), root)
+    return root
+
+
+@query(f"SELECT split_part(path, '/', 1) AS project, count(*) AS file_count, true AS has_chunks FROM (SELECT {_REPOS.format(s='VARCHAR')} AS path, text FROM documents WHERE regexp_matches(text, '\\S')) GROUP BY 1")
+def repositories_index(spark, sf_dir):
+    """Every repository below a folder indexed, and what the status says of each."""
+    store, root = Store(spark, folder(spark)), _repositories(spark, sf_dir)
+    done = indexer.index_repositories(store, root, embedding.HashProvider())
+    rows = [(s["project"], s["file_count"], s["chunk_count"] >= s["file_count"]) for s in (indexer.index_status(store, p) for p in sorted(done))]
+    return spark.createDataFrame(rows, "project string, file_count long, has_chunks boolean")
+
+
+@query(f"""WITH t AS (SELECT doc_id, substr({_REPOS.format(s='VARCHAR')}, 4) AS file_path, text FROM documents WHERE doc_id % 3 = 0),
+n AS (SELECT doc_id, file_path, CASE WHEN doc_id % 4 = 0 THEN concat('changed ', text) ELSE text END AS text FROM t WHERE doc_id % 9 <> 0)
+SELECT file_path, md5(text) AS text_md5 FROM n WHERE regexp_matches(text, '\\S')""")
+def index_sync(spark, sf_dir):
+    """A project's files after two rounds of sync, between which some were changed and some deleted."""
+    store, provider = Store(spark, folder(spark)), embedding.HashProvider()
+    caps = indexer.Caps(10**7)
+    rows = _read(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id", F.expr(f"substr({_REPOS.format(s='STRING')}, 4)").alias("path"), "text")
+    first, second = (re.sub(r"^file:/*", "/", folder(spark)) for _ in range(2))
+    walk.write_tree(rows, first)
+    indexer.sync_once(store, first, "p", provider, caps)
+    later = rows.filter("doc_id % 9 <> 0").withColumn("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN concat('changed ', text) ELSE text END"))
+    walk.write_tree(later, second)
+    indexer.sync_once(store, second, "p", provider, caps)
+    held = store.read("code_p").select("file_path").distinct()
+    return walk.texts(spark, second, "p", held.withColumnRenamed("file_path", "path")).select("file_path", F.md5("text").alias("text_md5"))
+
+
+@query(with_views("v_vec") + "\nSELECT collection, 64 AS dimension, count(*) AS n, false AS refused FROM v_vec WHERE collection = 'code_proj' GROUP BY 1 UNION ALL SELECT 'code_short', 8, count(*), true FROM v_vec WHERE collection <> 'code_proj'")
+def collections_validate(spark, sf_dir):
+    """Collections of two lengths, and which a model of 64 entries may not use."""
+    from ..operators.search import DimensionMismatch
+
+    store = Store(spark, folder(spark))
+    rows = view(spark, sf_dir, "v_vec").select(F.col("id").cast("string").alias("id"), "collection", "embedding", F.lit(1).alias("ord"))
+    store.upsert("code_proj", rows.filter("collection = 'code_proj'"), "ord")
+    short = rows.filter("collection <> 'code_proj'").withColumn("embedding", F.slice("embedding", 1, 8))
+    store.upsert("code_short", short, "ord")
+    out = []
+    try:
+        store.validate(64)
+        refused = None
+    except DimensionMismatch as e:
+        refused = e.collection
+    for r in store.collections().orderBy("collection").collect():
+        out.append((r["collection"], r["dimension"], store.count(r["collection"]), r["collection"] == refused))
+    return spark.createDataFrame(out, "collection string, dimension int, n long, refused boolean")
+
+
+@query(with_views("v_vec") + "\nSELECT collection, count(*) AS n FROM v_vec WHERE collection = 'code_proj' GROUP BY 1")
+def branch_cleanup(spark, sf_dir):
+    """What collections are left after a branch's overlay was dropped by the workspace's tool."""
+    from ..workspace import Workspace
+
+    work = Workspace(spark, folder(spark), embedding.HashProvider())
+    rows = view(spark, sf_dir, "v_vec").select(F.col("id").cast("string").alias("id"), "collection", "embedding", F.lit(1).alias("ord"))
+    for name in ("code_proj", "code_proj__feat--x"):
+        work.store.upsert(name, rows.filter(F.col("collection") == name), "ord")
+    assert work.cleanup_branch("proj", "feat/x")["dropped"]
+    return spark.createDataFrame([(r["collection"], work.store.count(r["collection"])) for r in work.store.collections().collect()], "collection string, n long")

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import LANGUAGES
 from ..functions.hashing import xxh3_hex
 from ..operators.chunking import CAP, documents, source_chunks
 from ..operators.sync import changed_only, tree_diff
+from ..shared import checkpointed
+from . import walk
 from .embedding import Provider, embed_cached
-from .files import delete_snapshots, listing, load_snapshot, read_paths, save_snapshot, scan_files, scan_hashes
+from .files import delete_snapshots, load_snapshot, save_snapshot
 from .store import Store
 
 
@@ -46,18 +49,22 @@ def index_codebase(store: Store, root: str, project: str, provider: Provider, fo
         return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
     store.drop(collection)
     store.create(collection, provider.dimension)
-    store.upsert(collection, _chunks(store, scan_files(store.spark, root, project, patterns, extensions), collection, provider, caps), "ord", provider.name)
+    store.upsert(collection, _chunks(store, walk.scan_tree(store.spark, root, project, patterns, extensions), collection, provider, caps), "ord", provider.name)
     return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
 
 
-def index_files(store: Store, root: str, project: str, paths: list[str], provider: Provider, caps: Caps = Caps()) -> DataFrame:
-    """Replaces the chunks of given files in one new version; returns (path, chunks, error), and a file that fails stops no other.
+def _paths(store: Store, paths: list[str] | DataFrame) -> DataFrame:
+    return paths.select("path") if isinstance(paths, DataFrame) else store.spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+def index_files(store: Store, root: str, project: str, paths: list[str] | DataFrame, provider: Provider, caps: Caps = Caps()) -> DataFrame:
+    """Replaces the chunks of given files (a list, or a table with path) in one new version; returns (path, chunks, error), and a file that fails stops no other.
 
     Where the provider fails, the collection stays as it was.
     """
     collection = f"code_{project}"
     store.create(collection, provider.dimension)
-    files = read_paths(store.spark, root, project, paths)
+    files = walk.texts(store.spark, root, project, _paths(store, paths))
     good = files.filter(F.col("error").isNull()).select("file_path")
     old = store.read(collection)
     gone = None if old is None else old.join(good, "file_path", "left_semi").select("id")
@@ -66,14 +73,15 @@ def index_files(store: Store, root: str, project: str, paths: list[str], provide
     return files.join(counts, "file_path", "left").select(F.col("file_path").alias("path"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
 
 
-def drop_files(store: Store, project: str, paths: list[str]) -> int:
+def drop_files(store: Store, project: str, paths: list[str] | DataFrame) -> int:
     """Deletes the chunks of files that are gone; how many."""
     collection = f"code_{project}"
     old = store.read(collection)
-    if old is None or not paths:
+    gone = _paths(store, paths).withColumnRenamed("path", "file_path")
+    if old is None or gone.isEmpty():
         return 0
     before = old.count()
-    store.delete(collection, old.join(store.spark.createDataFrame([(p,) for p in paths], "file_path string"), "file_path", "left_semi").select("id"))
+    store.delete(collection, old.join(gone, "file_path", "left_semi").select("id"))
     return before - store.count(collection)
 
 
@@ -82,25 +90,27 @@ def sync_once(store: Store, root: str, project: str, provider: Provider, caps: C
 
     The snapshot is saved last, so what failed is tried again. Files that indexing wouldn't take are left alone.
     """
-    now, old = scan_hashes(store.spark, root), load_snapshot(store.spark, store.snapshots, project)
+    now, old = checkpointed(walk.hashes(store.spark, root)), load_snapshot(store.spark, store.snapshots, project)
     empty = store.spark.createDataFrame([], "path string, hash string")
-    diff = [tuple(r) for r in tree_diff(empty if old is None else old, now).collect()]
-    indexable = {p for p, _ in listing(root)}
-    changed = sorted(p for p, s in diff if s != "removed" and p in indexable)
-    removed = sorted(p for p, s in diff if s == "removed")
-    if changed:
+    diff = checkpointed(tree_diff(empty if old is None else old, now))
+    indexable = walk.walk(store.spark, root, extensions=set(LANGUAGES)).select("path")
+    changed = checkpointed(diff.filter("status <> 'removed'").join(indexable, "path", "left_semi").select("path"))
+    removed = diff.filter("status = 'removed'").select("path")
+    if not changed.isEmpty():
         index_files(store, root, project, changed, provider, caps)
     dropped = drop_files(store, project, removed)
-    if diff or old is None:
+    if old is None or not diff.isEmpty():
         save_snapshot(now, store.snapshots, project)
-    return {"project": project, "changed": changed, "removed": removed, "chunks_dropped": dropped}
+    # The tool's report names them.
+    names = lambda df: sorted(r["path"] for r in df.collect())
+    return {"project": project, "changed": names(changed), "removed": names(removed), "chunks_dropped": dropped}
 
 
 def index_branch(store: Store, root: str, project: str, branch_collection: str, changed: list[str], provider: Provider, caps: Caps = Caps()) -> int:
     """Indexes a branch's changed files into its overlay; the number of chunks."""
     if not changed:
         return 0
-    files = scan_files(store.spark, root, project)
+    files = walk.scan_tree(store.spark, root, project)
     only = changed_only(files, store.spark.createDataFrame([(p,) for p in changed], "file_path string"))
     rows = _chunks(store, only, branch_collection, provider, caps)
     if rows.isEmpty():
@@ -140,7 +150,7 @@ def reconcile(store: Store, root: str, project: str) -> dict:
     if not os.path.isdir(root):
         return {"project": project, "status": "path_not_found", "orphans_removed": 0}
     before = store.count(collection)
-    there = scan_files(store.spark, root, project).select("file_path")
+    there = walk.walk(store.spark, root, extensions=set(LANGUAGES)).select(F.col("path").alias("file_path")).select("file_path")
     rows = store.read(collection)
     if rows is not None:
         store.delete(collection, rows.join(there, "file_path", "left_anti").select("id"))

@@ -92,9 +92,9 @@ def texts(spark: SparkSession, root: str, project: str, paths: DataFrame) -> Dat
     return read.select(F.lit(project).alias("project"), "file_path", X.language_of(F.col("file_path")).alias("language"), "text", "error")
 
 
-def scan_tree(spark: SparkSession, root: str, project: str, patterns: list[str] | None = None) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, project: str, patterns: list[str] | None = None, extensions: set[str] | None = None) -> DataFrame:
     """What files.scan_files() reads, with the tree listed by executors."""
-    return texts(spark, root, project, walk(spark, root, patterns, set(X.LANGUAGES)))
+    return texts(spark, root, project, walk(spark, root, patterns, extensions or set(X.LANGUAGES)))
 
 
 def hashes(spark: SparkSession, root: str, digest: str = "xxh3") -> DataFrame:
