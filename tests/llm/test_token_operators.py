@@ -253,6 +253,23 @@ def test_pipeline_stages(spark, tmp_path):
     check_packed(rows, {i: r.text for i, r in kept["substrings"].items()})
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, columns in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    table = spark.createDataFrame([(1, long), (2, long), (3, long + " x"), (4, "short one"), (5, None)], "doc_id long, text string")
+    once = corpus_pipeline.exact(spark, table, "")
+    assert sorted(r.doc_id for r in once.collect()) == [1, 3, 4, 5]
+    near = corpus_pipeline.near(spark, once, "")
+    assert sorted(r.doc_id for r in near.collect()) == [1, 4, 5]
+    cut = corpus_pipeline.substrings(spark, table.withColumn("n_chars", F.length("text").cast("long")), "")
+    assert {r.doc_id: r.n_chars for r in cut.collect()} == {1: len(long), 2: 0, 3: 1, 4: 9, 5: None}
+
+
 def test_stages_take_columns_of_any_names(spark):
     """Also of those that the operators use within, nulls and repeats included."""
     names = ["one", "group", "n_words", "n_removed", "data", "kept", "row", "id", "of_id", "sha", "node", "component_id", "__id", "__of", "__sha", "__maybe", "__cell", "__bucket", "__bits", "a.b", "place", "n_chars"]
