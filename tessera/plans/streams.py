@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from .catalog import _GAP, _read, _save, _streamed, query
-from .views import with_views
 
 _MOVES = """v AS (SELECT event_id, event_type AS project, concat('f', CAST(user_id % 20 AS VARCHAR), '.py') AS path, CASE WHEN event_id % 5 = 0 THEN 'moved' WHEN event_id % 4 = 0 THEN 'deleted' ELSE 'modified' END AS kind, concat('g', CAST(user_id % 30 AS VARCHAR), '.py') AS to_path, ts FROM events),
 w AS (SELECT event_id, project, path, CASE WHEN kind = 'moved' THEN 'deleted' ELSE kind END AS kind, ts FROM v UNION ALL SELECT event_id, project, to_path, 'created', ts FROM v WHERE kind = 'moved')"""
