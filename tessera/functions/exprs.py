@@ -61,6 +61,14 @@ def mean_vector(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y) / 2)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero as SQL engines on C do it: scaled, rounded, scaled back; a negative that rounds to zero stays -0.0."""
+    scaled = F.abs(x) * 10.0**digits
+    whole = F.floor(scaled)
+    near = F.when(scaled < 2.0**52, whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)).otherwise(scaled)
+    return F.signum(x) * (near / 10.0**digits)
+
+
 # -- text
 
 

@@ -364,7 +364,7 @@ def packed_vectors(spark, sf_dir):
 def mean_vectors(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     both = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    return both.select("vec_id", F.transform(X.mean_vector(F.col("a"), F.col("b")), lambda x: F.round(x, 6)).alias("mean"))
+    return both.select("vec_id", F.transform(X.mean_vector(F.col("a"), F.col("b")), lambda x: X.rounded(x, 6)).alias("mean"))
 
 
 @query("SELECT p_partkey, concat('merge:', p_brand) AS author, concat('merge-', p_brand, '-', substr(md5(p_name), 1, 8)) AS id FROM part")

@@ -1,6 +1,7 @@
 import fnmatch
 import re
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.functions.hashing import xxh3_hex
+from tessera.plans import catalog
 
 PATTERNS = ["src/*", "src/auth/*", "*.py", "src/f?.py", "[a-c]x", "[!a-c]x", "a[b", "[]a]", "[!]a]", "a.b+c", "(x|y)", "[z-a]q", "[a^]", "$^", "\\d", "**", "", "é*", "[a\\]b"]
 NAMES = ["src/auth/login.py", "src/a", "src", "src/f1.py", "ax", "dx", "a[b", "]", "a", "b", "aXb+c", "a.b+c", "(x|y)", "q", "^", "$^", "5", "\\d", "", "été", "a\nb", "\\b"]
@@ -69,3 +71,24 @@ def test_xxh3(spark):
     import xxhash
 
     assert spark.createDataFrame([("é",), (None,)], "t string").select(xxh3_hex("t").alias("h")).collect() == [(xxhash.xxh3_64_hexdigest("é"),), (None,)]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    from math import copysign
+
+    values = [-1e-7, -0.0, 1e-7, 0.0000005, -0.0000005, 1.0000005, -2.25, 1e300, float("nan"), float("-inf"), None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.x for r in rows.select("i", X.rounded(F.col("v"), 6).alias("x")).orderBy("i").collect()]
+    with duckdb.connect() as c:
+        want = [c.execute("SELECT round(?::double, 6)", [v]).fetchone()[0] for v in values]
+    assert [repr(x) for x in got] == [repr(x) for x in want] and copysign(1, got[0]) == -1
+
+
+def test_mean_vectors_of_small_negative_entries(spark, tmp_path):
+    rows = spark.createDataFrame([(0, [-1e-7, 0.25]), (1, [-2e-7, 0.5]), (2, [3e-7, -0.25])], "vec_id long, embedding array<float>")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r["mean"] for r in catalog.QUERIES["mean_vectors"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = dict(c.execute(catalog.ORACLES["mean_vectors"]).fetchall())
+    assert repr(sorted(got.items())) == repr(sorted(want.items())) and "-0.0," in repr(got)
