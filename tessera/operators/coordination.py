@@ -71,11 +71,14 @@ def lockable(modified: DataFrame, others: DataFrame) -> DataFrame:
     return modified.join(others.select(F.col("pattern").alias("path")), "path", "left_anti")
 
 
-def auto_coordinate(log: DataFrame, subscriptions: DataFrame, modified: DataFrame, agent: str, project: str, now: Column, ttl_minutes: int = 480) -> tuple[DataFrame, DataFrame]:
+def auto_coordinate(log: DataFrame, subscriptions: DataFrame, modified: DataFrame, agent: str, project: str, now: Column, ttl_minutes: int = 480, matched: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lock rows, subscriptions) to append for an agent's modified paths (path): it locks those that nobody else's
-    lock names, and subscribes to all."""
+    lock names, and subscribes to all. With ``matched``, paths that another's lock matches are left out too, for which
+    an acquire would be refused."""
     others = lock_state(log, now, ttl_minutes).filter((F.col("project") == project) & (F.col("agent_id") != agent))
     free = lockable(modified, others)
+    if matched:
+        free = free.join(overlap_join(modified, others, "path", "pattern").select("path").distinct(), "path", "left_anti")
     locks = free.select(F.lit(agent).alias("agent_id"), F.lit(project).alias("project"), F.col("path").alias("pattern"), now.alias("acquired_at"))
     return locks, subscribe_new(subscriptions, modified.select(F.lit(agent).alias("agent_id"), F.lit(project).alias("project"), F.col("path").alias("file_pattern")))
 

@@ -241,11 +241,11 @@ def lockable_files(spark, sf_dir):
 
 
 @query(with_views("v_lock_log", "v_subs") + ",\n" + _LOCKS + f""", {_MODIFIED}
-SELECT 'lock' AS kind, path FROM m WHERE NOT EXISTS (SELECT 1 FROM locks WHERE project = 'click' AND agent_id <> 'agent-1' AND path = pattern)
+SELECT 'lock' AS kind, path FROM m WHERE NOT EXISTS (SELECT 1 FROM locks WHERE project = 'click' AND agent_id <> 'agent-1' AND (path GLOB pattern OR pattern GLOB path))
 UNION ALL SELECT 'subscription', path FROM m WHERE path NOT IN (SELECT file_pattern FROM v_subs WHERE agent_id = 'agent-1' AND project = 'click')""")
 def auto_coordinate(spark, sf_dir):
     paths = spark.range(200).select(F.concat(F.lit("src/k"), "id", F.lit(".py")).alias("path"))
-    held, heard = coordination.auto_coordinate(view(spark, sf_dir, "v_lock_log"), view(spark, sf_dir, "v_subs"), paths, "agent-1", "click", _now())
+    held, heard = coordination.auto_coordinate(view(spark, sf_dir, "v_lock_log"), view(spark, sf_dir, "v_subs"), paths, "agent-1", "click", _now(), matched=True)
     return held.select(F.lit("lock").alias("kind"), F.col("pattern").alias("path")).union(heard.select(F.lit("subscription"), "file_pattern"))
 
 

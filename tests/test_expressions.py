@@ -92,3 +92,17 @@ def test_mean_vectors_of_small_negative_entries(spark, tmp_path):
         c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
         want = dict(c.execute(catalog.ORACLES["mean_vectors"]).fetchall())
     assert repr(sorted(got.items())) == repr(sorted(want.items())) and "-0.0," in repr(got)
+
+
+def test_auto_coordination_leaves_out_what_anothers_lock_matches(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 30, 23)
+    events = [(5, at, 2, "click", 0.0, '{"k": 7}'), (6, at, 1, "click", 0.0, '{"k": 8}'), (7, at, 3, "click", 0.0, '{"k": 9}')]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "BUILDING")], "c_custkey long, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = catalog.QUERIES["auto_coordinate"](spark, str(tmp_path)).collect()
+    locked = {r.path for r in rows if r.kind == "lock"}
+    # src/k7* of agent-2 matches k7 and k70 to k79, src/k9.py of agent-3 itself; agent-1's own lock keeps nothing back.
+    assert {f"src/k{i}.py" for i in range(200)} - locked == {"src/k7.py", "src/k9.py", *(f"src/k7{i}.py" for i in range(10))}
+    assert sum(r.kind == "subscription" for r in rows) == 200
