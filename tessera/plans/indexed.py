@@ -65,8 +65,7 @@ _NAMES = ", n AS (SELECT DISTINCT name AS symbol FROM v_chunks WHERE name <> '')
 def symbol_references(spark, sf_dir):
     """Every symbol that is a chunk's name with every chunk that holds it."""
     chunks, at = _chunks(spark, sf_dir), folder(spark)
-    index = postings.GramIndex.build(chunks.select("id", "content"), at)
-    return spark.read.parquet(postings.references(index, chunks, at)).select("symbol", "id")
+    return spark.read.parquet(postings.references(None, chunks, at)).select("symbol", "id")
 
 
 @query(with_views("v_chunks", recursive=True) + _NAMES + f""",
@@ -76,9 +75,8 @@ SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY id""")
 def dependents_index(spark, sf_dir):
     """Five steps from a symbol over the stored references; names stay in tables."""
     chunks, at = _chunks(spark, sf_dir), folder(spark)
-    index = postings.GramIndex.build(chunks.select("id", "content"), at)
-    refs = spark.read.parquet(postings.references(index, chunks, at))
-    return postings.dependents(refs, index, chunks, SYMBOL, None, 5, _save)
+    refs = spark.read.parquet(postings.references(None, chunks, at))
+    return postings.dependents(refs, None, chunks, SYMBOL, None, 5, _save)
 
 
 _ENDS = """g AS (SELECT DISTINCT concat('*', right(file_path, 5)) AS pattern FROM v_chunks WHERE name = 'The'
