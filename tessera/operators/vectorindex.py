@@ -9,7 +9,7 @@ Centres and code books are fitted on a bounded sample; every vector is in the in
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..shared import checkpointed
-from .search import DIGITS, clamp
+from .search import DIGITS, clamp, top_k_each
 
 #: Vectors of least hash that centres and code books are fitted on; entries of a part; codes of a part.
 SAMPLE_ROWS, PART, CODES, ROUNDS = 20_000, 4, 256, 8
@@ -26,6 +26,8 @@ SAMPLE_ROWS, PART, CODES, ROUNDS = 20_000, 4, 256, 8
 CELL_ROWS, MOST_CELLS, PROBES, REFINE = 1_000, 4_096, 32, 4
 #: Codes of a cell and queries that one task takes; distances that it holds at once.
 LOT_ROWS, BLOCK_QUERIES, HELD = 200_000, 20_000, 1 << 22
+#: Rows asked for when an index is built, how many nearest of each, the share of them that is to be found, and what is tried for it.
+ASKED_ROWS, ASKED_K, FOUND, REFINES = 128, 10, 0.95, (4, 8, 16, 32, 64, 128)
 #: Rows of a page of the vectors' files, the least that is read for one of them.
 PAGE_ROWS = 64
 
@@ -93,6 +95,8 @@ class VectorIndex:
     books: Books
     dim: int
     page_rows: int = PAGE_ROWS
+    probes: int = PROBES
+    refine: int = REFINE
 
     @staticmethod
     def build(vectors: DataFrame, folder: str, keep: tuple[str, ...] = (), cells: int | None = None, sample_rows: int = SAMPLE_ROWS, page_rows: int = PAGE_ROWS) -> VectorIndex:
@@ -109,7 +113,25 @@ class VectorIndex:
         cells = cells or min(MOST_CELLS, max(1, n // CELL_ROWS))
         index = VectorIndex(spark, f"{folder}/{uuid.uuid4().hex}", Books.fit(np.array(sample, float).reshape(len(sample), dim), cells), dim, page_rows)
         index.add(rows, keep)
-        return index
+        return index.calibrated(rows) if n else index
+
+    def calibrated(self, rows: DataFrame) -> VectorIndex:
+        """This index with as many probes and candidates as ASKED_ROWS of ``rows`` need for a share of FOUND of their nearest.
+
+        One exact scan says what is nearest. Never fewer than PROBES and REFINE.
+        """
+        asked = checkpointed(rows.select(F.col("id").cast("long").alias("query_id"), "embedding").orderBy(F.xxhash64("id")).limit(ASKED_ROWS))
+        exact = checkpointed(top_k_each(rows.select("id", "embedding"), asked, ASKED_K).select("query_id", "id"))
+        probes, refine, best = PROBES, REFINE, 0.0
+        for more in REFINES:
+            found = recall(self.candidates(asked, ASKED_K, max(1, len(self.books.centres)), more), exact)
+            refine = max(REFINE, more)
+            if found >= FOUND or more > REFINE and found <= best:
+                break
+            best = found
+        while probes < len(self.books.centres) and recall(self.candidates(asked, ASKED_K, probes, refine), exact) < FOUND:
+            probes *= 2
+        return replace(self, probes=probes, refine=refine)
 
     def add(self, vectors: DataFrame, keep: tuple[str, ...] = ()) -> None:
         """Adds vectors of new ids, coded with the index's books."""
@@ -135,9 +157,10 @@ class VectorIndex:
         rows = self.spark.read.parquet(f"{self.folder}/codes")
         return rows if where is None else rows.filter(where)
 
-    def candidates(self, queries: DataFrame, k: int, probes: int = PROBES, refine: int = REFINE, where: Column | None = None) -> DataFrame:
+    def candidates(self, queries: DataFrame, k: int, probes: int | None = None, refine: int | None = None, where: Column | None = None) -> DataFrame:
         """(query_id, id, cell) of the ``refine`` times ``k`` likeliest vectors in each query's ``probes`` nearest cells."""
-        books, dim, wanted = self.books, self.dim, refine * k
+        probes = probes or self.probes
+        books, dim, wanted = self.books, self.dim, (refine or self.refine) * k
 
         def probed(batches):
             for batch in batches:
@@ -179,7 +202,7 @@ class VectorIndex:
         first = Window.partitionBy("query_id").orderBy("far", "id")
         return found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= wanted).select("query_id", "id", "cell")
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = PROBES, refine: int = REFINE, where: Column | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, refine: int | None = None, where: Column | None = None) -> DataFrame:
         """(query_id, id, score, rank) of about the nearest ``k`` rows of each of ``queries`` (query_id, embedding), with exact scores."""
         k = clamp(k)
         if not self.dim:
@@ -190,7 +213,7 @@ class VectorIndex:
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("asked"))
         return self._ranked(vectors.join(chosen, ["cell", "id"]).join(asked, "query_id"), F.col("asked"), k)
 
-    def search_one(self, query: list[float], k: int = 10, probes: int = PROBES, refine: int = REFINE, where: Column | None = None) -> DataFrame:
+    def search_one(self, query: list[float], k: int = 10, probes: int | None = None, refine: int | None = None, where: Column | None = None) -> DataFrame:
         """(id, score, rank) of about the nearest ``k`` rows of one vector; of the vectors' files only the candidates' pages are read."""
         k = clamp(k)
         if not self.dim:

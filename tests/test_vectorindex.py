@@ -108,3 +108,16 @@ def test_edges(spark, tmp_path):
     none = vectorindex.VectorIndex.build(few.limit(0), str(tmp_path))
     assert none.dim == 0 and none.search_one([1.0, 0.0]).count() == 0
     assert none.search(few.selectExpr("id query_id", "embedding")).count() == 0
+
+
+def test_an_index_learns_how_many_candidates_it_needs(spark, tmp_path):
+    import numpy as np
+
+    from tessera.operators import search
+
+    x = np.random.default_rng(5).standard_normal((6000, 64))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, embedding array<float>").repartition(4).cache()
+    index = vectorindex.VectorIndex.build(rows, str(tmp_path))
+    assert index.refine > vectorindex.REFINE
+    asked = rows.filter("id % 100 = 0").selectExpr("id query_id", "embedding")
+    assert vectorindex.recall(index.search(asked, 10), search.top_k_each(rows, asked, 10)) >= 0.9
