@@ -10,6 +10,7 @@ import urllib.error
 import urllib.request
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,9 +128,9 @@ def embed(texts: DataFrame, provider: Provider, text: str = "content", batch: in
 
     @F.pandas_udf("array<float>")
     def vectors(values: pd.Series) -> pd.Series:
-        out: list[list[float]] = []
+        out: list[np.ndarray | None] = []
         for a in range(0, len(values), batch):
-            out += provider.embed_batch([v or "" for v in values.iloc[a : a + batch]])
+            out += [None if v is None else np.asarray(v, np.float32) for v in provider.embed_batch([t or "" for t in values.iloc[a : a + batch]])]
         return pd.Series(out, index=values.index)
 
     return texts.withColumn("embedding", vectors(F.col(text)))
@@ -139,8 +140,9 @@ def embed_cached(texts: DataFrame, cache: DataFrame, provider: Provider, text: s
     """(``texts`` with embedding and hit, rows to append to the cache).
 
     Of equal texts one is embedded, and only if the cache (content_hash, provider, embedding) doesn't have it.
+    ``texts`` may have content_hash already.
     """
-    keyed = texts.withColumn("content_hash", xxh3_hex(F.col(text)))
+    keyed = texts if "content_hash" in texts.columns else texts.withColumn("content_hash", xxh3_hex(F.col(text)))
     own = cache.filter(F.col("provider") == provider.name).select("content_hash", "embedding")
     missed = keyed.groupBy("content_hash").agg(F.min(text).alias(text)).join(own, "content_hash", "left_anti")
     fresh = embed(missed, provider, text).select("content_hash", F.lit(provider.name).alias("provider"), "embedding")

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import LANGUAGES
+from ..functions.exprs import LANGUAGES, language_of
 from ..functions.hashing import xxh3_hex
-from ..operators.chunking import CAP, documents, source_chunks
-from ..operators.sync import changed_only, tree_diff
+from ..operators.chunking import CAP, CHUNKS, Chunk, columns_of, documents, split_source
+from ..operators.sync import tree_diff
 from ..shared import checkpointed
 from . import walk
 from .embedding import Provider, embed_cached
 from .files import delete_snapshots, load_snapshot, save_snapshot
-from .store import Store
+from .store import Store, remove
 
 
 @dataclass(frozen=True)
@@ -28,18 +31,47 @@ class Caps:
     most_tokens: int | None = None
 
 
-def _split(files: DataFrame, collection: str, caps: Caps) -> DataFrame:
-    docs = documents(source_chunks(files.filter(F.col("text").isNotNull()), cap=caps.characters, tokens=caps.tokens, most=caps.most_tokens))
-    return docs.withColumn("collection", F.lit(collection)).withColumn("project_name", F.col("project"))
+#: A file that has no chunk, or that can't be read (error), is one row without a piece.
+_SPLIT = f"file_path string, language string, error string, {CHUNKS}"
 
 
-def _chunks(store: Store, files: DataFrame, collection: str, provider: Provider, caps: Caps) -> DataFrame:
+@contextmanager
+def _split(store: Store, root: str, project: str, paths: DataFrame, collection: str, caps: Caps) -> Iterator[DataFrame]:
+    """The chunks of files (path) with content_hash and error, as a table that is there inside ``with``.
+
+    Executors read a file and split it in one go, a bounded number of bytes at once, so every file is read once and
+    no text is handed from one Python process to another before it is split.
+    """
+
+    def run(batches):
+        for batch in batches:
+            names, languages = batch.column("file_path").to_pylist(), batch.column("language").to_pylist()
+            language = dict(zip(names, languages, strict=True))
+            for part in walk.read(root, names):
+                rows = []
+                for path, text, error in part:
+                    found = [] if text is None else split_source(text, language[path], cap=caps.characters, tokens=caps.tokens, most=caps.most_tokens)
+                    rows += [(path, error, numbered) for numbered in enumerate(found)] or [(path, error, (None, Chunk(None, None, None, None)))]
+                own = {"file_path": [r[0] for r in rows], "language": [language[r[0]] for r in rows], "error": [r[1] for r in rows]}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) for k, v in own.items()} | columns_of([r[2] for r in rows]))
+
+    read = walk.dealt(paths).select(F.col("path").alias("file_path"), language_of(F.col("path")).alias("language")).mapInArrow(run, _SPLIT)
+    docs = documents(read.select(F.lit(project).alias("project"), "*")).withColumn("collection", F.lit(collection)).withColumn("project_name", F.col("project")).withColumn("content_hash", xxh3_hex(F.col("content")))
+    made = f"{store.folder}/data/{uuid.uuid4().hex}"
+    try:
+        docs.write.parquet(made)
+        yield store.spark.read.schema(docs.schema).parquet(made)
+    finally:
+        remove(store.spark, made)
+
+
+def _chunks(store: Store, split: DataFrame, provider: Provider) -> DataFrame:
     """Chunks with vectors from the store's cache, which first gets those it doesn't have."""
-    docs = _split(files, collection, caps)
+    docs = split.filter(F.col("piece").isNotNull()).drop("error")
     store.cache(embed_cached(docs, store.cached(), provider)[1])
     # Only looked up: a filter on vectors would be pushed down to the provider's calls and make them again.
     known = store.cached().filter(F.col("provider") == provider.name).select("content_hash", "embedding")
-    return docs.withColumn("content_hash", xxh3_hex(F.col("content"))).join(known, "content_hash", "left").select(*docs.columns, "embedding").withColumn("ord", F.col("piece"))
+    return docs.join(known, "content_hash", "left").select(*[c for c in docs.columns if c != "content_hash"], "embedding").withColumn("ord", F.col("piece"))
 
 
 def index_codebase(store: Store, root: str, project: str, provider: Provider, force: bool = False, patterns: list[str] | None = None, extensions: set[str] | None = None, caps: Caps = Caps()) -> dict:
@@ -49,12 +81,13 @@ def index_codebase(store: Store, root: str, project: str, provider: Provider, fo
         return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
     store.drop(collection)
     store.create(collection, provider.dimension)
-    store.upsert(collection, _chunks(store, walk.scan_tree(store.spark, root, project, patterns, extensions), collection, provider, caps), "ord", provider.name)
+    with _split(store, root, project, walk.walk(store.spark, root, patterns, extensions or set(LANGUAGES)), collection, caps) as split:
+        store.upsert(collection, _chunks(store, split, provider), "ord", provider.name)
     return {"project": project, "status": "indexed", "chunk_count": store.count(collection)}
 
 
 def _paths(store: Store, paths: list[str] | DataFrame) -> DataFrame:
-    return paths.select("path") if isinstance(paths, DataFrame) else store.spark.createDataFrame([(p,) for p in paths], "path string")
+    return paths.select("path") if isinstance(paths, DataFrame) else store.spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
 
 
 def index_files(store: Store, root: str, project: str, paths: list[str] | DataFrame, provider: Provider, caps: Caps = Caps()) -> DataFrame:
@@ -64,13 +97,12 @@ def index_files(store: Store, root: str, project: str, paths: list[str] | DataFr
     """
     collection = f"code_{project}"
     store.create(collection, provider.dimension)
-    files = walk.texts(store.spark, root, project, _paths(store, paths))
-    good = files.filter(F.col("error").isNull()).select("file_path")
-    old = store.read(collection)
-    gone = None if old is None else old.join(good, "file_path", "left_semi").select("id")
-    store.upsert(collection, _chunks(store, files, collection, provider, caps), "ord", provider.name, gone)
-    counts = _split(files, collection, caps).groupBy("file_path").agg(F.count("*").alias("chunks"))
-    return files.join(counts, "file_path", "left").select(F.col("file_path").alias("path"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
+    with _split(store, root, project, _paths(store, paths), collection, caps) as split:
+        files = checkpointed(split.groupBy("file_path").agg(F.count("piece").alias("chunks"), F.max("error").alias("error")))
+        old = store.read(collection)
+        gone = None if old is None else old.join(files.filter(F.col("error").isNull()), "file_path", "left_semi").select("id")
+        store.upsert(collection, _chunks(store, split, provider), "ord", provider.name, gone)
+    return files.select(F.col("file_path").alias("path"), "chunks", "error")
 
 
 def drop_files(store: Store, project: str, paths: list[str] | DataFrame) -> int:
@@ -110,13 +142,13 @@ def index_branch(store: Store, root: str, project: str, branch_collection: str,
     """Indexes a branch's changed files into its overlay; the number of chunks."""
     if not changed:
         return 0
-    files = walk.scan_tree(store.spark, root, project)
-    only = changed_only(files, store.spark.createDataFrame([(p,) for p in changed], "file_path string"))
-    rows = _chunks(store, only, branch_collection, provider, caps)
-    if rows.isEmpty():
-        return 0
-    store.create(branch_collection, provider.dimension)
-    store.upsert(branch_collection, rows, "ord", provider.name)
+    only = walk.walk(store.spark, root, extensions=set(LANGUAGES)).join(_paths(store, changed), "path", "left_semi")
+    with _split(store, root, project, only, branch_collection, caps) as split:
+        rows = _chunks(store, split, provider)
+        if rows.isEmpty():
+            return 0
+        store.create(branch_collection, provider.dimension)
+        store.upsert(branch_collection, rows, "ord", provider.name)
     return store.count(branch_collection)
 
 

@@ -5,19 +5,24 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..shared import checkpointed
+from ..shared import PIECE_BYTES, checkpointed, pieces
 from . import files
 
-#: Folders that one task lists.
-FOLDERS_A_TASK = 200
+#: Folders that one task lists, and entries that it hands on at once.
+FOLDERS_A_TASK, ENTRIES_AT_ONCE = 200, 5000
+#: Files that one task reads, and so few that dealing them out further doesn't pay.
+FILES_A_TASK, FEW_FILES = 2000, 100
 _ENTRIES = "path string, folder boolean, bytes long"
 
 
@@ -36,6 +41,15 @@ def _left_out(patterns: list[str]):
     return ignored
 
 
+def _scanned(folder: str) -> Iterator[os.DirEntry]:
+    """A folder's entries as they come, so a large folder isn't held; none of one that can't be read."""
+    try:
+        with os.scandir(folder) as entries:
+            yield from entries
+    except OSError:
+        return
+
+
 def walk(spark: SparkSession, root: str, patterns: list[str] | None = None, extensions: set[str] | None = None, hidden: bool = False, left_out: tuple[str, ...] = files.SKIPPED, largest: int | None = files.LARGEST, save=checkpointed) -> DataFrame:
     """(path, bytes) of the files below ``root``, which all executors can read.
 
@@ -47,11 +61,7 @@ def walk(spark: SparkSession, root: str, patterns: list[str] | None = None, exte
     ignored = _left_out((files.ignore_patterns(root) if not hidden else []) + (patterns or []))
 
     def one(folder: str):
-        try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
+        for e in _scanned(os.path.join(root, folder)):
             path = f"{folder}/{e.name}" if folder else e.name
             if e.is_dir(follow_symlinks=False):
                 if e.name not in left_out and (hidden or not e.name.startswith(".")) and not ignored(path, e.name, True):
@@ -63,33 +73,53 @@ def walk(spark: SparkSession, root: str, patterns: list[str] | None = None, exte
 
     def listed(batches):
         for pdf in batches:
-            found = [x for folder in pdf["path"] for x in one(folder)]
-            yield pd.DataFrame(found, columns=["path", "folder", "bytes"])
+            entries = (x for folder in pdf["path"] for x in one(folder))
+            while found := list(islice(entries, ENTRIES_AT_ONCE)):
+                yield pd.DataFrame(found, columns=["path", "folder", "bytes"])
 
     level, found, folders = spark.createDataFrame([("",)], "path string"), [], 1
     while folders:
-        entries = save(level.repartition(max(1, folders // FOLDERS_A_TASK)).mapInPandas(listed, _ENTRIES))
+        entries = save(level.repartition(max(min(folders, spark.sparkContext.defaultParallelism), folders // FOLDERS_A_TASK)).mapInPandas(listed, _ENTRIES))
         found.append(entries.filter("not folder").select("path", "bytes"))
         level = entries.filter("folder").select("path")
         folders = level.count()
     return reduce(DataFrame.unionByName, found)
 
 
+def dealt(paths: DataFrame) -> DataFrame:
+    """A table of paths, which is counted, over as many tasks as reading their files takes, however the paths lay."""
+    n = paths.count()
+    return paths.select("path").repartition(max(1, min(paths.sparkSession.sparkContext.defaultParallelism, n // FEW_FILES), n // FILES_A_TASK), "path")
+
+
+def read(root: str, paths: Iterable[str]) -> Iterator[list[tuple[str, str | None, str | None]]]:
+    """(path, text, error) of files in lists of at most PIECE_BYTES, or of one larger file; bad bytes are replaced. One file is read ahead."""
+    out, held = [], 0
+    for p in paths:
+        try:
+            data, error = Path(root, p).read_bytes(), None
+        except OSError as e:
+            data, error = None, str(e)
+        size = len(data or b"")
+        if out and held + size > PIECE_BYTES:
+            yield out
+            out, held = [], 0
+        out.append((p, None if data is None else data.decode("utf-8", "replace"), error))
+        held += size
+    if out:
+        yield out
+
+
 def texts(spark: SparkSession, root: str, project: str, paths: DataFrame) -> DataFrame:
     """(project, file_path, language, text, error) of a table of paths (path), read by executors; bad bytes are replaced."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for p in pdf["path"]:
-                try:
-                    out.append((p, Path(root, p).read_bytes().decode("utf-8", "replace"), None))
-                except OSError as e:
-                    out.append((p, None, str(e)))
-            yield pd.DataFrame(out, columns=["file_path", "text", "error"])
+            for part in read(root, pdf["path"]):
+                yield pd.DataFrame(part, columns=["file_path", "text", "error"])
 
-    read = paths.select("path").mapInPandas(run, "file_path string, text string, error string")
-    return read.select(F.lit(project).alias("project"), "file_path", X.language_of(F.col("file_path")).alias("language"), "text", "error")
+    made = dealt(paths).mapInPandas(run, "file_path string, text string, error string")
+    return made.select(F.lit(project).alias("project"), "file_path", X.language_of(F.col("file_path")).alias("language"), "text", "error")
 
 
 def scan_tree(spark: SparkSession, root: str, project: str, patterns: list[str] | None = None, extensions: set[str] | None = None) -> DataFrame:
@@ -106,7 +136,7 @@ def hashes(spark: SparkSession, root: str, digest: str = "xxh3") -> DataFrame:
             yield pd.DataFrame(found, columns=["path", "hash"])
 
     paths = walk(spark, root, hidden=True, left_out=tuple(sorted(files.UNHASHED)), largest=None)
-    return paths.select("path").mapInPandas(run, "path string, hash string")
+    return dealt(paths).mapInPandas(run, "path string, hash string")
 
 
 def memory_files(spark: SparkSession, root: str, save=checkpointed) -> DataFrame:
@@ -119,11 +149,12 @@ def write_tree(rows: DataFrame, root: str) -> int:
     """Writes (path, text) as files below a folder that all executors share; how many. A file that is there is replaced."""
 
     def run(batches):
-        for pdf in batches:
-            for path, text in zip(pdf["path"], pdf["text"], strict=True):
-                place = Path(root, path)
-                place.parent.mkdir(parents=True, exist_ok=True)
-                place.write_text(text or "")
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return rows.select("path", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for path, text in zip(part.column("path").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    place = Path(root, path)
+                    place.parent.mkdir(parents=True, exist_ok=True)
+                    place.write_text(text or "")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
