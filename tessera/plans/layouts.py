@@ -12,7 +12,7 @@ from ..functions import exprs as X
 from ..operators import memory, search, stats
 from ..sources import daylog, embedding, files, indexer, walk
 from ..sources.store import Store
-from .catalog import ORACLES, _now, _read, query
+from .catalog import ORACLES, _now, _read, _save, query
 from .indexed import folder
 from .views import view, with_views
 
@@ -185,12 +185,12 @@ def index_sync(spark, sf_dir):
     rows = _read(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id", F.expr(f"substr({_REPOS.format(s='STRING')}, 4)").alias("path"), "text")
     first, second = (re.sub(r"^file:/*", "/", folder(spark)) for _ in range(2))
     walk.write_tree(rows, first)
-    indexer.sync_once(store, first, "p", provider, caps)
+    indexer.sync(store, first, "p", provider, caps)
     later = rows.filter("doc_id % 9 <> 0").withColumn("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN concat('changed ', text) ELSE text END"))
     walk.write_tree(later, second)
-    indexer.sync_once(store, second, "p", provider, caps)
-    held = store.read("code_p").select("file_path").distinct()
-    return walk.texts(spark, second, "p", held.withColumnRenamed("file_path", "path")).select("file_path", F.md5("text").alias("text_md5"))
+    indexer.sync(store, second, "p", provider, caps)
+    held = _save(store.read("code_p").select(F.col("file_path").alias("path")).distinct())
+    return walk.texts(spark, second, "p", held).select("file_path", F.md5("text").alias("text_md5"))
 
 
 @query(with_views("v_vec") + "\nSELECT collection, 64 AS dimension, count(*) AS n, false AS refused FROM v_vec WHERE collection = 'code_proj' GROUP BY 1 UNION ALL SELECT 'code_short', 8, count(*), true FROM v_vec WHERE collection <> 'code_proj'")

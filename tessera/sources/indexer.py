@@ -117,10 +117,11 @@ def drop_files(store: Store, project: str, paths: list[str] | DataFrame) -> int:
     return before - store.count(collection)
 
 
-def sync_once(store: Store, root: str, project: str, provider: Provider, caps: Caps = Caps()) -> dict:
+def sync(store: Store, root: str, project: str, provider: Provider, caps: Caps = Caps()) -> tuple[DataFrame, DataFrame, int]:
     """Brings a project's index up to its tree: hashes, compares with the last snapshot, re-indexes and drops what differs.
 
-    The snapshot is saved last, so what failed is tried again. Files that indexing wouldn't take are left alone.
+    Returns the paths that changed, those that are gone, and how many chunks were dropped. The snapshot is saved last,
+    so what failed is tried again. Files that indexing wouldn't take are left alone.
     """
     now, old = checkpointed(walk.hashes(store.spark, root)), load_snapshot(store.spark, store.snapshots, project)
     empty = store.spark.createDataFrame([], "path string, hash string")
@@ -133,7 +134,12 @@ def sync_once(store: Store, root: str, project: str, provider: Provider, caps: C
     dropped = drop_files(store, project, removed)
     if old is None or not diff.isEmpty():
         save_snapshot(now, store.snapshots, project)
-    # The tool's report names them.
+    return changed, removed, dropped
+
+
+def sync_once(store: Store, root: str, project: str, provider: Provider, caps: Caps = Caps()) -> dict:
+    """What sync() does, with a report that names the files."""
+    changed, removed, dropped = sync(store, root, project, provider, caps)
     names = lambda df: sorted(r["path"] for r in df.collect())
     return {"project": project, "changed": names(changed), "removed": names(removed), "chunks_dropped": dropped}
 

@@ -53,6 +53,13 @@ def test_a_file_is_split_before_the_rest_of_its_batch_is_read(spark, tmp_path):
     assert sum(r.error is None and r.chunks > 0 for r in got) in (1, 2) and len(got) == 5
 
 
+def test_files_of_one_folder_are_read_by_many_tasks(spark, tree):
+    paths = walk.walk(spark, tree)
+    assert paths.filter("path like 'd/%'").select(F.spark_partition_id()).distinct().count() == 1
+    for made in (walk.texts(spark, tree, "p", paths), walk.hashes(spark, tree)):
+        assert made.count() == 450 and made.select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_files_without_chunks_and_with_bad_bytes(spark, tmp_path):
     root, store = tmp_path / "tree", Store(spark, str(tmp_path / "s"))
     root.mkdir()
@@ -73,3 +80,14 @@ def test_many_entries_of_a_folder_are_handed_on_in_parts(spark, tmp_path, monkey
     want = {(f"f{i}", i) for i in range(25)}
     monkeypatch.setattr(walk, "ENTRIES_AT_ONCE", 10)
     assert {(r.path, r.bytes) for r in walk.walk(spark, str(tmp_path)).collect()} == want
+
+
+def test_sync_hands_on_tables(spark, tree, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    changed, removed, dropped = indexer.sync(store, tree, "p", embedding.HashProvider())
+    assert changed.count() == 450 and removed.count() == 0 and dropped == 0
+    Path(tree, "d/f7.md").write_text("other")
+    Path(tree, "d/f8.md").unlink()
+    changed, removed, dropped = indexer.sync(store, tree, "p", embedding.HashProvider())
+    assert [r.path for r in changed.collect()] == ["d/f7.md"] and [r.path for r in removed.collect()] == ["d/f8.md"] and dropped == 1
+    assert store.count("code_p") == 449
